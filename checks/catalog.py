@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.fixtures import LAST_HOUR, NOON, SINCE, UNTIL, Data, with_sql
+from checks.fixtures import EARLY, EARLY_END, LAST_HOUR, NOON, SINCE, UNTIL, Data, with_sql
 from trafficloom import fixed_values as fv
 from trafficloom.functions.timeparts import TimeRange, ntz
 from trafficloom.operators import (
@@ -693,28 +693,30 @@ def _(d: Data) -> DataFrame:
     return _flat(anomalies.traffic_spike(_window(d), d.minutes), "current", "baseline", "windows")
 
 
-# The window and history of first-time checks: late events against early ones.
-FIRST_SQL = """win AS (SELECT * FROM access_events WHERE "timestamp" >= TIMESTAMP '2024-01-01 00:20:00'),
-bounds AS (SELECT branch, max("timestamp") AS generated_at, max("timestamp") - INTERVAL 1 HOUR AS spread,
+EARLY_SQL = """win AS (SELECT * FROM access_events
+  WHERE "timestamp" >= TIMESTAMP '2024-01-01 00:05:00' AND "timestamp" < TIMESTAMP '2024-01-01 00:35:00'),
+bounds AS (SELECT branch, max("timestamp") AS generated_at,
   greatest(min("timestamp"), max("timestamp") - INTERVAL 1 HOUR) AS window_start FROM win GROUP BY branch)"""
 
 
+def _early(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("timestamp") >= ntz(EARLY)) & (F.col("timestamp") < ntz(EARLY_END)))
+
+
 @query(
     "new_blocked_domain",
     with_sql(
         """SELECT b.generated_at, 'new_blocked_domain' AS kind, 'medium' AS severity, CAST(NULL AS VARCHAR) AS client_ip,
-          c.domain, c.branch FROM (SELECT DISTINCT branch, domain FROM win WHERE blocked AND domain IS NOT NULL) c
-        JOIN bounds b USING (branch) WHERE NOT EXISTS (SELECT 1 FROM tagged e
-          WHERE e.branch = c.branch AND e.domain = c.domain AND e."timestamp" < b.window_start)""",
-        WINDOW_SQL,
-        # Domains are made rarer by the client, so that some are new in the last hour.
-        """tagged AS (SELECT branch, "timestamp", concat(client_ip, '.', domain) AS domain, blocked FROM access_events)""",
-    ).replace("FROM win WHERE blocked AND domain IS NOT NULL", "FROM tagged WHERE blocked AND domain IS NOT NULL AND \"timestamp\" >= TIMESTAMP '2024-01-01 23:00:00'"),
+          c.domain, c.branch FROM (SELECT DISTINCT branch, client_ip || '.' || domain AS domain FROM win WHERE blocked) c
+        JOIN bounds b USING (branch) WHERE c.domain IS NOT NULL AND NOT EXISTS (SELECT 1 FROM access_events e
+          WHERE e.branch = c.branch AND e.client_ip || '.' || e.domain = c.domain AND e."timestamp" < b.window_start)""",
+        EARLY_SQL,
+    ),
 )
 def _(d: Data) -> DataFrame:
-    tagged = d.events.withColumn("domain", F.concat("client_ip", F.lit("."), "domain"))
-    window = tagged.where(F.col("timestamp") >= ntz(LAST_HOUR))
-    return _flat(anomalies.new_blocked_domains(window, tagged))
+    # A name per client and domain, so that the table holds many first visits.
+    named = d.events.withColumn("domain", F.concat("client_ip", F.lit("."), "domain"))
+    return _flat(anomalies.new_blocked_domains(_early(named), named))
 
 
 @query(
@@ -738,13 +740,13 @@ def _(d: Data) -> DataFrame:
         JOIN settings s USING (branch) JOIN bounds b USING (branch)
         WHERE contains(replace(s.sensitive, ' ', ''), c.category) AND NOT EXISTS (SELECT 1 FROM access_events e
           WHERE e.branch = c.branch AND e.client_ip = c.client_ip AND e.domain = c.domain AND e."timestamp" < b.window_start)""",
-        WINDOW_SQL,
+        EARLY_SQL,
         fx.CATEGORIES_SQL,
         fx.SETTINGS_SQL,
     ),
 )
 def _(d: Data) -> DataFrame:
-    return _flat(anomalies.sensitive_visits(_window(d), d.events, d.settings, d.rules), "category")
+    return _flat(anomalies.sensitive_visits(_early(d.events), d.events, d.settings, d.rules), "category")
 
 
 def _monitor_sql(kind: str, severity: str, keys: str, source: str, where: str, extra: str, days: str) -> str:
@@ -865,19 +867,29 @@ def _(d: Data) -> DataFrame:
     "alert_thresholds",
     with_sql(
         """SELECT b.branch, coalesce(CASE s.branch WHEN 'branch-a' THEN 'gambling,adult_content' ELSE s.sensitive END, '') AS sensitive,
-          coalesce(s.non_work_minutes, 120) AS non_work_minutes, s.byte_quota, s.uncategorized_threshold
+          coalesce(s.non_work_minutes, 120) AS non_work_minutes, CAST(s.byte_quota AS VARCHAR) AS byte_quota,
+          CAST(s.uncategorized_threshold AS VARCHAR) AS uncategorized_threshold
         FROM (SELECT DISTINCT branch FROM access_events) b LEFT JOIN settings s USING (branch)""",
         fx.SETTINGS_SQL,
     ),
 )
 def _(d: Data) -> DataFrame:
     rows = dimensions.thresholds(d.branches, d.settings)
-    return rows.withColumn("sensitive", F.array_join("sensitive_categories", ",")).drop("sensitive_categories")
+    return rows.select(
+        "branch",
+        F.array_join("sensitive_categories", ",").alias("sensitive"),
+        "non_work_minutes",
+        *[F.col(c).cast("string") for c in ("byte_quota", "uncategorized_threshold")],
+    )
 
 
 # ----- exports, archive, retention, branches -------------------------------
 
-_ESCAPED = EXPORT_SQL.replace('"user"', """CASE WHEN "user" SIMILAR TO '[-=+@].*' THEN '''' || "user" ELSE "user" END AS "user\"""")
+_ESCAPED = EXPORT_SQL
+for _name in ('"user"', "url"):
+    _ESCAPED = _ESCAPED.replace(
+        _name, f"CASE WHEN {_name} SIMILAR TO '[-=+@].*' THEN chr(39) || {_name} ELSE {_name} END AS {_name}"
+    )
 
 
 @query("export_rows", with_sql(f"SELECT {_ESCAPED} FROM signed", """signed AS (SELECT * REPLACE (

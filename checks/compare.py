@@ -50,8 +50,8 @@ def main() -> int:
             failed.append(name)
             a, b = _rows(got), _rows(want)
             print("   columns", sorted(got.columns), sorted(want.columns))
-            print("   only spark", [r for r in a if r not in set(b)][:3])
-            print("   only sql  ", [r for r in b if r not in set(a)][:3])
+            print("   only spark", sorted(set(a) - set(b))[:3])
+            print("   only sql  ", sorted(set(b) - set(a))[:3])
     print(f"{len(names) - len(failed)} of {len(names)} equal; failed: {failed}")
     return 1 if failed else 0
 

@@ -19,6 +19,9 @@ SINCE = dt.datetime(2024, 1, 1)
 UNTIL = dt.datetime(2024, 1, 2)
 NOON = dt.datetime(2024, 1, 1, 12)
 LAST_HOUR = dt.datetime(2024, 1, 1, 23)
+# The window of the first-time checks, with a little history before it.
+EARLY = dt.datetime(2024, 1, 1, 0, 5)
+EARLY_END = dt.datetime(2024, 1, 1, 0, 35)
 
 # The 30 days of the table are squeezed into one, so that minutes and sessions
 # hold several events.
@@ -45,33 +48,28 @@ _VIEW_BODY = """
                     WHEN 3 THEN 'application/json' ELSE 'text/css' END AS content_type
 """
 _URL = """
-  CASE WHEN method = 'CONNECT' THEN coalesce(concat(domain, ':443'), '-')
+  CASE WHEN method = 'CONNECT' THEN coalesce(domain || ':443', '-')
        ELSE concat('http://', coalesce(domain, ''), '/item?id=', CAST(id AS {text})) END AS url
 """
 # A log line in the 10-field form, times in milliseconds, the duration padded.
 _LINE = """concat_ws(' ', concat(CAST({ms} {div} 1000 AS {text}), '.', lpad(CAST({ms} % 1000 AS {text}), 3, '0')),
   lpad(CAST(duration_ms AS {text}), 6, ' '), {ip}, {status}, CAST(bytes AS {text}), method, url,
-  coalesce({user}, '-'), coalesce(concat(hierarchy, '/', coalesce(peer, '-')), '-'), coalesce(content_type, '-'))"""
+  coalesce({user}, '-'), coalesce(hierarchy || '/' || coalesce(peer, '-'), '-'), coalesce(content_type, '-'))"""
 
 # How the lines of the damaged view differ from the good ones, by event.
 DAMAGE = ("short", "bad_time", "bad_ip", "open_shape", "blank", "ipv6", "mapped_ipv6", "bad_ipv6", "tabs", "good", "good")
 
 
-def _damaged(text: str, user: str, ms: str, div: str) -> str:
-    def line(ip: str = "client_ip", status: str = "concat(action, '/', CAST(status_code AS %s))" % text) -> str:
-        return _LINE.format(text=text, user=user, ms=ms, div=div, ip=ip, status=status)
-
-    return f"""CASE id % {len(DAMAGE)}
-      WHEN 0 THEN concat_ws(' ', '1704067200.000', client_ip, action)
-      WHEN 1 THEN concat('x', {line()})
-      WHEN 2 THEN {line(ip="concat(client_ip, '9.1')")}
-      WHEN 3 THEN concat({line(status="action")}, ' tail')
-      WHEN 4 THEN '  '
-      WHEN 5 THEN {line(ip=f"concat('2001:db8::', CAST(id % 9999 AS {text}))")}
-      WHEN 6 THEN {line(ip="concat('::ffff:', client_ip)")}
-      WHEN 7 THEN {line(ip="'1::2::3'")}
-      WHEN 8 THEN replace({line()}, ' ', chr(9))
-      ELSE {line()} END"""
+def _damaged(text: str, user: str, ms: str, div: str) -> tuple[str, str]:
+    """Two steps: the line with odd addresses and tags, then what else is odd about it."""
+    kind = f"id % {len(DAMAGE)}"
+    ip = f"""CASE {kind} WHEN 2 THEN client_ip || '9.1' WHEN 5 THEN '2001:db8::' || CAST(id % 9999 AS {text})
+      WHEN 6 THEN '::ffff:' || client_ip WHEN 7 THEN '1::2::3' ELSE client_ip END"""
+    status = f"CASE {kind} WHEN 3 THEN action ELSE action || '/' || CAST(status_code AS {text}) END"
+    line = _LINE.format(text=text, user=user, ms=ms, div=div, ip=ip, status=status)
+    value = f"""CASE {kind} WHEN 0 THEN concat_ws(' ', '1704067200.000', client_ip, action) WHEN 1 THEN 'x' || line
+      WHEN 3 THEN line || ' tail' WHEN 4 THEN '  ' WHEN 8 THEN replace(line, ' ', chr(9)) ELSE line END"""
+    return line, value
 
 
 def spark_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +93,7 @@ access_events AS (SELECT *, {_URL.format(text="VARCHAR")} FROM access_base)"""
 
 OVERRIDES = (("cdn.example.net", "other"), ("slack.com", "gaming"), ("intranet.local", "uncategorized"))
 SETTINGS = (
-    ("branch-a", "gambling, adult_content, no_such_label", 200, 900_000, 10),
+    ("branch-a", "gambling, adult_content, no_such_label", 40, 900_000, 10),
     ("branch-b", "shopping", 0, None, None),
 )
 # Earlier alerts that silence a repeat: title key, generated_at, client, domain, branch.
@@ -175,7 +173,7 @@ HOST_SQL = r"""page_hosts AS (
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':', 1)) AS domain FROM pages)"""
 # A blocklist derived from the pages: parents of hosts served over plain http.
 PAGE_BLOCKLIST_SQL = f"""SELECT DISTINCT parent AS domain, label, priority FROM (
-    SELECT array_to_string(list_slice(string_split(domain, '.'), -3, NULL), '.') AS parent, url FROM page_hosts) p
+    SELECT coalesce(nullif(regexp_extract(domain, '[^.]+[.][^.]+[.][^.]+$'), ''), domain) AS parent, url FROM page_hosts) p
   JOIN {sql_values(tuple(enumerate(fv.BLOCKLIST_PRIORITY)), ('INTEGER', 'VARCHAR'))} l(priority, label)
     ON length(p.parent) % 8 = l.priority
   WHERE url LIKE 'http://%'"""
@@ -187,8 +185,9 @@ def with_sql(body: str, *ctes: str) -> str:
 
 
 def damaged_lines_sql() -> str:
-    ms = "(epoch_us(\"timestamp\") // 1000)"
-    return f"damaged AS (SELECT id, branch, {_damaged('VARCHAR', chr(34) + 'user' + chr(34), ms, '//')} AS value FROM access_events)"
+    line, value = _damaged("VARCHAR", '"user"', '(epoch_us("timestamp") // 1000)', "//")
+    return f"""damaged AS (SELECT id, branch, {value} AS value FROM (
+      SELECT id, branch, client_ip, action, {line} AS line FROM access_events) l)"""
 
 
 class Data:
@@ -206,12 +205,11 @@ class Data:
         """The events as raw log lines; damaged in fixed ways on request."""
         ms = "(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp) div 1000)"
         if damaged:
-            text = _damaged("STRING", "`user`", ms, "div")
-        else:
-            text = _LINE.format(
-                text="STRING", user="`user`", ms=ms, div="div", ip="client_ip",
-                status="concat(action, '/', CAST(status_code AS STRING))",
-            )
+            line, value = _damaged("STRING", "`user`", ms, "div")
+            lines = self.events.selectExpr("id", "branch", "client_ip", "action", f"{line} AS line")
+            return lines.selectExpr(f"{value} AS value", "branch")
+        status = "action || '/' || CAST(status_code AS STRING)"
+        text = _LINE.format(text="STRING", user="`user`", ms=ms, div="div", ip="client_ip", status=status)
         return self.events.selectExpr(f"{text} AS value", "branch")
 
     @cached_property

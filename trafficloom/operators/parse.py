@@ -49,9 +49,13 @@ def _micros(raw: Column) -> Column:
 
 
 def tokenize(lines: DataFrame) -> DataFrame:
-    """Ten whitespace-separated fields; the last keeps its inner spaces."""
+    """Ten whitespace-separated fields; the last keeps its inner spaces.
+
+    The one-row ``explode`` makes the split run once per line: without it the
+    optimizer copies the split into every filter and column that uses a field.
+    """
     tokens = F.split(strip(F.col("value")), f"{WHITESPACE_CLASS}+", len(FIELDS))
-    split = lines.withColumn("tokens", tokens)
+    split = lines.select(*lines.columns, F.explode(F.array(tokens)).alias("tokens"))
     return split.select(
         *lines.columns,
         F.size("tokens").alias("n_fields"),
