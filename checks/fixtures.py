@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficloom import fixed_values as fv
-from trafficloom.functions.network import last_labels, request_domain
+from trafficloom.functions.network import add_domain, last_labels
 from trafficloom.operators.anomalies import client_blocked_ratio
 from trafficloom.operators.categorize import CategoryRules
 from trafficloom.operators.rollup import client_hourly, client_minute, domain_minute, minute_totals
@@ -207,10 +207,15 @@ class Data:
         if damaged:
             line, value = _damaged("STRING", "`user`", ms, "div")
             lines = self.events.selectExpr("id", "branch", "client_ip", "action", f"{line} AS line")
-            return lines.selectExpr(f"{value} AS value", "branch")
+            return self._built(lines.selectExpr(f"{value} AS value", "branch"))
         status = "action || '/' || CAST(status_code AS STRING)"
         text = _LINE.format(text="STRING", user="`user`", ms=ms, div="div", ip="client_ip", status=status)
-        return self.events.selectExpr(f"{text} AS value", "branch")
+        return self._built(self.events.selectExpr(f"{text} AS value", "branch"))
+
+    @staticmethod
+    def _built(lines: DataFrame) -> DataFrame:
+        """Lines as they would come from a file: put together once, not again in every use."""
+        return lines.select(F.explode(F.array("value")).alias("value"), "branch")
 
     @cached_property
     def minutes(self) -> DataFrame:
@@ -274,7 +279,7 @@ class Data:
     @cached_property
     def page_hosts(self) -> DataFrame:
         pages = self.spark.read.parquet(f"{self.sf_dir}/pages.parquet").select("page_id", "url")
-        return pages.withColumn("domain", request_domain(F.col("url"), F.lit("GET")))
+        return add_domain(pages.withColumn("method", F.lit("GET")), "url", "method").drop("method")
 
     @cached_property
     def page_rules(self) -> CategoryRules:

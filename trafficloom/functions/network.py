@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -46,25 +46,37 @@ def is_host_like(value: Column) -> Column:
     return value.rlike(HOST_PATTERN)
 
 
-def url_host(url: Column) -> Column:
-    """Lower-cased host of an absolute URL, NULL when the authority is malformed."""
-    authority = F.regexp_extract(url, "^[\\x00-\\x20]*[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)", 1)
-    host_port = F.regexp_replace(authority, "(?s)^.*@", "")
-    inner = F.regexp_extract(host_port, "^\\[([^\\]]*)\\](?::.*)?$", 1)
-    bracketed = F.when(is_ipv6(inner) | inner.rlike("^v[0-9A-Fa-f]+\\..+$"), inner)
-    host = F.when(authority.rlike("[\\[\\]]"), bracketed).otherwise(F.substring_index(host_port, ":", 1))
-    return F.lower(host)
-
-
 def tunnel_host(target: Column) -> Column:
     """Host of a ``host:port`` target: what precedes the last colon, case kept."""
-    return F.when(target.contains(":"), F.regexp_extract(target, "(?s)^(.*):[^:]*$", 1)).otherwise(target)
+    port = F.substring_index(target, ":", -1)
+    before = F.substring(target, F.lit(1), F.length(target) - F.length(port) - 1)
+    return F.when(target.contains(":"), before).otherwise(target)
 
 
-def request_domain(url: Column, method: Column) -> Column:
-    """Domain of a request, NULL when the target is not host-like."""
-    host = F.when((method == "CONNECT") | ~url.contains("://"), tunnel_host(url)).otherwise(url_host(url))
-    return F.when(is_host_like(host), host)
+def _authority_host(authority: Column) -> Column:
+    """Host part of a URL authority, NULL when its brackets are malformed."""
+    host_port = F.when(authority.contains("@"), F.substring_index(authority, "@", -1)).otherwise(authority)
+    inner = F.regexp_extract(host_port, "^\\[([^\\]]*)\\](?::.*)?$", 1)
+    bracketed = F.when(is_ipv6(inner) | inner.rlike("^v[0-9A-Fa-f]+\\..+$"), inner)
+    has_brackets = authority.contains("[") | authority.contains("]")
+    return F.when(has_brackets, bracketed).otherwise(F.substring_index(host_port, ":", 1))
+
+
+def add_domain(df: DataFrame, url: str, method: str, out: str = "domain") -> DataFrame:
+    """Adds the domain of a request, NULL when its target is not host-like.
+
+    Absolute URLs give their host in lower case; CONNECT and scheme-less
+    targets keep theirs. Steps are separate columns, so that each costly
+    expression runs once per row.
+    """
+    url_authority = F.regexp_extract(url, "^[\\x00-\\x20]*[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)", 1)
+    tunnel = (F.col(method) == "CONNECT") | ~F.col(url).contains("://")
+    found = df.withColumn("__tunnel", tunnel).withColumn("__authority", F.when(~F.col("__tunnel"), url_authority))
+    host = F.when(F.col("__tunnel"), tunnel_host(F.col(url))).otherwise(F.lower(_authority_host(F.col("__authority"))))
+    named = found.withColumn("__host", host)
+    return named.withColumn(out, F.when(is_host_like(F.col("__host")), F.col("__host"))).drop(
+        "__tunnel", "__authority", "__host"
+    )
 
 
 def last_labels(host: Column, n: int) -> Column:

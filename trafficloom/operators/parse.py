@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficloom import schema
 from trafficloom.fixed_values import DENIED_PREFIX, DENIED_STATUSES, MAX_LENGTHS, PARSE_FAILURE_ALARM
-from trafficloom.functions.network import is_ip, request_domain
+from trafficloom.functions.network import add_domain, is_ip
 from trafficloom.functions.text import WHITESPACE_CLASS, strip
 from trafficloom.functions.timeparts import from_epoch_micros
 
@@ -31,45 +31,69 @@ _END_MICROS = 253_402_300_800_000_000
 
 
 def _int_or_zero(raw: Column, as_type: str) -> Column:
-    digits = F.when(raw.rlike(_INT), F.translate(raw, "_", ""))
-    return F.coalesce(digits.try_cast(as_type), F.lit(0).cast(as_type))
+    grouped = F.when(raw.contains("_") & raw.rlike(_INT), F.translate(raw, "_", ""))
+    return F.coalesce(raw.try_cast(as_type), grouped.try_cast(as_type), F.lit(0).cast(as_type))
 
 
 def _dash_to_null(raw: Column) -> Column:
     return F.nullif(raw, F.lit("-"))
 
 
-def _micros(raw: Column) -> Column:
-    """Epoch seconds as text to microseconds, rounding half to even; NULL when invalid."""
-    seconds = F.when(raw.rlike(_FLOAT), raw.try_cast("double"))
-    in_reach = F.when(F.abs(seconds) < 1e12, seconds)
-    fraction = in_reach % F.lit(1.0)
-    micros = (in_reach - fraction).cast("long") * 1_000_000 + F.rint(fraction * 1e6).cast("long")
-    return F.when((micros >= _MIN_MICROS) & (micros < _END_MICROS), micros)
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column computed once per row.
+
+    The one-row ``explode`` keeps the optimizer from copying ``value`` into
+    every later filter and column that uses it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def tokenize(lines: DataFrame) -> DataFrame:
-    """Ten whitespace-separated fields; the last keeps its inner spaces.
+    """Ten whitespace-separated fields; the last keeps its inner whitespace as it was.
 
-    The one-row ``explode`` makes the split run once per line: without it the
-    optimizer copies the split into every filter and column that uses a field.
+    Almost all lines are ASCII with plain spaces and need no wide character
+    class. A last field with spaces is taken from the original line only where
+    collapsing its whitespace changed it.
     """
-    tokens = F.split(strip(F.col("value")), f"{WHITESPACE_CLASS}+", len(FIELDS))
-    split = lines.select(*lines.columns, F.explode(F.array(tokens)).alias("tokens"))
+    value = F.col("value")
+    text = strip(value)
+    plain = (F.octet_length(value) == F.char_length(value)) & ~value.rlike("[\\t-\\r\\x1c-\\x1f]")
+    one_space = F.when(plain, F.regexp_replace(text, " {2,}", " ")).otherwise(
+        F.regexp_replace(text, f"{WHITESPACE_CLASS}+", " ")
+    )
+    split = _once(lines, "tokens", F.split(one_space, " ", len(FIELDS)))
+    fields = {name: F.get("tokens", F.lit(i)) for i, name in enumerate(FIELDS)}
+    tail = fields.pop(FIELDS[-1])
+    dark = f"[^{WHITESPACE_CLASS[1:-1]}]"
+    original_tail = F.regexp_extract(text, f"(?s)^(?:{dark}+{WHITESPACE_CLASS}+){{9}}(.*)$", 1)
+    spaced = tail.contains(" ")
     return split.select(
         *lines.columns,
         F.size("tokens").alias("n_fields"),
-        *[F.get("tokens", F.lit(i)).alias(name) for i, name in enumerate(FIELDS)],
+        *[column.alias(name) for name, column in fields.items()],
+        F.when(spaced & ~text.endswith(tail), original_tail).otherwise(tail).alias(FIELDS[-1]),
+        F.coalesce(spaced, F.lit(False)).alias("spaced_tail"),
     )
 
 
+def _add_micros(tokens: DataFrame) -> DataFrame:
+    """Epoch seconds as text to ``micros``, rounding half to even; NULL when invalid."""
+    raw = F.col("raw_ts")
+    seconds = tokens.withColumn("seconds", F.when(raw.rlike(_FLOAT), raw.try_cast("double")))
+    in_reach = seconds.withColumn("seconds", F.when(F.abs("seconds") < 1e12, F.col("seconds")))
+    parts = in_reach.withColumn("fraction", F.col("seconds") % F.lit(1.0))
+    whole = (F.col("seconds") - F.col("fraction")).cast("long") * 1_000_000
+    micros = parts.withColumn("micros", whole + F.rint(F.col("fraction") * 1e6).cast("long"))
+    valid = (F.col("micros") >= _MIN_MICROS) & (F.col("micros") < _END_MICROS)
+    return micros.withColumn("micros", F.when(valid, F.col("micros"))).drop("seconds", "fraction")
+
+
 def _reject_reason() -> Column:
-    spaced_tail = F.col("raw_content_type").rlike(WHITESPACE_CLASS)
     shape_intact = F.col("raw_action_status").contains("/") & (
         F.col("raw_hierarchy_peer").contains("/") | (F.col("raw_hierarchy_peer") == "-")
     )
     return (
-        F.when((F.col("n_fields") != len(FIELDS)) | (spaced_tail & ~shape_intact), "field_count")
+        F.when((F.col("n_fields") != len(FIELDS)) | (F.col("spaced_tail") & ~shape_intact), "field_count")
         .when(F.col("micros").isNull(), "timestamp")
         .when(~is_ip(F.col("raw_ip")), "client_ip")
     )
@@ -82,36 +106,43 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     makes ids differ between files.
     """
     kept = lines.where(strip(F.col("value")) != "")
-    parsed = tokenize(kept).withColumn("micros", _micros(F.col("raw_ts")))
-    action = F.split_part("raw_action_status", F.lit("/"), F.lit(1))
-    status = _int_or_zero(F.regexp_extract("raw_action_status", "^[^/]*/(.*)$", 1), "int")
-    hierarchy = F.split_part("raw_hierarchy_peer", F.lit("/"), F.lit(1))
-    peer = F.regexp_extract("raw_hierarchy_peer", "^[^/]*/(.*)$", 1)
-    has_peer = F.col("raw_hierarchy_peer").contains("/")
+    checked = _once(_add_micros(tokenize(kept)), "reject_reason", _reject_reason())
     source = [F.col("source_file")] if "source_file" in lines.columns else []
 
+    action = F.substring_index("raw_action_status", "/", 1)
+    hierarchy = F.substring_index("raw_hierarchy_peer", "/", 1)
+    split = (
+        checked.withColumn("full_action", action)
+        .withColumn("raw_status", F.substring("raw_action_status", F.length("full_action") + 2, F.lit(2**31 - 1)))
+        .withColumn("status_code", _int_or_zero(F.col("raw_status"), "int"))
+        .withColumn("full_hierarchy", hierarchy)
+        .withColumn("target", F.nullif("raw_url", F.lit("-")))
+    )
+    peer = F.substring("raw_hierarchy_peer", F.length("full_hierarchy") + 2, F.lit(2**31 - 1))
+    has_peer = F.col("raw_hierarchy_peer").contains("/")
+
     def fitted(name: str, value: Column) -> Column:
         return F.left(value, F.lit(MAX_LENGTHS[name])).alias(name)
 
-    return parsed.select(
+    return add_domain(split, "target", "raw_method", "full_domain").select(
         F.col("value").alias("line"),
-        _reject_reason().alias("reject_reason"),
+        "reject_reason",
         F.xxhash64(*source, "branch", "value").alias("id"),
         from_epoch_micros(F.col("micros")).alias("timestamp"),
         _int_or_zero(F.col("raw_duration"), "long").alias("duration_ms"),
         F.col("raw_ip").alias("client_ip"),
         "branch",
-        fitted("action", action),
-        status.alias("status_code"),
+        fitted("action", F.col("full_action")),
+        "status_code",
         _int_or_zero(F.col("raw_bytes"), "long").alias("bytes"),
         fitted("method", F.col("raw_method")),
         F.col("raw_url").alias("url"),
-        fitted("domain", request_domain(F.nullif("raw_url", F.lit("-")), F.col("raw_method"))),
+        fitted("domain", F.col("full_domain")),
         fitted("user", _dash_to_null(F.col("raw_user"))),
-        fitted("hierarchy", _dash_to_null(hierarchy)),
+        fitted("hierarchy", _dash_to_null(F.col("full_hierarchy"))),
         fitted("peer", F.when(has_peer, _dash_to_null(peer))),
         fitted("content_type", _dash_to_null(F.col("raw_content_type"))),
-        (action.startswith(DENIED_PREFIX) | status.isin(*DENIED_STATUSES)).alias("blocked"),
+        (F.col("full_action").startswith(DENIED_PREFIX) | F.col("status_code").isin(*DENIED_STATUSES)).alias("blocked"),
     )
 
 
