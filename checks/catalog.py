@@ -395,23 +395,16 @@ def _(d: Data) -> DataFrame:
     return categorize.blocklist_hits(d.page_hosts.select("domain").distinct(), d.page_rules.blocklist)
 
 
-# Import rows derived from the events: every domain and event type, some of them faulty.
-_IMPORT_SQL = """import_rows AS (SELECT row_number() OVER (ORDER BY domain NULLS FIRST, method) AS row_number,
-  ' ' || upper(domain) AS domain, CASE method WHEN 'GET' THEN 'news ' WHEN 'POST' THEN 'other' ELSE 'newz' END AS category
-  FROM (SELECT DISTINCT domain, method FROM access_events) t)"""
+# Import rows derived from the events: every domain and method, numbered by first event, some faulty.
+_IMPORT_SQL = """import_rows AS (SELECT min(id) + 1 AS row_number, ' ' || upper(domain) AS domain,
+  CASE method WHEN 'GET' THEN 'news ' WHEN 'POST' THEN 'other' ELSE 'newz' END AS category
+  FROM access_events GROUP BY domain, method)"""
 
 
 def _import_rows(d: Data) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    pairs = d.events.select("domain", "method").distinct()
     label = F.when(F.col("method") == "GET", "news ").when(F.col("method") == "POST", "other").otherwise("newz")
-    order = Window.orderBy(F.col("domain").asc_nulls_first(), "method")
-    rows = pairs.select(
-        F.row_number().over(order).alias("row_number"),
-        F.concat(F.lit(" "), F.upper("domain")).alias("domain"),
-        label.alias("category"),
-    )
+    first = d.events.groupBy("domain", "method").agg((F.min("id") + 1).alias("row_number"))
+    rows = first.select("row_number", F.concat(F.lit(" "), F.upper("domain")).alias("domain"), label.alias("category"))
     return dimensions.validate_overrides(rows)
 
 
@@ -419,7 +412,7 @@ def _import_rows(d: Data) -> tuple[DataFrame, DataFrame]:
     "override_import",
     with_sql(
         """SELECT lower(trim(domain)) AS domain, trim(arg_max(category, row_number)) AS category FROM import_rows
-        WHERE domain IS NOT NULL AND category <> 'newz' GROUP BY 1""",
+        WHERE domain IS NOT NULL AND category <> 'newz' AND row_number <= 20000 GROUP BY 1""",
         _IMPORT_SQL,
     ),
 )
@@ -430,9 +423,9 @@ def _(d: Data) -> DataFrame:
 @query(
     "override_import_errors",
     with_sql(
-        """SELECT CAST(row_number AS INTEGER) AS row_number, lower(trim(domain)) AS domain, trim(category) AS category,
-          CASE WHEN domain IS NULL THEN 'missing_domain' ELSE 'unknown_category' END AS reason
-        FROM import_rows WHERE domain IS NULL OR category = 'newz'""",
+        """SELECT row_number, lower(trim(domain)) AS domain, trim(category) AS category,
+          CASE WHEN row_number > 20000 THEN 'row_limit' WHEN domain IS NULL THEN 'missing_domain' ELSE 'unknown_category' END AS reason
+        FROM import_rows WHERE domain IS NULL OR category = 'newz' OR row_number > 20000""",
         _IMPORT_SQL,
     ),
 )

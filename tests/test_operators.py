@@ -73,6 +73,23 @@ def test_lookup_join_is_exact_under_skew(spark, hot_keys):
     assert got.count() == len(keys)
 
 
+def test_lookup_join_spreads_the_hot_key(spark):
+    fact = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), "id")).otherwise("hot").alias("key"))
+    dim = spark.createDataFrame([("hot", 1), ("k10", 2)], "key string, value int")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = lookup_join(fact, dim, "key", [F.col("id")], hot_keys=1)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        found = joined.groupBy("value").count().collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(sizes) == 4 and max(sizes) < 1500
+    assert {r.value: r["count"] for r in found} == {1: 3600, 2: 1, None: 399}
+
+
 def test_rollups(make_events):
     events = make_events(
         [

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trafficloom.functions.once import compute_once
+
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _V4 = f"{_OCTET}(?:\\.{_OCTET}){{3}}"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -67,13 +69,13 @@ def add_domain(df: DataFrame, url: str, method: str, out: str = "domain") -> Dat
 
     Absolute URLs give their host in lower case; CONNECT and scheme-less
     targets keep theirs. Steps are separate columns, so that each costly
-    expression runs once per row.
+    expression runs once per row, also when the result is filtered on.
     """
     url_authority = F.regexp_extract(url, "^[\\x00-\\x20]*[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)", 1)
     tunnel = (F.col(method) == "CONNECT") | ~F.col(url).contains("://")
     found = df.withColumn("__tunnel", tunnel).withColumn("__authority", F.when(~F.col("__tunnel"), url_authority))
     host = F.when(F.col("__tunnel"), tunnel_host(F.col(url))).otherwise(F.lower(_authority_host(F.col("__authority"))))
-    named = found.withColumn("__host", host)
+    named = compute_once(found, "__host", host)
     return named.withColumn(out, F.when(is_host_like(F.col("__host")), F.col("__host"))).drop(
         "__tunnel", "__authority", "__host"
     )

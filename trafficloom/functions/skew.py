@@ -10,6 +10,8 @@ BROADCAST_ROWS = 200_000
 # Keys that are handled by broadcast in the hot-key split. A key outside the
 # top 1,024 has less than 1/1024 of the rows.
 HOT_KEYS = 1_024
+# Number of made-up keys over which hot rows are spread.
+SPREAD_KEYS = 65_521
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -36,7 +38,8 @@ def lookup_join(
     The ``hot_keys`` most frequent keys of the facts are looked up by broadcast
     (the side has at most ``hot_keys`` rows by construction). All other keys
     meet in a shuffle join. Hot and NULL rows take part in that shuffle under
-    a second key column that spreads them over all tasks and matches nothing.
+    made-up keys that spread them over all tasks and match nothing (real keys
+    carry another first letter).
     The result is exact and ``fact`` is read once for the join; ``key_counts``
     (key, n) saves the counting pass when the caller has the counts already.
     """
@@ -50,13 +53,12 @@ def lookup_join(
     )
     tagged = fact.join(F.broadcast(hot_dim), F.col(key) == F.col("__hot_key"), "left")
     off_path = F.col("__hot_key").isNotNull() | F.col(key).isNull()
-    tagged = tagged.withColumn(
-        "__spread", F.when(off_path, F.pmod(F.xxhash64(*spread_by), F.lit(65_521)) + 1).otherwise(F.lit(0))
-    ).withColumn("__key", F.coalesce(F.col(key), F.lit("")))
+    spread = F.concat(F.lit("s"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD_KEYS)))
+    tagged = tagged.withColumn("__key", F.when(off_path, spread).otherwise(F.concat(F.lit("k"), F.col(key))))
     cold_dim = dim.select(
-        F.col(key).alias("__key"), F.lit(0).cast("long").alias("__spread"), *[F.col(v).alias(f"__cold_{v}") for v in values]
+        F.concat(F.lit("k"), F.col(key)).alias("__key"), *[F.col(v).alias(f"__cold_{v}") for v in values]
     )
-    joined = tagged.join(cold_dim, ["__key", "__spread"], "left")
+    joined = tagged.join(cold_dim, "__key", "left")
     return joined.select(
         *fact.columns,
         *[

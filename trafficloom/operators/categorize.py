@@ -113,7 +113,7 @@ def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = Non
     for one task are spread by them (default: the domain only).
     """
     spread = [F.col(c) for c in (spread_by or ["domain"])]
-    original = df.columns
+    original, source = df.columns, df
     if rules.overrides is not None:
         overrides = rules.overrides.select("domain", F.col("category").alias("override_category"))
         df = dimension_join(df, overrides, "domain", spread)
@@ -121,7 +121,9 @@ def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = Non
         df = df.withColumn("override_category", F.lit(None).cast("string"))
     df = known_host(df, rules.hostnames, "host_category")
     if rules.blocklist is not None:
-        counts = df.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+        named = source.where(F.col("domain").isNotNull())
+        counts = named.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+        # The filter keeps n in this use of the counts too, so both uses are one shuffle.
         hits = blocklist_hits(counts.where("n > 0"), rules.blocklist)
         df = lookup_join(df, hits, "domain", spread, key_counts=counts)
     else:

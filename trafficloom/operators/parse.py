@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trafficloom import schema
 from trafficloom.fixed_values import DENIED_PREFIX, DENIED_STATUSES, MAX_LENGTHS, PARSE_FAILURE_ALARM
 from trafficloom.functions.network import add_domain, is_ip
+from trafficloom.functions.once import compute_once
 from trafficloom.functions.text import WHITESPACE_CLASS, strip
 from trafficloom.functions.timeparts import from_epoch_micros
 
@@ -39,15 +40,6 @@ def _dash_to_null(raw: Column) -> Column:
     return F.nullif(raw, F.lit("-"))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column computed once per row.
-
-    The one-row ``explode`` keeps the optimizer from copying ``value`` into
-    every later filter and column that uses it.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def tokenize(lines: DataFrame) -> DataFrame:
     """Ten whitespace-separated fields; the last keeps its inner whitespace as it was.
 
@@ -61,7 +53,7 @@ def tokenize(lines: DataFrame) -> DataFrame:
     one_space = F.when(plain, F.regexp_replace(text, " {2,}", " ")).otherwise(
         F.regexp_replace(text, f"{WHITESPACE_CLASS}+", " ")
     )
-    split = _once(lines, "tokens", F.split(one_space, " ", len(FIELDS)))
+    split = compute_once(lines, "tokens", F.split(one_space, " ", len(FIELDS)))
     fields = {name: F.get("tokens", F.lit(i)) for i, name in enumerate(FIELDS)}
     tail = fields.pop(FIELDS[-1])
     dark = f"[^{WHITESPACE_CLASS[1:-1]}]"
@@ -106,7 +98,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     makes ids differ between files.
     """
     kept = lines.where(strip(F.col("value")) != "")
-    checked = _once(_add_micros(tokenize(kept)), "reject_reason", _reject_reason())
+    checked = compute_once(_add_micros(tokenize(kept)), "reject_reason", _reject_reason())
     source = [F.col("source_file")] if "source_file" in lines.columns else []
 
     action = F.substring_index("raw_action_status", "/", 1)

@@ -67,10 +67,20 @@ def json_frame(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rows.select(*resolve_columns(columns))
 
 
-def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, compression: str = "none") -> None:
+def write_csv(
+    rows: DataFrame,
+    path: str,
+    columns: list[str] | None = None,
+    compression: str = "none",
+    observation: Observation | None = None,
+) -> None:
     """CSV parts with header in id order; the range sort keeps the writing parallel."""
+    ordered = rows.orderBy("id")
+    if observation is not None:
+        # Above the sort, which reads its input twice to find the range bounds.
+        ordered = ordered.observe(observation, F.count(F.lit(1)).alias("row_count"))
     (
-        csv_frame(rows.orderBy("id"), columns)
+        csv_frame(ordered, columns)
         .write.mode("errorifexists")
         .option("header", True)
         .option("escape", '"')
@@ -107,7 +117,7 @@ def write_csv_with_manifest(
     The row count is observed while writing, so it is that of the files.
     """
     observation = Observation("export")
-    write_csv(rows.observe(observation, F.count(F.lit(1)).alias("row_count")), path, columns, compression)
+    write_csv(rows, path, columns, compression, observation)
     parts = manifest(rows.sparkSession, path)
     return parts.agg(
         F.lit(observation.get["row_count"]).alias("row_count"),

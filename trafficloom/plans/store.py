@@ -134,14 +134,17 @@ class LogStore:
 
     def _visible(self, name: str, upto: int) -> DataFrame:
         """Partial rows up to a batch plus compacted rows, each exactly once."""
+        data = table_schema(name)
+        partials = read_or_empty(self.spark, self.path(name), data).where(F.col("batch_id") <= upto)
+        if not exists(self.spark, self.path("_compactions")):
+            return partials
         merged = (
-            read_or_empty(self.spark, self.path("_compactions"), COMPACTIONS)
+            self.spark.read.schema(COMPACTIONS)
+            .parquet(self.path("_compactions"))
             .where((F.col("table_name") == name) & (F.col("upto_batch") <= upto))
             .groupBy("event_date")
             .agg(F.max("version").alias("version"), F.max("upto_batch").alias("upto_batch"))
         )
-        data = table_schema(name)
-        partials = read_or_empty(self.spark, self.path(name), data).where(F.col("batch_id") <= upto)
         kept = (
             partials.join(merged.select("event_date", "upto_batch"), "event_date", "left")
             .where(F.col("upto_batch").isNull() | (F.col("batch_id") > F.col("upto_batch")))
@@ -157,18 +160,25 @@ class LogStore:
         rows = self._visible(RAW_EVENTS, self.last_commit() if upto is None else upto)
         return rows.select(*schema.EVENT.names, "event_date")
 
-    def rollup(self, spec: RollupSpec, upto: int | None = None) -> DataFrame:
-        """A roll-up with its partial sums added up, and ``event_date``."""
+    def rollup(self, spec: RollupSpec, upto: int | None = None, merge: bool = True) -> DataFrame:
+        """A roll-up with ``event_date``, one row per key.
+
+        ``merge=False`` leaves the partial sums as they are: queries that only
+        sum measures or count distinct keys need no shuffle on the full key.
+        """
         rows = self._partial_rows(spec, upto)
+        if not merge:
+            return rows.select(*spec.keys, "event_date", *spec.measures)
         return rows.groupBy(*spec.keys, "event_date").agg(*[F.sum(m).alias(m) for m in spec.measures])
 
     def _partial_rows(self, spec: RollupSpec, upto: int | None = None) -> DataFrame:
-        last_run = self.last_rollup()
         if spec is CLIENT_HOURLY:
-            return self._visible(spec.name, last_run["run_id"])
+            return self._visible(spec.name, self.last_rollup()["run_id"])
         rows = self._visible(spec.name, self.last_commit() if upto is None else upto)
-        if spec is CLIENT_MINUTE and last_run["cutoff"] is not None:
-            rows = rows.where(~self._rolled_up(last_run))
+        if spec is CLIENT_MINUTE:
+            last_run = self.last_rollup()
+            if last_run["cutoff"] is not None:
+                rows = rows.where(~self._rolled_up(last_run))
         return rows
 
     @staticmethod
@@ -192,12 +202,11 @@ class LogStore:
     # ----- folding ---------------------------------------------------------
 
     def last_rollup(self) -> dict:
-        row = (
-            read_or_empty(self.spark, self.path("_rollups"), ROLLUPS)
-            .agg(F.max(F.struct("run_id", "cutoff", "upto_batch")).alias("run"))
-            .first()["run"]
-        )
-        return {"run_id": -1, "cutoff": None, "upto_batch": -1} if row is None else row.asDict()
+        """Marker of the newest hourly run."""
+        if not exists(self.spark, self.path("_rollups")):
+            return {"run_id": -1, "cutoff": None, "upto_batch": -1}
+        runs = self.spark.read.schema(ROLLUPS).parquet(self.path("_rollups"))
+        return runs.agg(F.max(F.struct("run_id", "cutoff", "upto_batch")).alias("run")).first()["run"].asDict()
 
     def roll_up_hours(self, cutoff: dt.datetime) -> None:
         """Move client minutes before ``cutoff`` into hours.

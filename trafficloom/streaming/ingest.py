@@ -71,7 +71,7 @@ class Ingest:
                 DetectionInput(
                     window=self.store.batch_events(batch),
                     minutes=self.store.rollup(MINUTE_TOTALS, before),
-                    domain_history=self.store.rollup(DOMAIN_MINUTE, before),
+                    domain_history=self.store.rollup(DOMAIN_MINUTE, before, merge=False),
                     event_history=self.store.events(before),
                     settings=self._settings(),
                     rules=self.rules,
