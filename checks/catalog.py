@@ -27,7 +27,12 @@ from trafficloom.operators import (
     traffic,
 )
 from trafficloom.plans import archive, branches, export, report, retention
+from trafficloom.plans.store import LogStore
+from trafficloom.schema import CLIENT_HOURLY, CLIENT_MINUTE, DOMAIN_MINUTE, MINUTE_TOTALS
+from trafficloom.session import scratch_dir
 from trafficloom.sources import dimensions
+from trafficloom.sources.access_log import stream_lines
+from trafficloom.streaming.ingest import Ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1029,6 +1034,41 @@ def _(d: Data) -> DataFrame:
     return branches.relabelled(d.minutes, "branch-a", "head-office")
 
 
+# ----- stored tables and streaming -----------------------------------------
+
+
+@query("stream_ingest", with_sql("SELECT * FROM minute_totals"))
+def _(d: Data) -> DataFrame:
+    """The events as log files, through the stream into a store, read back."""
+    root = scratch_dir(d.spark, "stream-ingest")
+    d.lines().write.partitionBy("branch").text(f"{root}/logs")
+    store = LogStore(d.spark, f"{root}/store")
+    lines = stream_lines(d.spark, f"{root}/logs")
+    Ingest(store, d.rules).start(lines, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store.rollup(MINUTE_TOTALS).drop("event_date")
+
+
+@query("store_two_grains", with_sql("SELECT * FROM client_rows", TWO_GRAINS_SQL))
+def _(d: Data) -> DataFrame:
+    """Client minutes stored, those before noon rolled up to hours, both read back."""
+    store = LogStore(d.spark, scratch_dir(d.spark, "two-grains"))
+    store.write_partials(0, CLIENT_MINUTE, d.client_minutes)
+    store.commit(0)
+    store.roll_up_hours(NOON)
+    return clients.client_bucket_rows(store.rollup(CLIENT_MINUTE), store.rollup(CLIENT_HOURLY), SINCE, UNTIL)
+
+
+@query("store_compacted", with_sql("SELECT * FROM domain_minute"))
+def _(d: Data) -> DataFrame:
+    """Domain minutes stored as two batches and folded into one version."""
+    store = LogStore(d.spark, scratch_dir(d.spark, "compacted"))
+    for batch, rows in enumerate((d.events.where("blocked"), d.events.where("NOT blocked"))):
+        store.write_partials(batch, DOMAIN_MINUTE, rollup.domain_minute(rows))
+        store.commit(batch)
+    store.compact(DOMAIN_MINUTE.name, store.dates(DOMAIN_MINUTE.name))
+    return store.rollup(DOMAIN_MINUTE).drop("event_date")
+
+
 # ----- reports, one per branch in one pass ---------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,9 @@ def known_host(df: DataFrame, hostnames: tuple[tuple[str, str], ...], out: str)
     original = df.columns
     picks = []
     for depth, rows in sorted(_by_label_count(hostnames).items(), reverse=True):
-        table = spark.createDataFrame(rows, f"__host_{depth} string, __category_{depth} string")
+        # An Arrow table becomes a local relation, whose exact size the planner knows.
+        hosts, categories = zip(*rows)
+        table = spark.createDataFrame(pa.table({f"__host_{depth}": hosts, f"__category_{depth}": categories}))
         df = df.join(F.broadcast(table), last_labels(F.lower("domain"), depth) == F.col(f"__host_{depth}"), "left")
         picks.append(F.col(f"__category_{depth}"))
     value = F.coalesce(*picks) if picks else F.lit(None).cast("string")
