@@ -121,9 +121,20 @@ def test_blocklist_folders(spark, tmp_path):
     assert got == {("g.example", "gaming", 2), ("bet.example", "gambling", 1)}
 
 
-def test_hostname_file(spark, tmp_path):
-    (tmp_path / "hosts.csv").write_text("hostname,category\nIntra.example,work_tools\n")
-    assert dimensions.load_hostnames(spark, str(tmp_path / "hosts.csv")) == (("intra.example", "work_tools"),)
+def test_hostname_file(spark, tmp_path, monkeypatch):
+    from trafficloom.operators import categorize
+
+    (tmp_path / "hosts.csv").write_text(
+        "hostname,category\nIntra.example,work_tools\nnews.intra.example,news\nexample,other\nlocal,gaming\n"
+    )
+    rules = CategoryRules(hostnames=dimensions.load_hostnames(spark, str(tmp_path / "hosts.csv")))
+    names = ["a.intra.example", "x.NEWS.intra.example", "b.example", "local", "notintra.examples", None]
+    frame = spark.createDataFrame([(n,) for n in names], "domain string")
+    want = dict(zip(names, ["work_tools", "news", "other", "gaming", "uncategorized", "uncategorized"]))
+    assert {r.domain: r.category for r in categorize.categorize(frame, rules).collect()} == want
+    # A list above the broadcast bound takes the shuffle path and gives the same.
+    monkeypatch.setattr(categorize, "MAX_BROADCAST_HOSTS", 2)
+    assert {r.domain: r.category for r in categorize.categorize(frame, rules).collect()} == want
 
 
 def test_sensitive_list_and_defaults(spark):

@@ -169,6 +169,32 @@ def test_relabel_moves_tables_without_conflicts(store, batches):
     assert {r.branch for r in store.rollup(MINUTE_TOTALS).collect()} == {"a", "b"}
 
 
+def test_monitors_store_findings_once(spark, store, make_events):
+    from trafficloom.plans.monitoring import run_monitors
+
+    _add(store, 0, make_events([{"timestamp": at(m), "domain": "plain.example", "branch": "a", "bytes": 60} for m in range(3)]))
+    settings = spark.createDataFrame(
+        [("a", 0, 100, 3)], "branch string, non_work_minutes int, byte_quota bigint, uncategorized_threshold int"
+    )
+    for when in (at(10), at(70)):
+        run_monitors(store, settings, CategoryRules(), when)
+        found = sorted((r.kind, r.generated_at, r.severity) for r in store.anomalies().collect())
+        assert found == [("byte_quota", at(10), "high"), ("uncategorized_domain", at(10), "low")]
+
+
+def test_archive_of_a_store_moves_its_watermarks(spark, store, make_events, tmp_path):
+    from trafficloom.plans.archive import RUNS, archive_store
+
+    _add(store, 0, make_events([{"timestamp": at(m), "branch": b} for m in range(2) for b in ("a", "b")]))
+    branches = spark.createDataFrame([("a",), ("b",)], "branch string")
+    out = str(tmp_path / "archive")
+    assert archive_store(store, branches, at(60), out)
+    assert not archive_store(store, branches, at(61), out)
+    assert {r.archived_until for r in store.state("archive_runs", RUNS).collect()} == {at(60)}
+    assert archive_store(store, branches, at(60 * 24 * 8), out)
+    assert spark.read.option("header", True).csv(out).where("run_date = '2024-05-01'").count() == 4
+
+
 # ----- streaming -----------------------------------------------------------
 
 

@@ -24,6 +24,7 @@ from trafficloom.fixed_values import (
     SPIKE_MULTIPLIER,
     TITLES,
 )
+from trafficloom.functions.skew import broadcast_if_small
 from trafficloom.functions.timeparts import shift
 from trafficloom.operators.categorize import CategoryRules, categorize
 from trafficloom.operators.filters import in_branch, page
@@ -157,7 +158,7 @@ def sensitive_visits(
     pairs = window.where(F.col("domain").isNotNull() & (F.col("domain") != "")).select("branch", "client_ip", "domain").distinct()
     sensitive = settings.where(F.size("sensitive_categories") > 0).select("branch", "sensitive_categories")
     candidates = (
-        categorize(pairs.join(sensitive, "branch"), rules, spread_by=["branch", "client_ip"])
+        categorize(pairs.join(broadcast_if_small(sensitive), "branch"), rules, spread_by=["branch", "client_ip"])
         .where(F.array_contains("sensitive_categories", F.col("category")))
         .join(window_bounds(window), "branch")
     )

@@ -15,24 +15,25 @@ from trafficloom.fixed_values import (
     UNCATEGORIZED,
 )
 from trafficloom.functions.network import last_labels
-from trafficloom.functions.skew import dimension_join, lookup_join
+from trafficloom.functions.skew import dimension_join, has_at_most, lookup_join
 
 # Pieces a matched blocklist entry is copied into, so that one parent domain
 # with very many sub-domains is met by many tasks.
 SUFFIX_SALTS = 32
+# Host lists up to this many rows are matched by broadcast joins.
+MAX_BROADCAST_HOSTS = 10_000
 
 
 @dataclass(frozen=True)
 class CategoryRules:
     """The rule tables of a deployment.
 
-    ``hostnames``: (hostname, category) pairs, a curated list held as a plain
-    parameter (see ``sources.dimensions.load_hostnames``, which checks its size).
+    ``hostnames``: (hostname, category) pairs, or a DataFrame of them of any size.
     ``overrides``: DataFrame (domain, category), one row per domain.
     ``blocklist``: DataFrame (domain, label, priority), any size.
     """
 
-    hostnames: tuple[tuple[str, str], ...] = STARTER_HOSTNAMES
+    hostnames: tuple[tuple[str, str], ...] | DataFrame = STARTER_HOSTNAMES
     overrides: DataFrame | None = None
     blocklist: DataFrame | None = None
     tlds: tuple[tuple[str, str], ...] = field(default=TLD_CATEGORIES)
@@ -65,22 +66,26 @@ def known_host(df: DataFrame, hostnames: tuple[tuple[str, str], ...], out: str)
     return df.select(*original, value.alias(out))
 
 
-def ancestors(domain: Column) -> Column:
-    """The domain and its parents, down to two labels."""
+def ancestors(domain: Column, shortest: int = 2) -> Column:
+    """The domain and its parents, down to ``shortest`` labels."""
     labels = F.split(F.lower(domain), "\\.")
-    starts = F.sequence(F.lit(1), F.size(labels) - 1)
+    starts = F.sequence(F.lit(1), F.size(labels) - shortest + 1)
     found = F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    return F.when(F.size(labels) >= 2, found).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(labels) >= shortest, found).otherwise(F.array().cast("array<string>"))
 
 
-def blocklist_hits(domains: DataFrame, blocklist: DataFrame, salts: int = SUFFIX_SALTS) -> DataFrame:
+def blocklist_hits(
+    domains: DataFrame, blocklist: DataFrame, salts: int = SUFFIX_SALTS, shortest: int = 2
+) -> DataFrame:
     """(domain, label) for those ``domain`` rows (distinct) with a listed ancestor.
 
+    The entry with the lowest priority number gives the label.
+
     Listed ancestors are found on distinct suffixes first, where keys are unique
     on both sides. Only those entries are then copied ``salts`` times for the
     join back to the domains, so a parent shared by many domains is split.
     """
-    pairs = domains.select("domain", F.explode(ancestors(F.col("domain"))).alias("suffix"))
+    pairs = domains.select("domain", F.explode(ancestors(F.col("domain"), shortest)).alias("suffix"))
     best = blocklist.groupBy(F.col("domain").alias("suffix")).agg(F.min(F.struct("priority", "label")).alias("entry"))
     listed = pairs.select("suffix").distinct().join(best, "suffix")
     copies = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -108,6 +113,13 @@ def _first_match(rules: tuple[tuple[str, str], ...], test) -> Column:
     return chain
 
 
+def _host_rows(hostnames: tuple[tuple[str, str], ...] | DataFrame) -> tuple[tuple[str, str], ...] | DataFrame:
+    """A host list as plain rows when its size allows, else as the frame it is."""
+    if isinstance(hostnames, tuple) or not has_at_most(hostnames, MAX_BROADCAST_HOSTS):
+        return hostnames
+    return tuple((r.hostname.lower(), r.category) for r in hostnames.select("hostname", "category").collect())
+
+
 def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = None) -> DataFrame:
     """Adds one column per rule tier: override, host, listed, tld and keyword categories.
 
@@ -122,12 +134,19 @@ def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = Non
         df = dimension_join(df, overrides, "domain", spread)
     else:
         df = df.withColumn("override_category", F.lit(None).cast("string"))
-    df = known_host(df, rules.hostnames, "host_category")
+    named = source.where(F.col("domain").isNotNull())
+    counts = named.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    hosts = _host_rows(rules.hostnames)
+    if isinstance(hosts, tuple):
+        df = known_host(df, hosts, "host_category")
+    else:
+        longest = hosts.select(
+            F.lower("hostname").alias("domain"), F.col("category").alias("label"), (-F.length("hostname")).alias("priority")
+        )
+        found = blocklist_hits(counts.select("domain"), longest, shortest=1).withColumnRenamed("label", "host_category")
+        df = lookup_join(df, found, "domain", spread, key_counts=counts)
     if rules.blocklist is not None:
-        named = source.where(F.col("domain").isNotNull())
-        counts = named.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-        # The filter keeps n in this use of the counts too, so both uses are one shuffle.
-        hits = blocklist_hits(counts.where("n > 0"), rules.blocklist)
+        hits = blocklist_hits(counts.select("domain"), rules.blocklist)
         df = lookup_join(df, hits, "domain", spread, key_counts=counts)
     else:
         df = df.withColumn("label", F.lit(None).cast("string"))

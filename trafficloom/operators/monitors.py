@@ -16,6 +16,7 @@ from trafficloom.fixed_values import (
     UNCATEGORIZED_CANDIDATES,
     UNCATEGORIZED_COOLDOWN_DAYS,
 )
+from trafficloom.functions.skew import broadcast_if_small
 from trafficloom.functions.timeparts import ntz
 from trafficloom.operators.anomalies import as_anomalies
 from trafficloom.operators.categorize import CategoryRules
@@ -47,7 +48,7 @@ def non_work_time(
     limits = settings.select("branch", "non_work_minutes")
     over = (
         active_minutes(category_minutes, since)
-        .join(limits, "branch", "left")
+        .join(broadcast_if_small(limits), "branch", "left")
         .withColumn("threshold", F.coalesce("non_work_minutes", F.lit(DEFAULT_NON_WORK_MINUTES)))
         .where((F.col("threshold") > 0) & (F.col("minutes") >= F.col("threshold")))
     )
@@ -60,7 +61,7 @@ def non_work_time(
 def byte_quota(client_minutes: DataFrame, settings: DataFrame, anomalies: DataFrame, now: dt.datetime) -> DataFrame:
     since = now - dt.timedelta(hours=MONITOR_LOOKBACK_HOURS)
     used = _since(client_minutes, since).groupBy("branch", "client_ip").agg(F.sum("total_bytes").alias("used"))
-    over = used.join(settings.select("branch", "byte_quota"), "branch").where(
+    over = used.join(broadcast_if_small(settings.select("branch", "byte_quota")), "branch").where(
         (F.col("byte_quota") != 0) & (F.col("used") >= F.col("byte_quota"))
     )
     fresh = not_flagged_since(over, anomalies, "byte_quota", ["branch", "client_ip"], since)
@@ -78,7 +79,7 @@ def uncategorized_domains(
     top = top_domains_per_branch(
         domain_minutes, since, now, rules, UNCATEGORIZED_CANDIDATES, category=UNCATEGORIZED
     )
-    over = top.join(limits, "branch").where(F.col("request_count") >= F.col("uncategorized_threshold"))
+    over = top.join(broadcast_if_small(limits), "branch").where(F.col("request_count") >= F.col("uncategorized_threshold"))
     cooldown = now - dt.timedelta(days=UNCATEGORIZED_COOLDOWN_DAYS)
     fresh = not_flagged_since(over, anomalies, "uncategorized_domain", ["branch", "domain"], cooldown)
     text = F.format_string(

@@ -12,6 +12,7 @@ from trafficloom.functions.skew import broadcast_if_small
 from trafficloom.functions.timeparts import ntz
 from trafficloom.plans.export import csv_frame
 from trafficloom.plans.files import delete, partitions
+from trafficloom.plans.store import LogStore
 
 
 def archive_windows(branches: DataFrame, archive_runs: DataFrame, now: dt.datetime) -> DataFrame:
@@ -65,6 +66,18 @@ def run_archive(
     return advance(branches, archive_runs, now)
 
 
+RUNS = "branch string, archived_until timestamp_ntz"
+
+
+def archive_store(store: LogStore, branches: DataFrame, now: dt.datetime, out: str) -> bool:
+    """Archive a store when any branch is due; the watermarks move only after the files are written."""
+    runs = store.state("archive_runs", RUNS)
+    if not is_due(branches, runs, now).first()["due"]:
+        return False
+    store.save_state("archive_runs", run_archive(store.events(), branches, runs, now, out))
+    return True
+
+
 def prune_archives(spark: SparkSession, out: str, keep_days: int, now: dt.datetime) -> list[str]:
     """Delete run folders older than ``keep_days``; returns their dates."""
     oldest = (now - dt.timedelta(days=keep_days)).date()

@@ -60,6 +60,7 @@ ROLLUPS = T.StructType(
 )
 REJECTS = "branch string, reject_reason string, line string, batch_id bigint"
 QUALITY = "branch string, lines_seen bigint, lines_parsed bigint, batch_id bigint"
+MONITOR_ANOMALIES = "monitor_anomalies"
 _SPECS = {spec.name: spec for spec in ALL_ROLLUPS}
 _TEXT_KEYS = {"branch", "domain", "client_ip", "user", "category"}
 
@@ -189,7 +190,30 @@ class LogStore:
         full = T.StructType([*schema.ANOMALY.fields, T.StructField("batch_id", T.LongType())])
         last = self.last_commit() if upto is None else upto
         rows = read_or_empty(self.spark, self.path(ANOMALIES), full)
-        return rows.where(F.col("batch_id") <= last).drop("batch_id")
+        monitored = read_or_empty(self.spark, self.path(MONITOR_ANOMALIES), schema.ANOMALY)
+        return rows.where(F.col("batch_id") <= last).drop("batch_id").unionByName(monitored.select(*schema.ANOMALY.names))
+
+    def write_monitor_run(self, monitor: str, now: dt.datetime, rows: DataFrame) -> None:
+        """Anomalies of one periodic check; a repeated run replaces itself."""
+        tagged = rows.select(*schema.ANOMALY.names, F.lit(f"{monitor}-{now:%Y%m%dT%H%M%S}").alias("run"))
+        overwrite_partitions(tagged, self.path(MONITOR_ANOMALIES), "run")
+
+    # ----- small state tables ----------------------------------------------
+
+    def state(self, name: str, columns: str) -> DataFrame:
+        """The newest version of a small table, without rows before the first."""
+        versions = self._versions(name)
+        path = f"{self.path(name)}/version={versions[-1]}" if versions else f"{self.path(name)}/none"
+        return read_or_empty(self.spark, path, columns)
+
+    def save_state(self, name: str, rows: DataFrame) -> None:
+        """Write a new version beside the old one, which may be the input of ``rows``."""
+        version = 1 + max(self._versions(name), default=-1)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path(name)}/version={version}")
+
+    def _versions(self, name: str) -> list[int]:
+        found = partitions(self.spark, self.path(name), "version")
+        return sorted(int(p["version"]) for p in found if exists(self.spark, f"{p['path']}/_SUCCESS"))
 
     def rejects(self) -> DataFrame:
         return read_or_empty(self.spark, self.path("rejects"), REJECTS).where(F.col("batch_id") <= self.last_commit())

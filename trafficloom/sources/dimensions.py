@@ -12,22 +12,12 @@ from trafficloom.fixed_values import (
     DEFAULT_NON_WORK_MINUTES,
     MAX_IMPORT_ROWS,
 )
-from trafficloom.functions.skew import has_at_most
 from trafficloom.functions.text import strip
 
-MAX_HOSTNAMES = 10_000
-
-
-def load_hostnames(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
-    """The curated host list of a deployment from a ``hostname,category`` CSV.
-
-    The list becomes a plan parameter, so its size is checked. A larger list
-    belongs in the blocklist, which is a joined table of any size.
-    """
+def load_hostnames(spark: SparkSession, path: str) -> DataFrame:
+    """The curated host list of a deployment, of any size, from a ``hostname,category`` CSV."""
     rows = spark.read.schema("hostname string, category string").option("header", True).csv(path)
-    if not has_at_most(rows, MAX_HOSTNAMES):
-        raise ValueError(f"more than {MAX_HOSTNAMES} hostnames in {path}; load them as a blocklist")
-    return tuple((r.hostname.strip().lower(), r.category.strip()) for r in rows.collect())
+    return rows.select(F.lower(strip(F.col("hostname"))).alias("hostname"), strip(F.col("category")).alias("category"))
 
 
 def label_priority() -> list[tuple[str, int]]:
