@@ -5,12 +5,19 @@ from pyspark.sql import functions as F
 
 from trafficloom.operators.categorize import CategoryRules
 from trafficloom.operators.clients import client_bucket_rows
-from trafficloom.operators.rollup import client_category_minute, client_minute, domain_minute, minute_totals
+from trafficloom.operators.rollup import (
+    client_category_minute,
+    client_domain_seen,
+    client_minute,
+    domain_minute,
+    minute_totals,
+)
 from trafficloom.plans.branches import relabel_branch
 from trafficloom.plans.retention import run_retention
 from trafficloom.plans.store import LogStore
 from trafficloom.schema import (
     CLIENT_CATEGORY_MINUTE,
+    CLIENT_DOMAIN_SEEN,
     CLIENT_HOURLY,
     CLIENT_MINUTE,
     DOMAIN_MINUTE,
@@ -56,6 +63,7 @@ def _same_as_direct(store, events):
     for spec, build in (
         (MINUTE_TOTALS, minute_totals), (DOMAIN_MINUTE, domain_minute), (CLIENT_MINUTE, client_minute),
         (CLIENT_CATEGORY_MINUTE, lambda e: client_category_minute(e, CategoryRules())),
+        (CLIENT_DOMAIN_SEEN, client_domain_seen),
     ):
         columns = [*spec.keys, *spec.measures]
         assert rows(store.rollup(spec), *columns) == rows(build(events), *columns), spec.name
@@ -98,7 +106,9 @@ def test_compaction_and_vacuum_keep_every_row(store, batches, make_events):
     everything = batches[0].unionByName(batches[1])
     for n, events in enumerate(batches):
         _add(store, n, events)
-    for name in (RAW_EVENTS, MINUTE_TOTALS.name, DOMAIN_MINUTE.name, CLIENT_CATEGORY_MINUTE.name, CLIENT_MINUTE.name):
+    for name in (
+        RAW_EVENTS, MINUTE_TOTALS.name, DOMAIN_MINUTE.name, CLIENT_CATEGORY_MINUTE.name, CLIENT_MINUTE.name, CLIENT_DOMAIN_SEEN.name
+    ):
         store.compact(name, [T0.date()])
     _same_as_direct(store, everything)
     late = make_events([{"timestamp": at(0, 1), "branch": "a"}])

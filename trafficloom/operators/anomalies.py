@@ -24,7 +24,7 @@ from trafficloom.fixed_values import (
     SPIKE_MULTIPLIER,
     TITLES,
 )
-from trafficloom.functions.skew import broadcast_if_small
+from trafficloom.functions.skew import BROADCAST_ROWS, broadcast_if_small, has_at_most
 from trafficloom.functions.timeparts import shift
 from trafficloom.operators.categorize import CategoryRules, categorize
 from trafficloom.operators.filters import in_branch, page
@@ -105,7 +105,13 @@ def first_seen(history: DataFrame, keys: list[str], time: str) -> DataFrame:
 
 
 def unseen(candidates: DataFrame, history: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """Candidates (unique keys, with ``window_start``) that history does not hold before the window."""
+    """Candidates (unique keys, with ``window_start``) that history does not hold before the window.
+
+    A window has few candidates: when that is proven, they are broadcast to the
+    history scan, so that history is read narrowly and not shuffled.
+    """
+    if has_at_most(candidates, BROADCAST_ROWS):
+        history = history.join(F.broadcast(candidates.select(*keys)), keys, "left_semi")
     known = first_seen(history, keys, time).select(*[F.col(k).alias(f"__{k}") for k in keys], "first_seen")
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
     return candidates.join(known, [*same, F.col("first_seen") < F.col("window_start")], "left_anti")
@@ -171,12 +177,16 @@ def sensitive_visits(
 
 @dataclass(frozen=True)
 class DetectionInput:
-    """What a detector set may look at. History frames exclude the current batch."""
+    """What a detector set may look at. History frames exclude the current batch.
+
+    ``domain_history`` holds domain minutes, ``visit_history`` first visits of
+    clients to domains: both are far smaller than the events.
+    """
 
     window: DataFrame
     minutes: DataFrame
     domain_history: DataFrame
-    event_history: DataFrame
+    visit_history: DataFrame
     settings: DataFrame
     rules: CategoryRules
 
@@ -190,7 +200,7 @@ def detect_statistical(data: DetectionInput) -> DataFrame:
         traffic_spike(data.window, data.minutes),
         new_blocked_domains(data.window, data.domain_history, "bucket_ts"),
         client_blocked_ratio(data.window),
-        sensitive_visits(data.window, data.event_history, data.settings, data.rules),
+        sensitive_visits(data.window, data.visit_history, data.settings, data.rules, "first_seen"),
     ]
     merged = found[0]
     for rows in found[1:]:

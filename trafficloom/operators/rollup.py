@@ -74,6 +74,12 @@ def client_hourly(client_minutes: DataFrame) -> DataFrame:
     return client_minutes.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in CLIENT_MINUTE.measures])
 
 
-def merge_partials(partials: DataFrame, spec: RollupSpec) -> DataFrame:
-    """Sum rows that share the key; NULL keys form one group."""
-    return partials.groupBy(*spec.keys).agg(*[F.sum(m).alias(m) for m in spec.measures])
+def client_domain_seen(events: DataFrame) -> DataFrame:
+    """First visit of every client to every domain."""
+    named = events.where(F.col("domain").isNotNull() & (F.col("domain") != ""))
+    return named.groupBy("client_ip", "branch", "domain").agg(F.min("timestamp").alias("first_seen"))
+
+
+def merge_partials(partials: DataFrame, spec: RollupSpec, *more_keys: str) -> DataFrame:
+    """Merge rows that share the key; NULL keys form one group."""
+    return partials.groupBy(*spec.keys, *more_keys).agg(*spec.merged())

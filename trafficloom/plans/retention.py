@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trafficloom.fixed_values import HOURLY_AFTER_HOURS, RAW_RETENTION_DAYS, ROLLUP_RETENTION_DAYS
 from trafficloom.functions.timeparts import ntz
 from trafficloom.plans.store import LogStore
-from trafficloom.schema import ALL_ROLLUPS, CLIENT_MINUTE, RAW_EVENTS
+from trafficloom.schema import ALL_ROLLUPS, CLIENT_DOMAIN_SEEN, CLIENT_MINUTE, RAW_EVENTS
 
 
 def unarchived_branches(branches: DataFrame, archive_runs: DataFrame, cutoff: dt.datetime) -> DataFrame:
@@ -54,6 +54,9 @@ def run_retention(
         if spec is CLIENT_MINUTE:
             # Minutes this old are hours already.
             store.drop_dates(spec.name, rollup_cutoff.date())
+        elif spec is CLIENT_DOMAIN_SEEN:
+            # Visits are remembered as long as the events themselves.
+            store.drop_dates(spec.name, raw_cutoff.date())
         else:
             _purge(store, spec.name, rollup_cutoff, "bucket_ts")
     return warning

@@ -25,9 +25,11 @@ from trafficloom.functions.timeparts import ntz
 from trafficloom.operators.categorize import CategoryRules
 from trafficloom.operators.rollup import (
     client_category_minute,
+    client_domain_seen,
     client_hourly,
     client_minute,
     domain_minute,
+    merge_partials,
     minute_totals,
 )
 from trafficloom.plans.files import delete, exists, overwrite_partitions, partitions, read_or_empty
@@ -35,6 +37,7 @@ from trafficloom.schema import (
     ALL_ROLLUPS,
     ANOMALIES,
     CLIENT_CATEGORY_MINUTE,
+    CLIENT_DOMAIN_SEEN,
     CLIENT_HOURLY,
     CLIENT_MINUTE,
     DOMAIN_MINUTE,
@@ -75,7 +78,8 @@ def table_schema(name: str, marker: str = "batch_id") -> T.StructType:
         keys = [
             T.StructField(k, T.StringType() if k in _TEXT_KEYS else T.TimestampNTZType()) for k in spec.keys
         ]
-        fields = keys + [T.StructField(m, T.LongType()) for m in spec.measures]
+        measure = T.LongType() if spec.merge == "sum" else T.TimestampNTZType()
+        fields = keys + [T.StructField(m, measure) for m in spec.measures]
         tail = [T.StructField("event_date", T.DateType())]
     return T.StructType([*fields, *tail, T.StructField(marker, T.LongType())])
 
@@ -106,18 +110,19 @@ class LogStore:
         rows = sums.select(
             *spec.keys,
             *spec.measures,
-            F.to_date("bucket_ts").alias("event_date"),
+            F.to_date(spec.time).alias("event_date"),
             F.lit(batch_id).cast("long").alias("batch_id"),
         )
         overwrite_partitions(rows, self.path(spec.name), "event_date", "batch_id")
 
     def write_rollups(self, batch_id: int, rules: CategoryRules) -> None:
-        """The four flushed roll-ups, computed from the stored events of the batch."""
+        """The flushed roll-ups, computed from the stored events of the batch."""
         events = self.batch_events(batch_id)
         self.write_partials(batch_id, MINUTE_TOTALS, minute_totals(events))
         self.write_partials(batch_id, DOMAIN_MINUTE, domain_minute(events))
         self.write_partials(batch_id, CLIENT_MINUTE, client_minute(events))
         self.write_partials(batch_id, CLIENT_CATEGORY_MINUTE, client_category_minute(events, rules))
+        self.write_partials(batch_id, CLIENT_DOMAIN_SEEN, client_domain_seen(events))
 
     def write_rows(self, name: str, batch_id: int, rows: DataFrame) -> None:
         """Rows of a batch for a table that is only partitioned by batch."""
@@ -170,7 +175,7 @@ class LogStore:
         rows = self._partial_rows(spec, upto)
         if not merge:
             return rows.select(*spec.keys, "event_date", *spec.measures)
-        return rows.groupBy(*spec.keys, "event_date").agg(*[F.sum(m).alias(m) for m in spec.measures])
+        return merge_partials(rows, spec, "event_date")
 
     def _partial_rows(self, spec: RollupSpec, upto: int | None = None) -> DataFrame:
         if spec is CLIENT_HOURLY:
@@ -270,8 +275,7 @@ class LogStore:
             # Rebalance splits a branch that is too big for one task and joins small ones.
             rows = rows.drop("batch_id").hint("rebalance", "event_date", "branch")
         else:
-            spec = _SPECS[name]
-            rows = rows.groupBy(*spec.keys, "event_date").agg(*[F.sum(m).alias(m) for m in spec.measures])
+            rows = merge_partials(rows, _SPECS[name], "event_date")
         versioned = rows.withColumn("version", F.lit(version).cast("long"))
         if name == RAW_EVENTS:
             # Row groups ordered by client let single-client reads skip most of them.

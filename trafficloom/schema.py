@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EVENT = T.StructType(
@@ -48,11 +50,20 @@ ANOMALY = T.StructType(
 
 @dataclass(frozen=True)
 class RollupSpec:
-    """A table of additive measures: rows with equal keys may be summed freely."""
+    """A table of mergeable measures: rows with equal keys may be merged freely.
+
+    Measures are sums, or minima of ``time`` where ``merge`` says so.
+    """
 
     name: str
     keys: tuple[str, ...]
     measures: tuple[str, ...]
+    merge: str = "sum"
+    time: str = "bucket_ts"
+
+    def merged(self) -> list[Column]:
+        combine = {"sum": F.sum, "min": F.min}[self.merge]
+        return [combine(m).alias(m) for m in self.measures]
 
 
 MINUTE_TOTALS = RollupSpec(
@@ -84,7 +95,12 @@ CLIENT_CATEGORY_MINUTE = RollupSpec(
     ("request_count", "total_bytes"),
 )
 
+# Which client opened which domain, and when first: one row per batch and pair.
+CLIENT_DOMAIN_SEEN = RollupSpec(
+    "client_domain_seen", ("client_ip", "branch", "domain"), ("first_seen",), merge="min", time="first_seen"
+)
+
 RAW_EVENTS = "raw_events"
 ANOMALIES = "anomalies"
-FLUSHED_ROLLUPS = (MINUTE_TOTALS, DOMAIN_MINUTE, CLIENT_MINUTE, CLIENT_CATEGORY_MINUTE)
+FLUSHED_ROLLUPS = (MINUTE_TOTALS, DOMAIN_MINUTE, CLIENT_MINUTE, CLIENT_CATEGORY_MINUTE, CLIENT_DOMAIN_SEEN)
 ALL_ROLLUPS = (*FLUSHED_ROLLUPS, CLIENT_HOURLY)

@@ -15,7 +15,7 @@ from trafficloom.operators.anomalies import DetectionInput, detector
 from trafficloom.operators.categorize import CategoryRules
 from trafficloom.operators.parse import parse_lines
 from trafficloom.plans.store import LogStore
-from trafficloom.schema import ANOMALIES, DOMAIN_MINUTE, MINUTE_TOTALS
+from trafficloom.schema import ANOMALIES, CLIENT_DOMAIN_SEEN, DOMAIN_MINUTE, MINUTE_TOTALS
 
 log = logging.getLogger(__name__)
 
@@ -72,7 +72,7 @@ class Ingest:
                     window=self.store.batch_events(batch),
                     minutes=self.store.rollup(MINUTE_TOTALS, before),
                     domain_history=self.store.rollup(DOMAIN_MINUTE, before, merge=False),
-                    event_history=self.store.events(before),
+                    visit_history=self.store.rollup(CLIENT_DOMAIN_SEEN, before, merge=False),
                     settings=self._settings(),
                     rules=self.rules,
                 )
