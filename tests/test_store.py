@@ -69,6 +69,16 @@ def _same_as_direct(store, events):
         assert rows(store.rollup(spec), *columns) == rows(build(events), *columns), spec.name
 
 
+def test_other_time_zones_are_refused(spark, tmp_path):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        with pytest.raises(ValueError):
+            LogStore(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_partials_add_up_over_batches(store, batches):
     for n, events in enumerate(batches):
         _add(store, n, events)

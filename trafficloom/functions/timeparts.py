@@ -1,4 +1,4 @@
-"""Time bucketing and range resolution, independent of the session time zone."""
+"""Time bucketing and range resolution."""
 
 from __future__ import annotations
 

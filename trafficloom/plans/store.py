@@ -45,6 +45,7 @@ from trafficloom.schema import (
     RAW_EVENTS,
     RollupSpec,
 )
+from trafficloom.session import require_utc
 
 COMPACTIONS = T.StructType(
     [
@@ -86,6 +87,7 @@ def table_schema(name: str, marker: str = "batch_id") -> T.StructType:
 
 class LogStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
+        require_utc(spark)
         self.spark = spark
         self.root = root.rstrip("/")
 

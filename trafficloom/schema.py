@@ -1,7 +1,8 @@
 """Table schemas, keys and measures.
 
-Timestamps are TIMESTAMP_NTZ holding UTC wall time, so results do not depend
-on the session time zone.
+Timestamps are TIMESTAMP_NTZ holding UTC wall time. Sessions must run in UTC,
+which ``build_session`` sets and ``LogStore`` checks: time arithmetic goes
+through the session time zone.
 """
 
 from __future__ import annotations

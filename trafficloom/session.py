@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 def build_session(app_name: str = "trafficloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -27,6 +29,12 @@ def build_session(app_name: str = "trafficloom", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def require_utc(spark: SparkSession) -> None:
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"the session time zone must be UTC, not {zone}")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location.
 
