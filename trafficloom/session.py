@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,9 +39,13 @@ def require_utc(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location.
 
-    On a cluster ``spark.checkpoint.dir`` names storage every executor can
-    reach. Only where it is unset (tests on one machine) is a local temporary
-    folder taken.
+    ``spark.checkpoint.dir`` names storage every executor can reach. Where it
+    is unset, a session that runs inside one process takes a local temporary
+    folder; on a cluster rows written there would be lost, so that is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trafficloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="trafficloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
