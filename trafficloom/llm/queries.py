@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trafficloom.llm import licenses, mixing
-from trafficloom.llm.tables import table
+from trafficloom.llm import langid, licenses, mixing
+from trafficloom.llm.tables import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = build
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return build
@@ -77,3 +82,16 @@ JOIN known ON digest = sha256(words) WHERE words != ''"""
 @query("op6_license_scan", LICENSE_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_table(spark))
+
+
+def id_fold(folds: int) -> Column:
+    """The fold of a document: crc32 of doc_id as text, modulo ``folds``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
+
+
+@query("op10_language")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, id_fold(4) != 2)
+    found = langid.classify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")

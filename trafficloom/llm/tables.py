@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+import trafficloom
+
 from trafficloom.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,3 +26,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers that do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_trafficloom_shipped", False):
+        return
+    root = Path(trafficloom.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="trafficloom-package-")) / "trafficloom.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for file in sorted(root.rglob("*.py")):
+            target.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._trafficloom_shipped = True
