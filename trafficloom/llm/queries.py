@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficloom.llm import langid, licenses, mixing
+import public_tokenizers
+from trafficloom.llm import langid, licenses, mixing, token_files
 from trafficloom.llm.tables import ship_package, table
 
+# The vocabulary of the token files; its place is the library's, never a copy of ours.
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -95,3 +99,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs, id_fold(4) != 2)
     found = langid.classify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_token_files")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.token_digests(docs, public_tokenizers.path(VOCABULARY))

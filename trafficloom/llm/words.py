@@ -41,10 +41,17 @@ def _byte_values(fold_case: bool) -> np.ndarray:
 
 
 _VALUES = {True: _byte_values(True), False: _byte_values(False)}
+
+
+def byte_values(fold_case: bool) -> np.ndarray:
+    """The value each byte adds to the hash of its word."""
+    return _VALUES[fold_case]
+
+
 _powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < size:
         tables = []
@@ -97,7 +104,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def _hash_piece(data: np.ndarray, starts: np.ndarray, spaces: np.ndarray, fold_case: bool) -> np.ndarray:
-    powers, inverses = _power_tables(len(data))
+    powers, inverses = power_tables(len(data))
     values = _VALUES[fold_case][data]
     values[spaces] = 0
     values *= powers[: len(data)]
