@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trafficloom.llm import langid, licenses, mixing, token_files
+from trafficloom.llm import langid, licenses, mixing, set_join, token_files
 from trafficloom.llm.tables import ship_package, table
 
 # The vocabulary of the token files; its place is the library's, never a copy of ours.
@@ -105,3 +105,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.token_digests(docs, public_tokenizers.path(VOCABULARY))
+
+
+@query("op8_jaccard_join")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
