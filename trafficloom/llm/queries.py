@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trafficloom.llm import langid, licenses, mixing, set_join, token_files
+from trafficloom.llm import decontaminate, langid, licenses, mixing, set_join, token_files
 from trafficloom.llm.tables import ship_package, table
 
 # The vocabulary of the token files; its place is the library's, never a copy of ours.
@@ -64,23 +64,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-def _canonical_sql(text: str) -> str:
-    kept = (
-        f"array_to_string(list_filter(string_split(lower({text}), chr(10)), "
-        f"lambda x: NOT regexp_matches(x, '{licenses.COPYRIGHT_LINE}')), chr(10))"
-    )
-    words = rf"' ' || regexp_replace({kept}, '{licenses.NOT_WORD}', ' ', 'g') || ' '"
+def _respelled_sql(words: str) -> str:
+    words = f"' ' || {words} || ' '"
     for old, new in licenses.SPELLING.items():
         words = f"replace({words}, ' {old} ', ' {new} ')"
     return f"trim({words})"
 
 
-LICENSE_SQL = f"""WITH known(digest, license) AS (VALUES {', '.join(f"('{d}', '{n}')" for d, n in licenses.known_digests())}),
-parts AS (SELECT doc_id, CAST(NULL AS INTEGER) AS line, "text" AS part FROM documents WHERE "text" IS NOT NULL
-  UNION ALL SELECT doc_id, CAST(unnest(range(1, len(string_split("text", chr(10))) + 1)) AS INTEGER),
-    unnest(string_split("text", chr(10))) FROM documents WHERE "text" IS NOT NULL)
-SELECT doc_id, line, license FROM (SELECT doc_id, line, {_canonical_sql("part")} AS words FROM parts) p
-JOIN known ON digest = sha256(words) WHERE words != ''"""
+LICENSE_SQL = f"""WITH known(digest, license) AS (VALUES {', '.join(f"('{d}', '{n}')" for d, n, _ in licenses.known_digests())}),
+split AS (SELECT doc_id, list_transform(string_split(lower("text"), chr(10)), lambda x:
+    CASE WHEN regexp_matches(x, '{licenses.COPYRIGHT_LINE}') THEN ''
+      ELSE trim(regexp_replace(x, '{licenses.NOT_WORD}', ' ', 'g')) END) AS lines FROM documents WHERE "text" IS NOT NULL),
+parts AS (SELECT doc_id, CAST(NULL AS INTEGER) AS line, array_to_string(list_filter(lines, lambda x: x != ''), ' ') AS part FROM split
+  UNION ALL SELECT doc_id, CAST(unnest(range(1, len(lines) + 1)) AS INTEGER), unnest(lines) FROM split)
+SELECT doc_id, line, license FROM (SELECT doc_id, line, {_respelled_sql("part")} AS words FROM parts WHERE part != '') p
+JOIN known ON digest = sha256(words)"""
 
 
 @query("op6_license_scan", LICENSE_SQL)
@@ -110,3 +108,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_benchmark_leaks")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
