@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trafficloom.llm import decontaminate, langid, licenses, mixing, set_join, token_files
+from trafficloom.llm import bloom_lm, decontaminate, langid, licenses, mixing, set_join, token_files
 from trafficloom.llm.tables import ship_package, table
 
 # The vocabulary of the token files; its place is the library's, never a copy of ours.
@@ -113,3 +113,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_benchmark_leaks")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_bloom_scores")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bloom_lm.score_documents(docs, id_fold(5) != 1)
+    return found.withColumn("held_out", id_fold(5) == 1)
