@@ -16,47 +16,50 @@ from trafficloom.llm.license_texts import EQUIVALENT, KNOWN, NOTICES
 # Lines that name a copyright holder; they differ from copy to copy.
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-# The words of EQUIVALENT all contain one of these, so most texts skip the replacement.
 SPELLING = {"licence": "license", "licenced": "licensed", **EQUIVALENT}
 # A table of known licences is broadcast up to this many digests, else joined by shuffle.
 BROADCAST_DIGESTS = 100_000
 
 
-def _respell(words: Column) -> Column:
+def respelled(words: Column) -> Column:
+    """Equivalent spellings as one, word for word."""
+    words = F.concat(F.lit(" "), words, F.lit(" "))
     for old, new in SPELLING.items():
         words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return words
+    return F.trim(words)
 
 
-def canonical(text: Column) -> Column:
-    """Lower case; no copyright lines; runs of other than letters and digits are one
-    space; equivalent spellings are one. A null or empty text gives ''."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
-    kept = F.array_join(F.filter(lines, lambda line: ~line.rlike(COPYRIGHT_LINE)), "\n")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(kept, NOT_WORD, " "), F.lit(" "))
-    common = "|".join(dict.fromkeys(SPELLING))
-    return F.trim(F.when(spaced.rlike(common), _respell(spaced)).otherwise(spaced))
+def word_lines(text: Column) -> Column:
+    """The words of each line of a text, lower-case and one space apart; '' for copyright lines."""
+
+    def words(line: Column) -> Column:
+        spaced = F.trim(F.regexp_replace(line, NOT_WORD, " "))
+        return F.when(line.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(spaced)
+
+    return F.transform(F.split(F.lower(text), "\n"), words)
 
 
 def canonical_text(text: str) -> str:
-    """The same for one text, to make the table of known digests."""
+    """The canonical form of one text, to make the table of known digests: words of all
+    lines but copyright lines, respelled, one space apart."""
     lines = [x for x in text.lower().split("\n") if not re.search(COPYRIGHT_LINE, x)]
-    spaced = f" {re.sub('[^a-z0-9\x80-\U0010ffff]+', ' ', chr(10).join(lines))} "
+    spaced = f" {re.sub('[^a-z0-9\x80-\U0010ffff]+', ' ', chr(10).join(lines)).strip(' ')} "
     for old, new in SPELLING.items():
         spaced = spaced.replace(f" {old} ", f" {new} ")
     return spaced.strip(" ")
 
 
-def known_digests(texts: Mapping[str, str] | None = None) -> list[tuple[str, str]]:
-    """(digest, licence) of the given texts, or of the built-in ones and notices."""
+def known_digests(texts: Mapping[str, str] | None = None) -> list[tuple[str, str, int]]:
+    """(digest, licence, number of words) of the given texts, or of the built-in ones and notices."""
     pairs = [(t, name) for name, t in (texts or KNOWN).items()]
     if texts is None:
         pairs += list(NOTICES.items())
-    return sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for t, name in pairs}.items())
+    forms = {canonical_text(t): name for t, name in pairs}
+    return sorted((hashlib.sha256(f.encode()).hexdigest(), name, f.count(" ") + 1) for f, name in forms.items())
 
 
 def known_table(spark: SparkSession, texts: Mapping[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(known_digests(texts), "digest string, license string")
+    return spark.createDataFrame(known_digests(texts), "digest string, license string, words int")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -64,17 +67,25 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     ``line`` is null where the whole text matched, else its number from 1. A
     text of one line that matches gives both rows. ``known`` is (digest,
-    license), one row per digest. Null and empty texts, and lines without
-    letters or digits, match nothing; repeated rows give repeated results.
-    Other columns are ignored; an empty table gives no rows.
+    license, words), one row per digest; only parts with as many words as some
+    known text are hashed, as no other can match. Null and empty texts, and
+    lines without letters or digits, match nothing; repeated rows give
+    repeated results. Other columns are ignored; an empty table gives no rows.
     """
-    texts = compute_once(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), "whole", canonical(F.col("text")))
-    # A line can only be a licence if its own canonical form is not empty.
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "part")).select(
-        "doc_id", (F.col("at") + 1).alias("line"), canonical(F.col("part")).alias("words")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", word_lines(F.col("text")).alias("lines"))
+    texts = compute_once(texts.select("doc_id", "lines"), "parts", F.col("lines")).select("doc_id", "parts")
+    whole = F.array_join(F.filter("parts", lambda words: words != ""), " ")
+    parts = F.concat(F.array(whole), F.col("parts"))
+    found = texts.select("doc_id", F.posexplode(parts).alias("line", "part")).where("part != ''")
+    # One row per number of words: as many as the longest known text has at most.
+    sizes = [r["words"] for r in known.select("words").distinct().collect()]
+    count = F.length("part") - F.length(F.replace(F.col("part"), F.lit(" "), F.lit(""))) + 1
+    found = found.where(count.isin(sizes))
+    found = found.select(
+        "doc_id",
+        F.when(F.col("line") > 0, F.col("line")).alias("line"),
+        F.sha2(respelled(F.col("part")), 256).alias("digest"),
     )
-    wholes = texts.select("doc_id", F.lit(None).cast("int").alias("line"), F.col("whole").alias("words"))
-    found = wholes.unionAll(lines).where("words != ''").select("doc_id", "line", F.sha2("words", 256).alias("digest"))
     if known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
         known = F.broadcast(known)
     return found.join(known, "digest").select("doc_id", "line", "license")
