@@ -1,29 +1,87 @@
-"""A corpus pipeline of the text operators: every stage reads what its predecessor kept."""
+"""A corpus pipeline of the text operators: every stage works on what its predecessor kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from trafficloom.llm import mixing
-from trafficloom.llm.tables import table, written
+from trafficloom.llm import decontaminate, langid, mixing, set_join, token_files
+from trafficloom.llm.tables import ship_package, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# A text whose best language scores less is in none of the languages learned.
+LEAST_LANGUAGE_SCORE = 0.3
+VOCABULARY = "word_bpe_49k.json"
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; documents above their share repeat or go."""
-    return mixing.mixed_documents(docs)
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; the model learns from their own labels. Null texts,
+    texts without letters and texts like no language learned go."""
+    model = langid.train(docs, F.lit(True))
+    found = langid.classify(docs.toDF(*_inner(docs)), model, "c_text")
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.drop("lang_pred", "score").toDF(*docs.columns)
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix)]
 
-# Trained models, similarity and coding: SQL cannot express the stages.
+def _inner(docs: DataFrame) -> list[str]:
+    """Column names that nothing an operator adds can clash with."""
+    return [f"c_{c}" for c in docs.columns]
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one whose id names the group.
+    Of repeated rows one stays; rows with a null doc_id stay unless they copy another row."""
+    groups = set_join.jaccard_components(docs.select("doc_id", "text"))
+    keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keepers, "doc_id", "left_semi").select(*docs.columns)
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
+    # A null id names no group: such rows stay where no document has an equal text.
+    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
+    named = docs.where("doc_id is not null").select("text")
+    return kept.unionByName(unnamed.join(named, "text", "left_anti").select(*docs.columns))
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark. Rows with a null doc_id are looked up by their text."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text")))
+    leaks = decontaminate.find_leaks(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark)
+    leaked = leaks.select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(leaked, "__key", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; documents repeat or go as their source's budget has it."""
+    mixed = mixing.mixed_documents(docs)
+    # A document cut at its budget is shorter than it was.
+    return mixed.withColumn("n_chars", F.length("text")) if "n_chars" in docs.columns else mixed
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row as a token file, and what reading it gives."""
+    return token_files.token_digests(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", remove_leaks),
+    ("mixing", mix_sources),
+    ("tokens", write_tokens),
+]
+
+# A trained model, similarity search and a tokenizer: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each one but the last is written and read again."""
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

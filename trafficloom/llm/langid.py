@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trafficloom.llm.words import buffers, slices
 
@@ -144,19 +145,20 @@ def train(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE, marks:
     return solve(np.concatenate([np.stack(chosen[x]) for x in languages]), labels, languages, landmarks)
 
 
-def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def classify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) added.
 
     ``und`` with score 0 stands for a text that is null or has no letter, and
     for all texts when the model knows no language. Else the language of the
     largest regression value; its score is that value, scaled from -1..1 and
     clipped. Ties go to the first language by name. Only the text is looked
-    at; repeated rows get the same prediction; other columns pass through.
+    at; repeated rows get the same prediction; other columns pass through, and
+    must not bear the two names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # The columns added come last, under names of their own until the end.
-    schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema
-    at = docs.columns.index("text")
+    # Inside, columns go by number: names may clash or hold any sign.
+    fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    at = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights = shared.value.languages, shared.value.weights
@@ -183,7 +185,5 @@ def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))])
 
     renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    out_schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema.fields))
-    found = renamed.mapInArrow(predict, out_schema)
-    names = [*docs.columns, "lang_pred", "score"]
-    return found.toDF(*names)
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return renamed.mapInArrow(predict, inner).toDF(*[f.name for f in fields])
