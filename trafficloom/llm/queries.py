@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trafficloom.llm import bloom_lm, decontaminate, langid, licenses, mixing, quality, set_join, token_files
+from trafficloom.llm import bloom_lm, decontaminate, langid, licenses, line_chunks, mixing, quality, set_join, token_files
 from trafficloom.llm.tables import ship_package, table
 
 # The vocabulary of the token files; its place is the library's, never a copy of ours.
@@ -126,3 +126,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
+
+
+@query("op4_line_chunks")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"))

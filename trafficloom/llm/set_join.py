@@ -37,6 +37,9 @@ WIDTH = 5
 # Slots of the frequency sketch: 4 MB in memory, whatever the corpus.
 SKETCH_BITS = 20
 SKETCH_PART = 4_096
+# Bits of the bitmap of documents whose sets are asked for: 8 MB, whatever their number.
+# It only saves work: a bit shared by two documents sends one set too many.
+WANTED_BITS = 26
 # No set above this is light.
 MAX_LIGHT = 64
 
@@ -263,21 +266,42 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, a_s1, b, b_s1) whose sets link, by comparing the sets themselves."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS))
+    ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).select(place.alias("place"))
+    # bitmap_construct_agg makes one bitmap of 32,768 bits for each bucket of places.
+    bitmaps = ends.groupBy(F.shiftright("place", 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32_767))).alias("bits")
+    )
+    wanted = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    for row in bitmaps.collect():
+        wanted[row["bucket"] * 4_096 :][:4_096] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[tuple[int, int]] = set()
+        bitmap = shared.value
+        for whole in batches:
+            places = whole["place"].to_numpy()
+            asked = (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+            batch = whole.filter(pa.array(asked))
             for first, last in slices(batch["text"]):
                 rows = last - first
                 elements, bounds = ordered_sets(batch["text"].slice(first, rows))
                 s1, _ = signatures(elements, bounds)
+                doc_ids = batch["doc_id"].slice(first, rows)
+                fresh = []
+                for i, pair in enumerate(zip(doc_ids.to_pylist(), s1.tolist())):
+                    if pair not in seen:
+                        seen.add(pair)
+                        fresh.append(i)
                 raw = elements.tobytes()
-                values = [raw[8 * b : 8 * e] for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                arrays = [batch["doc_id"].slice(first, rows), pa.array(s1), pa.array(values, pa.binary())]
+                values = [raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in fresh]
+                arrays = [doc_ids.take(pa.array(fresh, pa.int64())), pa.array(s1[fresh]), pa.array(values, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "s1", "elements"])
 
-    sets = texts.mapInArrow(to_sets, "doc_id bigint, s1 bigint, elements binary").dropDuplicates(["doc_id", "s1"])
+    # Repeated rows are sent once per task; links found twice do no harm.
+    texts = docs.where("doc_id is not null").select("doc_id", "text", place.alias("place"))
+    sets = texts.mapInArrow(to_sets, "doc_id bigint, s1 bigint, elements binary")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s1").alias("a_s1"), F.col("elements").alias("x")), ["a", "a_s1"])
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("s1").alias("b_s1"), F.col("elements").alias("y")), ["b", "b_s1"])
 
@@ -342,10 +366,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     same_id = twins.join(repeated, twins["a"] == repeated["doc_id"]).select("a", "b")
     parts = written(connected(star_links.unionAll(same_id)), "star-parts")
 
-    # Members of lists with the component they are in so far.
-    member = lists.select("key", "doc_id", "s1", "n").distinct().join(by_node, ["doc_id", "s1"])
-    placed = member.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    placed = written(placed.select("key", "doc_id", "s1", "n", "part"), "placed")
+    # Members of lists with the component they are in so far; without links, by themselves.
+    known = by_node.join(parts, "node").select("doc_id", "s1", F.col("component").alias("part"))
+    member = lists.select("key", "doc_id", "s1", "n").join(known, ["doc_id", "s1"], "left")
+    placed = written(member.withColumn("part", F.coalesce("part", "doc_id")), "placed")
     open_lists = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
     left = placed.join(open_lists, "key", "left_semi")
     right = left.toDF("key", "doc_id2", "s12", "n2", "part2")
