@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trafficloom.llm import bloom_lm, decontaminate, langid, licenses, line_chunks, mixing, quality, set_join, token_files
+from trafficloom.llm import bloom_lm, chat, decontaminate, langid, licenses, line_chunks, mixing, quality, set_join, token_files
 from trafficloom.llm.tables import ship_package, table
 
 # The vocabulary of the token files; its place is the library's, never a copy of ours.
@@ -131,3 +131,26 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_chunks")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def as_transcripts(conversations: DataFrame) -> DataFrame:
+    """Turns as raw transcript rows (conv_id, seq, text, role): each conversation has a style
+    of markers, by hash, and about one turn in six has none."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    named = {"system": ("System", "SYSTEM", "system", "Context"), "user": ("User", "HUMAN", "user", "Q")}
+    marks = []
+    for kind, shape in enumerate(("{}: ", "### {}:\n", "<|{}|>\n", "**{}:** ")):
+        other = ("Assistant", "AI", "assistant", "A")[kind]
+        speaker = F.when(F.col("role") == "system", named["system"][kind]).when(F.col("role") == "user", named["user"][kind])
+        left, right = shape.split("{}")
+        marks.append(F.concat(F.lit(left), speaker.otherwise(other), F.lit(right)))
+    mark = F.get(F.array(*marks), style.cast("int"))
+    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6)) == 0
+    text = F.concat(F.when(bare, F.lit("")).otherwise(mark), F.coalesce("text", F.lit("")))
+    return conversations.select("conv_id", F.col("turn").alias("seq"), text.alias("text"), "role")
+
+
+@query("op1_chat_turns")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = as_transcripts(table(spark, sf_dir, "conversations"))
+    return chat.format_transcripts(rows, chat.fit(rows))
