@@ -269,12 +269,12 @@ def _(d: Data) -> DataFrame:
 
 @query("top_blocked", _top_sql("blocked_count", 10, having="HAVING sum(blocked_count) > 0"))
 def _(d: Data) -> DataFrame:
-    return domains.top_domains(d.domain_minutes, SINCE, UNTIL, d.rules, blocked_only=True)
+    return domains.top_domains(d.domain_minutes, SINCE, UNTIL, d.rules, domains.BY_BLOCKS)
 
 
 @query("top_data_usage", _top_sql("total_bytes", 10))
 def _(d: Data) -> DataFrame:
-    return domains.top_domains(d.domain_minutes, SINCE, UNTIL, d.rules, order_by="bytes")
+    return domains.top_domains(d.domain_minutes, SINCE, UNTIL, d.rules, domains.BY_BYTES)
 
 
 @query("domain_search", _top_sql("request_count", 20, where="WHERE domain ILIKE '%ama_on%'"))
@@ -417,7 +417,7 @@ def _import_rows(d: Data) -> tuple[DataFrame, DataFrame]:
     "override_import",
     with_sql(
         """SELECT lower(trim(domain)) AS domain, trim(arg_max(category, row_number)) AS category FROM import_rows
-        WHERE domain IS NOT NULL AND category <> 'newz' AND row_number <= 20000 GROUP BY 1""",
+        WHERE domain IS NOT NULL AND category <> 'newz' GROUP BY 1""",
         _IMPORT_SQL,
     ),
 )
@@ -429,8 +429,8 @@ def _(d: Data) -> DataFrame:
     "override_import_errors",
     with_sql(
         """SELECT row_number, lower(trim(domain)) AS domain, trim(category) AS category,
-          CASE WHEN row_number > 20000 THEN 'row_limit' WHEN domain IS NULL THEN 'missing_domain' ELSE 'unknown_category' END AS reason
-        FROM import_rows WHERE domain IS NULL OR category = 'newz' OR row_number > 20000""",
+          CASE WHEN domain IS NULL THEN 'missing_domain' ELSE 'unknown_category' END AS reason
+        FROM import_rows WHERE domain IS NULL OR category = 'newz'""",
         _IMPORT_SQL,
     ),
 )

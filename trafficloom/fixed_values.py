@@ -169,7 +169,6 @@ EXPORT_COLUMNS = (
     "blocked",
 )
 RECENT_EXPORT_ROWS = 100_000
-MAX_IMPORT_ROWS = 20_000
 
 # Detector thresholds.
 SESSION_GAP_MINUTES = 30

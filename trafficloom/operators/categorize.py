@@ -28,9 +28,12 @@ MAX_BROADCAST_HOSTS = 10_000
 class CategoryRules:
     """The rule tables of a deployment.
 
-    ``hostnames``: (hostname, category) pairs, or a DataFrame of them of any size.
-    ``overrides``: DataFrame (domain, category), one row per domain.
+    ``hostnames``: (hostname, category) pairs, or a DataFrame of them of any size; case does not matter.
+    ``overrides``: DataFrame (domain, category).
     ``blocklist``: DataFrame (domain, label, priority), any size.
+
+    A host or override listed more than once counts once, with the category
+    that is first by name.
     """
 
     hostnames: tuple[tuple[str, str], ...] | DataFrame = STARTER_HOSTNAMES
@@ -114,10 +117,18 @@ def _first_match(rules: tuple[tuple[str, str], ...], test) -> Column:
 
 
 def _host_rows(hostnames: tuple[tuple[str, str], ...] | DataFrame) -> tuple[tuple[str, str], ...] | DataFrame:
-    """A host list as plain rows when its size allows, else as the frame it is."""
-    if isinstance(hostnames, tuple) or not has_at_most(hostnames, MAX_BROADCAST_HOSTS):
-        return hostnames
-    return tuple((r.hostname.lower(), r.category) for r in hostnames.select("hostname", "category").collect())
+    """A host list as plain rows when its size allows, else as a frame; one row per host either way."""
+    if not isinstance(hostnames, tuple):
+        hosts = hostnames.where("hostname is not null and category is not null")
+        hosts = hosts.groupBy(F.lower("hostname").alias("hostname")).agg(F.min("category").alias("category"))
+        if not has_at_most(hosts, MAX_BROADCAST_HOSTS):
+            return hosts
+        hostnames = tuple((r.hostname, r.category) for r in hosts.collect())
+    single: dict[str, str] = {}
+    for hostname, category in hostnames:
+        host = hostname.lower()
+        single[host] = min(category, single.get(host, category))
+    return tuple(single.items())
 
 
 def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = None) -> DataFrame:
@@ -130,7 +141,7 @@ def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = Non
     spread = [F.col(c) for c in (spread_by or ["domain"])]
     original, source = df.columns, df
     if rules.overrides is not None:
-        overrides = rules.overrides.select("domain", F.col("category").alias("override_category"))
+        overrides = rules.overrides.groupBy("domain").agg(F.min("category").alias("override_category"))
         df = dimension_join(df, overrides, "domain", spread)
     else:
         df = df.withColumn("override_category", F.lit(None).cast("string"))
@@ -141,7 +152,7 @@ def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = Non
         df = known_host(df, hosts, "host_category")
     else:
         longest = hosts.select(
-            F.lower("hostname").alias("domain"), F.col("category").alias("label"), (-F.length("hostname")).alias("priority")
+            F.col("hostname").alias("domain"), F.col("category").alias("label"), (-F.length("hostname")).alias("priority")
         )
         found = blocklist_hits(counts.select("domain"), longest, shortest=1).withColumnRenamed("label", "host_category")
         df = lookup_join(df, found, "domain", spread, key_counts=counts)

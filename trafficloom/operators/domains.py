@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficloom.functions.text import contains_ci, is_blank
@@ -12,7 +13,26 @@ from trafficloom.operators.categorize import CategoryRules, categorize
 from trafficloom.operators.filters import buckets_in_range, in_branch, in_time_range, ordered, page, total_of
 
 MEASURES = ("request_count", "blocked_count", "total_bytes")
-ORDERINGS = {"requests": "request_count", "blocked": "blocked_count", "bytes": "total_bytes"}
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """What domains are ranked by, and which of them take part."""
+
+    measure: str
+    having: str | None = None
+
+    def of(self, totals: DataFrame) -> DataFrame:
+        return totals if self.having is None else totals.where(self.having)
+
+    @property
+    def order(self) -> tuple[Column, ...]:
+        return F.col(self.measure).desc(), F.col("domain").asc()
+
+
+BY_REQUESTS = Ranking("request_count")
+BY_BLOCKS = Ranking("blocked_count", having="blocked_count > 0")
+BY_BYTES = Ranking("total_bytes")
 CLIENT_SORTABLE = ("client_ip", "visit_count", "blocked_count", "total_bytes", "last_visit")
 
 
@@ -25,30 +45,25 @@ def top_domains(
     since: dt.datetime,
     until: dt.datetime,
     rules: CategoryRules,
+    ranking: Ranking = BY_REQUESTS,
     limit: int = 10,
-    blocked_only: bool = False,
-    order_by: str | None = None,
-    category: str | None = None,
-    branch: str | None = None,
     search: str | None = None,
+    branch: str | None = None,
+    category: str | None = None,
 ) -> DataFrame:
-    """The ``limit`` domains with most requests, blocks or bytes, with category.
+    """The first ``limit`` domains of a ranking, with category.
 
     Without a category filter only the winners are labelled; with one, labels
     go onto the per-domain sums, so no set of domains is collected.
     """
-    measure = ORDERINGS[order_by or ("blocked" if blocked_only else "requests")]
     rows = buckets_in_range(domain_minutes, since, until, branch)
     if not is_blank(search):
         rows = rows.where(contains_ci(F.col("domain"), search))
-    totals = domain_totals(rows)
-    if blocked_only:
-        totals = totals.where("blocked_count > 0")
-    ranking = (F.col(measure).desc(), F.col("domain").asc())
+    totals = ranking.of(domain_totals(rows))
     if category is not None:
         labelled = categorize(totals, rules).where(F.col("category") == category)
-        return labelled.orderBy(*ranking).limit(limit)
-    return categorize(totals.orderBy(*ranking).limit(limit), rules).orderBy(*ranking)
+        return labelled.orderBy(*ranking.order).limit(limit)
+    return categorize(totals.orderBy(*ranking.order).limit(limit), rules).orderBy(*ranking.order)
 
 
 def top_domains_per_branch(
@@ -56,19 +71,17 @@ def top_domains_per_branch(
     since: dt.datetime,
     until: dt.datetime,
     rules: CategoryRules,
-    limit: int,
-    order_by: str = "requests",
-    blocked_only: bool = False,
+    limit: int | None,
+    ranking: Ranking = BY_REQUESTS,
     category: str | None = None,
 ) -> DataFrame:
-    """Top-k of every branch in one pass; the rank filter prunes before the shuffle."""
-    measure = ORDERINGS[order_by]
-    totals = domain_totals(buckets_in_range(domain_minutes, since, until), by=("branch",))
-    if blocked_only:
-        totals = totals.where("blocked_count > 0")
+    """Top-k of every branch in one pass; the rank filter prunes before the shuffle. Without a limit, all."""
+    totals = ranking.of(domain_totals(buckets_in_range(domain_minutes, since, until), by=("branch",)))
     if category is not None:
         totals = categorize(totals, rules, spread_by=["branch"]).where(F.col("category") == category)
-    order = Window.partitionBy("branch").orderBy(F.col(measure).desc(), F.col("domain").asc())
+    if limit is None:
+        return totals if category is not None else categorize(totals, rules, spread_by=["branch"])
+    order = Window.partitionBy("branch").orderBy(*ranking.order)
     top = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return top if category is not None else categorize(top, rules, spread_by=["branch"])
 

@@ -72,12 +72,22 @@ def byte_quota(client_minutes: DataFrame, settings: DataFrame, anomalies: DataFr
 
 
 def uncategorized_domains(
-    domain_minutes: DataFrame, settings: DataFrame, anomalies: DataFrame, rules: CategoryRules, now: dt.datetime
+    domain_minutes: DataFrame,
+    settings: DataFrame,
+    anomalies: DataFrame,
+    rules: CategoryRules,
+    now: dt.datetime,
+    candidates: int | None = UNCATEGORIZED_CANDIDATES,
 ) -> DataFrame:
+    """Uncategorised domains above their branch's threshold.
+
+    Only the ``candidates`` most requested ones of a branch are looked at, before
+    threshold and cool-down; with None all are.
+    """
     since = now - dt.timedelta(hours=MONITOR_LOOKBACK_HOURS)
     limits = settings.where("uncategorized_threshold > 0").select("branch", "uncategorized_threshold")
     top = top_domains_per_branch(
-        domain_minutes, since, now, rules, UNCATEGORIZED_CANDIDATES, category=UNCATEGORIZED
+        domain_minutes, since, now, rules, candidates, category=UNCATEGORIZED
     )
     over = top.join(broadcast_if_small(limits), "branch").where(F.col("request_count") >= F.col("uncategorized_threshold"))
     cooldown = now - dt.timedelta(days=UNCATEGORIZED_COOLDOWN_DAYS)

@@ -24,6 +24,11 @@ def archive_windows(branches: DataFrame, archive_runs: DataFrame, now: dt.dateti
 
 def archive_rows(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Events to archive. ``windows`` has one row per configured branch."""
+    if "event_date" in events.columns:
+        # One row: the earliest date any branch needs, so that older partitions are not read.
+        span = windows.agg(F.min("since").alias("since"), F.max("until").alias("until")).first()
+        if span["since"] is not None:
+            events = events.where(F.col("event_date").between(F.lit(span["since"].date()), F.lit(span["until"].date())))
     rows = events.join(broadcast_if_small(windows.select("branch", "since", "until")), "branch")
     return rows.where(F.col("timestamp").between(F.col("since"), F.col("until"))).select(*events.columns)
 

@@ -74,8 +74,8 @@ def write_csv(
     compression: str = "none",
     observation: Observation | None = None,
 ) -> None:
-    """CSV parts with header in id order; the range sort keeps the writing parallel."""
-    ordered = rows.orderBy("id")
+    """CSV parts with header in order of time; the range sort keeps the writing parallel."""
+    ordered = rows.orderBy("timestamp", "id")
     if observation is not None:
         # Above the sort, which reads its input twice to find the range bounds.
         ordered = ordered.observe(observation, F.count(F.lit(1)).alias("row_count"))
@@ -91,8 +91,8 @@ def write_csv(
 
 
 def write_json(rows: DataFrame, path: str, columns: list[str] | None = None, compression: str = "none") -> None:
-    """JSON Lines parts in id order."""
-    writer = json_frame(rows.orderBy("id"), columns).write.mode("errorifexists").option("ignoreNullFields", False)
+    """JSON Lines parts in order of time."""
+    writer = json_frame(rows.orderBy("timestamp", "id"), columns).write.mode("errorifexists").option("ignoreNullFields", False)
     writer = writer.option("timestampNTZFormat", ISO_FORMAT)
     writer.option("compression", compression).json(path)
 

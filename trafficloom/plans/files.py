@@ -21,6 +21,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def glob(spark: SparkSession, pattern: str) -> bool:
+    """Whether any folder matches."""
+    fs, hadoop_path = _resolve(spark, pattern)
+    return bool(fs.globStatus(hadoop_path))
+
+
 def partitions(spark: SparkSession, table: str, *columns: str) -> list[dict[str, str]]:
     """Partition values of the folders under a table, with their ``path``. Reads no data."""
     fs, pattern = _resolve(spark, "/".join([table, *[f"{c}=*" for c in columns]]))

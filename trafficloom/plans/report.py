@@ -11,7 +11,7 @@ from trafficloom.fixed_values import REPORT_ANOMALIES, REPORT_TOP_DOMAINS
 from trafficloom.operators.anomalies import recent_anomalies
 from trafficloom.operators.categorize import CategoryRules
 from trafficloom.operators.clients import client_bucket_rows
-from trafficloom.operators.domains import top_domains, top_domains_per_branch, usage_by_category
+from trafficloom.operators.domains import BY_BLOCKS, top_domains, top_domains_per_branch, usage_by_category
 from trafficloom.operators.traffic import summary
 
 SCHEDULES = {"daily": dt.timedelta(days=1), "weekly": dt.timedelta(days=7)}
@@ -41,9 +41,9 @@ def period_report(
     clients = client_bucket_rows(client_minutes, client_hours, since, until, branch=branch)
     return {
         "summary": summary(minutes, clients, since, until, branch),
-        "top_domains": top_domains(domain_minutes, since, until, rules, REPORT_TOP_DOMAINS, branch=branch),
+        "top_domains": top_domains(domain_minutes, since, until, rules, limit=REPORT_TOP_DOMAINS, branch=branch),
         "top_blocked": top_domains(
-            domain_minutes, since, until, rules, REPORT_TOP_DOMAINS, blocked_only=True, order_by="blocked", branch=branch
+            domain_minutes, since, until, rules, BY_BLOCKS, REPORT_TOP_DOMAINS, branch=branch
         ),
         "by_category": usage_by_category(domain_minutes, since, until, rules, branch),
         "anomalies": recent_anomalies(anomalies, REPORT_ANOMALIES, branch=branch),
@@ -67,7 +67,7 @@ def branch_reports(
         "summary": summary(minutes, clients, since, until, by=("branch",)),
         "top_domains": top_domains_per_branch(domain_minutes, since, until, rules, REPORT_TOP_DOMAINS),
         "top_blocked": top_domains_per_branch(
-            domain_minutes, since, until, rules, REPORT_TOP_DOMAINS, order_by="blocked", blocked_only=True
+            domain_minutes, since, until, rules, REPORT_TOP_DOMAINS, BY_BLOCKS
         ),
         "by_category": usage_by_category(domain_minutes, since, until, rules, by=("branch",)),
         "anomalies": anomalies.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= REPORT_ANOMALIES),

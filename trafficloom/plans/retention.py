@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from trafficloom.fixed_values import HOURLY_AFTER_HOURS, RAW_RETENTION_DAYS, ROLLUP_RETENTION_DAYS
 from trafficloom.functions.timeparts import ntz
-from trafficloom.plans.store import LogStore
-from trafficloom.schema import ALL_ROLLUPS, CLIENT_DOMAIN_SEEN, CLIENT_MINUTE, RAW_EVENTS
+from trafficloom.plans.store import MONITOR_ANOMALIES, LogStore
+from trafficloom.schema import ALL_ROLLUPS, ANOMALIES, CLIENT_DOMAIN_SEEN, CLIENT_MINUTE, RAW_EVENTS
 
 
 def unarchived_branches(branches: DataFrame, archive_runs: DataFrame, cutoff: dt.datetime) -> DataFrame:
@@ -59,4 +59,6 @@ def run_retention(
             store.drop_dates(spec.name, raw_cutoff.date())
         else:
             _purge(store, spec.name, rollup_cutoff, "bucket_ts")
+    for name in (ANOMALIES, MONITOR_ANOMALIES):
+        store.drop_batches(name, "generated_at", rollup_cutoff)
     return warning

@@ -32,7 +32,7 @@ from trafficloom.operators.rollup import (
     merge_partials,
     minute_totals,
 )
-from trafficloom.plans.files import delete, exists, overwrite_partitions, partitions, read_or_empty
+from trafficloom.plans.files import delete, exists, glob, overwrite_partitions, partitions, read_or_empty
 from trafficloom.schema import (
     ALL_ROLLUPS,
     ANOMALIES,
@@ -62,6 +62,7 @@ ROLLUPS = T.StructType(
         T.StructField("upto_batch", T.LongType()),
     ]
 )
+COMMITS = "ingest string, first_batch bigint, batch_id bigint"
 REJECTS = "branch string, reject_reason string, line string, batch_id bigint"
 QUALITY = "branch string, lines_seen bigint, lines_parsed bigint, batch_id bigint"
 MONITOR_ANOMALIES = "monitor_anomalies"
@@ -103,10 +104,21 @@ class LogStore:
         )
         overwrite_partitions(rows, self.path(RAW_EVENTS), "event_date", "branch", "batch_id")
 
-    def batch_events(self, batch_id: int) -> DataFrame:
-        """The stored events of one batch, committed or not."""
-        rows = read_or_empty(self.spark, self.path(RAW_EVENTS), table_schema(RAW_EVENTS))
-        return rows.where(F.col("batch_id") == batch_id).select(*schema.EVENT.names)
+    def batch_events(self, batch_id: int, dates: list[dt.date] | None = None) -> DataFrame:
+        """The stored events of one batch, committed or not.
+
+        With the batch's dates only its own folders are listed, so the cost
+        does not grow with the number of batches or days stored.
+        """
+        path = self.path(RAW_EVENTS)
+        if dates is None:
+            rows = read_or_empty(self.spark, path, table_schema(RAW_EVENTS)).where(F.col("batch_id") == batch_id)
+            return rows.select(*schema.EVENT.names)
+        folders = [f"{path}/event_date={d}/branch=*/batch_id={batch_id}" for d in dates]
+        if not any(glob(self.spark, f) for f in folders):
+            return self.spark.createDataFrame([], schema.EVENT)
+        reader = self.spark.read.schema(table_schema(RAW_EVENTS)).option("basePath", path)
+        return reader.parquet(*[f for f in folders if glob(self.spark, f)]).select(*schema.EVENT.names)
 
     def write_partials(self, batch_id: int, spec: RollupSpec, sums: DataFrame) -> None:
         rows = sums.select(
@@ -117,9 +129,9 @@ class LogStore:
         )
         overwrite_partitions(rows, self.path(spec.name), "event_date", "batch_id")
 
-    def write_rollups(self, batch_id: int, rules: CategoryRules) -> None:
+    def write_rollups(self, batch_id: int, rules: CategoryRules, dates: list[dt.date] | None = None) -> None:
         """The flushed roll-ups, computed from the stored events of the batch."""
-        events = self.batch_events(batch_id)
+        events = self.batch_events(batch_id, dates)
         self.write_partials(batch_id, MINUTE_TOTALS, minute_totals(events))
         self.write_partials(batch_id, DOMAIN_MINUTE, domain_minute(events))
         self.write_partials(batch_id, CLIENT_MINUTE, client_minute(events))
@@ -130,10 +142,26 @@ class LogStore:
         """Rows of a batch for a table that is only partitioned by batch."""
         overwrite_partitions(rows.withColumn("batch_id", F.lit(batch_id).cast("long")), self.path(name), "batch_id")
 
-    def commit(self, batch_id: int) -> None:
-        marker = self.spark.range(1).select(F.lit(True).alias("done"), F.lit(batch_id).alias("batch_id"))
+    def commit(self, batch_id: int, ingest: str = "", first_batch: int = 0) -> None:
+        """Make a batch visible. The marker names the ingest that wrote it and the ingest's first batch."""
+        marker = self.spark.range(1).select(
+            F.lit(ingest).alias("ingest"), F.lit(first_batch).cast("long").alias("first_batch"), F.lit(batch_id).alias("batch_id")
+        )
         overwrite_partitions(marker, self.path("_commits"), "batch_id")
 
+    def commits(self) -> DataFrame:
+        return read_or_empty(self.spark, self.path("_commits"), COMMITS)
+
+    def writer_of(self, batch_id: int) -> str | None:
+        """The ingest that committed a batch; None if it is not committed."""
+        row = self.commits().where(F.col("batch_id") == batch_id).select("ingest").first()
+        return None if row is None else row["ingest"] or ""
+
+    def first_batch_of(self, ingest: str) -> int:
+        """Where the batches of an ingest begin: where they did, else after all that are stored."""
+        row = self.commits().where(F.col("ingest") == ingest).agg(F.max("first_batch").alias("first")).first()
+        return row["first"] if row["first"] is not None else self.last_commit() + 1
+
     def last_commit(self) -> int:
         """The newest visible batch, -1 before the first."""
         return max((int(p["batch_id"]) for p in partitions(self.spark, self.path("_commits"), "batch_id")), default=-1)
@@ -193,18 +221,43 @@ class LogStore:
     def _rolled_up(run: dict):
         return (F.col("bucket_ts") < ntz(run["cutoff"])) & (F.col("batch_id") <= run["upto_batch"])
 
-    def anomalies(self, upto: int | None = None) -> DataFrame:
+    def anomalies(self, upto: int | None = None, without_run: str | None = None) -> DataFrame:
+        """Stored anomalies of batches and of periodic checks, but for one run of those."""
         full = T.StructType([*schema.ANOMALY.fields, T.StructField("batch_id", T.LongType())])
         last = self.last_commit() if upto is None else upto
         rows = read_or_empty(self.spark, self.path(ANOMALIES), full)
-        monitored = read_or_empty(self.spark, self.path(MONITOR_ANOMALIES), schema.ANOMALY)
+        tagged = T.StructType([*schema.ANOMALY.fields, T.StructField("run", T.StringType())])
+        monitored = read_or_empty(self.spark, self.path(MONITOR_ANOMALIES), tagged)
+        if without_run is not None:
+            monitored = monitored.where(F.col("run") != without_run)
         return rows.where(F.col("batch_id") <= last).drop("batch_id").unionByName(monitored.select(*schema.ANOMALY.names))
 
     def write_monitor_run(self, monitor: str, now: dt.datetime, rows: DataFrame) -> None:
         """Anomalies of one periodic check; a repeated run replaces itself."""
-        tagged = rows.select(*schema.ANOMALY.names, F.lit(f"{monitor}-{now:%Y%m%dT%H%M%S}").alias("run"))
+        tagged = rows.select(*schema.ANOMALY.names, F.lit(self.run_name(monitor, now)).alias("run"))
         overwrite_partitions(tagged, self.path(MONITOR_ANOMALIES), "run")
 
+    @staticmethod
+    def run_name(monitor: str, now: dt.datetime) -> str:
+        return f"{monitor}-{now:%Y%m%dT%H%M%S}"
+
+    def relabel_anomalies(self, source: str, target: str) -> None:
+        """Rename a branch in stored anomalies; only batches and runs that name it are rewritten."""
+        for name, key in ((ANOMALIES, "batch_id"), (MONITOR_ANOMALIES, "run")):
+            if not exists(self.spark, self.path(name)):
+                continue
+            kind = T.LongType() if key == "batch_id" else T.StringType()
+            full = T.StructType([*schema.ANOMALY.fields, T.StructField(key, kind)])
+            rows = self.spark.read.schema(full).parquet(self.path(name))
+            hit = [r[key] for r in rows.where(F.col("branch") == source).select(key).distinct().collect()]
+            for value in hit:
+                # A copy first: the folder cannot be read and replaced at once.
+                moved = rows.where(F.col(key) == value)
+                moved = moved.withColumn("branch", F.when(F.col("branch") == source, F.lit(target)).otherwise(F.col("branch")))
+                copy = f"{self.path(name)}__moving"
+                moved.write.mode("overwrite").parquet(copy)
+                overwrite_partitions(self.spark.read.schema(full).parquet(copy), self.path(name), key)
+
     # ----- small state tables ----------------------------------------------
 
     def state(self, name: str, columns: str) -> DataFrame:
@@ -251,7 +304,9 @@ class LogStore:
         if previous["cutoff"] is not None and cutoff < previous["cutoff"]:
             raise ValueError("the roll-up cutoff cannot move back")
         upto, run_id = self.last_commit(), previous["run_id"] + 1
-        waiting = self._partial_rows(CLIENT_MINUTE, upto).where(F.col("bucket_ts") < ntz(cutoff))
+        waiting = self._partial_rows(CLIENT_MINUTE, upto).where(
+            (F.col("bucket_ts") < ntz(cutoff)) & (F.col("event_date") <= F.lit(cutoff.date()))
+        )
         self.write_partials(run_id, CLIENT_HOURLY, client_hourly(waiting))
         run = self.spark.createDataFrame([(run_id, cutoff, upto)], ROLLUPS)
         run.coalesce(1).write.mode("append").parquet(self.path("_rollups"))
@@ -304,6 +359,20 @@ class LogStore:
         )
         return sorted({dt.date.fromisoformat(p["event_date"]) for p in found})
 
+    def drop_batches(self, name: str, column: str, before: dt.datetime) -> int:
+        """Delete the folders of batches (or runs) all of whose rows are before a time."""
+        key = "run" if name == MONITOR_ANOMALIES else "batch_id"
+        if not exists(self.spark, self.path(name)):
+            return 0
+        rows = self.spark.read.parquet(self.path(name))
+        old = rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.max(column).alias("newest"))
+        # One row per batch that has anomalies or rejects and is old.
+        keys = {r["key"] for r in old.where(F.col("newest") < ntz(before)).select("key").collect()}
+        gone = [p for p in partitions(self.spark, self.path(name), key) if p[key] in keys]
+        for p in gone:
+            delete(self.spark, p["path"])
+        return len(gone)
+
     def drop_dates(self, name: str, before: dt.date) -> list[dt.date]:
         """Delete the folders of all dates before one."""
         dropped = [d for d in self.dates(name) if d < before]

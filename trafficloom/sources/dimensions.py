@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficloom.fixed_values import (
@@ -10,14 +10,18 @@ from trafficloom.fixed_values import (
     BLOCKLIST_PRIORITY,
     CATEGORIES,
     DEFAULT_NON_WORK_MINUTES,
-    MAX_IMPORT_ROWS,
 )
 from trafficloom.functions.text import strip
 
+
 def load_hostnames(spark: SparkSession, path: str) -> DataFrame:
-    """The curated host list of a deployment, of any size, from a ``hostname,category`` CSV."""
+    """The curated host list of a deployment, of any size, from a ``hostname,category`` CSV.
+
+    A host listed more than once has the category that is first by name.
+    """
     rows = spark.read.schema("hostname string, category string").option("header", True).csv(path)
-    return rows.select(F.lower(strip(F.col("hostname"))).alias("hostname"), strip(F.col("category")).alias("category"))
+    cleaned = rows.select(F.lower(strip(F.col("hostname"))).alias("hostname"), strip(F.col("category")).alias("category"))
+    return cleaned.where("hostname != ''").groupBy("hostname").agg(F.min("category").alias("category"))
 
 
 def label_priority() -> list[tuple[str, int]]:
@@ -42,45 +46,57 @@ def load_blocklist(spark: SparkSession, root: str) -> DataFrame:
     return named.join(F.broadcast(folders), "folder").select("domain", "label", "priority").distinct()
 
 
-def validate_overrides(rows: DataFrame, row_number: str = "row_number") -> tuple[DataFrame, DataFrame]:
-    """(applied, errors) of import rows (row_number, domain, category).
+def validate_overrides(
+    rows: DataFrame, row_number: str = "row_number", max_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(applied, errors) of import rows (row_number, domain, category) and, from several files, (file).
 
     A row without a domain or with an unknown category is an error that names
-    its row; the last valid row of a domain wins.
+    its row; the last valid row of a domain wins, by file and row. Rows of a
+    file past ``max_rows``, where that is given, are errors too.
     """
+    files = [F.col("file")] if "file" in rows.columns else []
     cleaned = rows.select(
+        *files,
         F.col(row_number).alias("row_number"),
         F.lower(strip(F.coalesce("domain", F.lit("")))).alias("domain"),
         strip(F.coalesce("category", F.lit(""))).alias("category"),
     )
-    reason = F.when(F.col("row_number") > MAX_IMPORT_ROWS, "row_limit").when(F.col("domain") == "", "missing_domain").when(
-        ~F.col("category").isin(*CATEGORIES), "unknown_category"
-    )
+    known = F.when(F.col("domain") == "", "missing_domain").when(~F.col("category").isin(*CATEGORIES), "unknown_category")
+    reason = known if max_rows is None else F.when(F.col("row_number") > max_rows, "row_limit").otherwise(known)
     checked = cleaned.withColumn("reason", reason)
     applied = (
         checked.where(F.col("reason").isNull())
         .groupBy("domain")
-        .agg(F.max_by("category", "row_number").alias("category"))
+        .agg(F.max_by("category", F.struct(*files, "row_number")).alias("category"))
     )
     errors = checked.where(F.col("reason").isNotNull()).select(
-        "row_number", F.nullif("domain", F.lit("")).alias("domain"), "category", "reason"
+        *files, "row_number", F.nullif("domain", F.lit("")).alias("domain"), "category", "reason"
     )
     return applied, errors
 
 
-def load_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """An override CSV with header, read and validated.
+def load_overrides(spark: SparkSession, path: str, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Override CSVs with header, one file or a folder, read and validated.
 
-    Import files are edited by hand and hold at most 20,000 rows that count, so
-    one file is numbered in file order; rows past the limit are reported.
+    The rows of each file are numbered from 1 in file order, however the files
+    were split for reading; files rank by path.
     """
     rows = spark.read.option("header", True).csv(path)
     missing = {"domain", "category"} - set(rows.columns)
     if missing:
         raise ValueError(f"override file lacks the columns {', '.join(sorted(missing))}")
-    # One hand-edited file is one input split, whose rows keep their order.
-    numbered = rows.withColumn("row_number", F.monotonically_increasing_id() + 1)
-    return validate_overrides(numbered)
+    # Within a split ids grow in file order; the splits of a file are in the order of their first byte.
+    placed = rows.select(
+        "domain",
+        "category",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__place"),
+    )
+    order = Window.partitionBy("file").orderBy("__start", "__place")
+    numbered = placed.withColumn("row_number", F.row_number().over(order).cast("long"))
+    return validate_overrides(numbered, max_rows=max_rows)
 
 
 def merge_overrides(current: DataFrame, imported: DataFrame) -> DataFrame:

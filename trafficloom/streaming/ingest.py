@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
 from collections.abc import Callable
 
@@ -23,9 +24,11 @@ log = logging.getLogger(__name__)
 class Ingest:
     """Writes each micro-batch of lines to a store.
 
-    All tables of a batch are keyed by the batch id and replaced when the batch
-    is run again, and the batch counts only once its marker is written. So a
-    batch that fails half-way is repeated without doubling anything.
+    All tables of a batch are keyed by the batch id, and the batch counts only
+    once its marker is written. A batch that fails half-way is repeated without
+    doubling anything; one that is committed is not written again. Each
+    checkpoint is an ingest of its own, whose batches begin after all that are
+    stored; a batch of an id that another ingest has committed is refused.
     """
 
     def __init__(
@@ -34,22 +37,32 @@ class Ingest:
         rules: CategoryRules | None = None,
         settings: DataFrame | None = None,
         detector_name: str = "noop",
-        first_batch: int = 0,
+        first_batch: int | None = None,
+        ingest: str = "",
     ) -> None:
         self.store = store
         self.rules = rules or CategoryRules()
         self.settings = settings
         self.detect = detector(detector_name)
+        self.ingest = ingest
         # Ids restart at 0 with a new checkpoint; this keeps them growing.
         self.first_batch = first_batch
 
     def flush(self, lines: DataFrame, batch_id: int) -> None:
         """Parse once, store events, rejects and roll-ups, commit, then look for anomalies."""
-        batch = self.first_batch + batch_id
+        first = self.first_batch or 0
+        batch = first + batch_id
+        if batch <= self.store.last_commit():
+            writer = self.store.writer_of(batch)
+            if writer == self.ingest:
+                return
+            raise ValueError(f"batch {batch} is at or below the last batch stored, and not of this ingest")
         parsed = parse_lines(lines).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = F.col("reject_reason").isNull()
             self.store.write_events(batch, parsed.where(good).select(*schema.EVENT.names))
+            # A batch has a few dates.
+            days = parsed.where(good).select(F.to_date("timestamp").alias("d")).distinct().collect()
             self.store.write_rows("rejects", batch, parsed.where(~good).select("branch", "reject_reason", "line"))
             quality = parsed.groupBy("branch").agg(
                 F.count(F.lit(1)).alias("lines_seen"), F.count_if(good).alias("lines_parsed")
@@ -59,17 +72,18 @@ class Ingest:
             parsed.unpersist()
         # From here on the stored rows are the input: narrow columnar scans that
         # do not depend on cached blocks of executors that may be gone.
-        self.store.write_rollups(batch, self.rules)
-        self.store.commit(batch)
-        self._detect(batch)
+        dates = sorted(r["d"] for r in days)
+        self.store.write_rollups(batch, self.rules, dates)
+        self.store.commit(batch, self.ingest, first)
+        self._detect(batch, dates)
 
-    def _detect(self, batch: int) -> None:
+    def _detect(self, batch: int, dates: list[dt.date]) -> None:
         """Detectors never break the flush: a failure is logged and the window skipped."""
         try:
             before = batch - 1
             found = self.detect(
                 DetectionInput(
-                    window=self.store.batch_events(batch),
+                    window=self.store.batch_events(batch, dates),
                     minutes=self.store.rollup(MINUTE_TOTALS, before),
                     domain_history=self.store.rollup(DOMAIN_MINUTE, before, merge=False),
                     visit_history=self.store.rollup(CLIENT_DOMAIN_SEEN, before, merge=False),
@@ -90,6 +104,9 @@ class Ingest:
         self, lines: DataFrame, checkpoint: str, every: str = "60 seconds", available_now: bool = False
     ) -> StreamingQuery:
         """Run over a stream of lines. ``available_now`` stops after what is there."""
+        self.ingest = self.ingest or checkpoint.rstrip("/")
+        if self.first_batch is None:
+            self.first_batch = self.store.first_batch_of(self.ingest)
         writer = lines.writeStream.foreachBatch(self._flush_hook()).option("checkpointLocation", checkpoint)
         trigger = {"availableNow": True} if available_now else {"processingTime": every}
         return writer.trigger(**trigger).start()
