@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -372,6 +373,27 @@ def _(d: Data) -> DataFrame:
     return categorize.categorize(events.distinct_domains(d.events, SINCE, UNTIL), d.rules)
 
 
+def _repeated_rules(d: Data) -> categorize.CategoryRules:
+    """The rules with every host and override twice, one of them under a category late in the alphabet and in capitals."""
+    hosts = [(h.upper(), "zzz") for h, _ in fv.STARTER_HOSTNAMES] + list(fv.STARTER_HOSTNAMES)
+    overrides = d.overrides.unionByName(d.overrides.withColumn("category", F.lit("zzz")))
+    return categorize.CategoryRules(hostnames=d.spark.createDataFrame(hosts, "hostname string, category string"), overrides=overrides)
+
+
+@query("domain_categories_repeated_rules", with_sql("SELECT * FROM categories", fx.CATEGORIES_SQL))
+def _(d: Data) -> DataFrame:
+    """Rules listed more than once, hosts matched from memory: no domain twice."""
+    return categorize.categorize(events.distinct_domains(d.events, SINCE, UNTIL), _repeated_rules(d))
+
+
+@query("domain_categories_joined_hosts", with_sql("SELECT * FROM categories", fx.CATEGORIES_SQL))
+def _(d: Data) -> DataFrame:
+    """The same with the host list matched by joins, as lists beyond memory are."""
+    rules = _repeated_rules(d)
+    domains_ = events.distinct_domains(d.events, SINCE, UNTIL)
+    return categorize.categorize(domains_, dataclasses.replace(rules, memory_hosts=0))
+
+
 @query("domains_in_category", with_sql("SELECT domain FROM categories WHERE category = 'uncategorized'", fx.CATEGORIES_SQL))
 def _(d: Data) -> DataFrame:
     return categorize.domains_in_category(d.events, d.rules, "uncategorized")
@@ -438,6 +460,50 @@ def _(d: Data) -> DataFrame:
     return _import_rows(d)[1]
 
 
+_FILES_SQL = """import_files AS (SELECT id % 3 AS file, row_number() OVER (PARTITION BY id % 3 ORDER BY id) AS row_number,
+  CASE WHEN id % 11 = 0 THEN NULL ELSE upper(domain) END AS domain,
+  CASE method WHEN 'GET' THEN 'news' WHEN 'POST' THEN 'other' ELSE 'newz' END AS category FROM access_events)"""
+
+
+def _import_files(d: Data) -> tuple[DataFrame, DataFrame]:
+    """Three override files written from the events, in the order of their ids, and loaded as one folder."""
+    label = F.when(F.col("method") == "GET", "news").when(F.col("method") == "POST", "other").otherwise("newz")
+    rows = d.events.select(
+        (F.col("id") % 3).alias("file"), "id", F.when(F.col("id") % 11 != 0, F.upper("domain")).alias("domain"), label.alias("category")
+    )
+    root = scratch_dir(d.spark, "override-files")
+    for file in range(3):
+        part = rows.where(F.col("file") == file).repartition(1).sortWithinPartitions("id").select("domain", "category")
+        part.write.option("header", True).csv(f"{root}/{file}")
+    return dimensions.load_overrides(d.spark, f"{root}/*")
+
+
+@query(
+    "override_files",
+    with_sql(
+        """SELECT lower(domain) AS domain, arg_max(category, file * 1000000000 + row_number) AS category FROM import_files
+        WHERE domain IS NOT NULL AND category <> 'newz' GROUP BY 1""",
+        _FILES_SQL,
+    ),
+)
+def _(d: Data) -> DataFrame:
+    return _import_files(d)[0]
+
+
+@query(
+    "override_files_errors",
+    with_sql(
+        """SELECT CAST(file AS INTEGER) AS file, row_number, lower(domain) AS domain, category,
+          CASE WHEN domain IS NULL THEN 'missing_domain' ELSE 'unknown_category' END AS reason
+        FROM import_files WHERE domain IS NULL OR category = 'newz'""",
+        _FILES_SQL,
+    ),
+)
+def _(d: Data) -> DataFrame:
+    errors = _import_files(d)[1]
+    return errors.withColumn("file", F.element_at(F.split("file", "/"), -2).cast("int"))
+
+
 # ----- clients -------------------------------------------------------------
 
 CLIENT_TOTALS_SQL = """client_totals AS (
@@ -1048,6 +1114,57 @@ def _(d: Data) -> DataFrame:
     return store.rollup(MINUTE_TOTALS).drop("event_date")
 
 
+@query("stream_new_checkpoint", with_sql("SELECT * FROM minute_totals"))
+def _(d: Data) -> DataFrame:
+    """Two streams with checkpoints of their own into one store, the first one started twice: nothing is lost or doubled."""
+    root = scratch_dir(d.spark, "stream-again")
+    store = LogStore(d.spark, f"{root}/store")
+    for name, rows in (("one", "branch = 'branch-a'"), ("one", "false"), ("two", "branch != 'branch-a'")):
+        d.lines().where(rows).write.mode("append").partitionBy("branch").text(f"{root}/logs-{name}")
+        lines = stream_lines(d.spark, f"{root}/logs-{name}")
+        Ingest(store, d.rules).start(lines, f"{root}/checkpoint-{name}", available_now=True).awaitTermination()
+    return store.rollup(MINUTE_TOTALS).drop("event_date")
+
+
+@query("store_retention", with_sql("SELECT * FROM domain_minute WHERE bucket_ts >= TIMESTAMP '2024-01-01 12:00:00'"))
+def _(d: Data) -> DataFrame:
+    """Domain minutes stored, aged out up to noon by the retention job, read back."""
+    store = LogStore(d.spark, scratch_dir(d.spark, "retention"))
+    store.write_partials(0, DOMAIN_MINUTE, d.domain_minutes)
+    store.write_partials(0, CLIENT_MINUTE, d.client_minutes)
+    store.commit(0)
+    branches_ = d.spark.createDataFrame([("default",)], "branch string")
+    runs = d.spark.createDataFrame([], "branch string, archived_until timestamp_ntz")
+    retention.run_retention(store, branches_, runs, NOON + dt.timedelta(days=10), rollup_days=10)
+    return store.rollup(DOMAIN_MINUTE).drop("event_date")
+
+
+@query(
+    "export_csv_files",
+    with_sql("SELECT id, branch, method, domain, CAST(status_code AS INTEGER) AS status_code FROM access_events"),
+)
+def _(d: Data) -> DataFrame:
+    """A CSV export written and read back."""
+    path = scratch_dir(d.spark, "export-csv")
+    export.write_csv(d.events, path, ["id", "branch", "method", "domain", "status_code"])
+    schema = "id bigint, branch string, method string, domain string, status_code int"
+    return d.spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+@query(
+    "archive_files",
+    with_sql("SELECT id, branch, method, domain FROM access_events WHERE branch = 'branch-a'"),
+)
+def _(d: Data) -> DataFrame:
+    """A gzip archive of one branch, written and read back."""
+    path = scratch_dir(d.spark, "archive")
+    one = d.spark.createDataFrame([("branch-a",)], "branch string")
+    runs = d.spark.createDataFrame([("branch-a", SINCE)], "branch string, archived_until timestamp_ntz")
+    archive.run_archive(d.events, one, runs, UNTIL, path)
+    files = d.spark.read.option("header", True).option("escape", '"').csv(path)
+    return files.select(F.col("id").cast("long").alias("id"), "branch", "method", "domain")
+
+
 @query("store_two_grains", with_sql("SELECT * FROM client_rows", TWO_GRAINS_SQL))
 def _(d: Data) -> DataFrame:
     """Client minutes stored, those before noon rolled up to hours, both read back."""

@@ -202,6 +202,35 @@ def test_monitors_store_findings_once(spark, store, make_events):
         assert found == [("byte_quota", at(10), "high"), ("uncategorized_domain", at(10), "low")]
 
 
+def test_a_repeated_monitor_run_keeps_its_findings_and_adds_late_ones(spark, store, make_events):
+    from trafficloom.plans.monitoring import run_monitors
+
+    settings = spark.createDataFrame(
+        [("a", 0, 100, 3)], "branch string, non_work_minutes int, byte_quota bigint, uncategorized_threshold int"
+    )
+    _add(store, 0, make_events([{"timestamp": at(m), "domain": "plain.example", "branch": "a", "bytes": 60} for m in range(3)]))
+    run_monitors(store, settings, CategoryRules(), at(10))
+    late = [{"timestamp": at(m), "domain": "late.example", "client_ip": "10.0.0.9", "branch": "a", "bytes": 90} for m in range(3)]
+    _add(store, 1, make_events(late))
+    for _ in range(2):
+        run_monitors(store, settings, CategoryRules(), at(10))
+        found = sorted((r.kind, r.client_ip or r.domain) for r in store.anomalies().collect())
+        assert found == [
+            ("byte_quota", "10.0.0.1"), ("byte_quota", "10.0.0.9"),
+            ("uncategorized_domain", "late.example"), ("uncategorized_domain", "plain.example"),
+        ]
+
+
+def test_batches_of_another_ingest_are_refused_and_own_ones_not_rewritten(spark, store):
+    lines = spark.createDataFrame([(_line(at(1)).strip(), "a")], "value string, branch string")
+    Ingest(store, ingest="one").flush(lines, 0)
+    Ingest(store, ingest="one").flush(lines.limit(0), 0)
+    assert store.events().count() == 1
+    with pytest.raises(ValueError):
+        Ingest(store, ingest="two").flush(lines, 0)
+    assert store.first_batch_of("two") == 1 and store.first_batch_of("one") == 0
+
+
 def test_archive_of_a_store_moves_its_watermarks(spark, store, make_events, tmp_path):
     from trafficloom.plans.archive import RUNS, archive_store
 

@@ -33,7 +33,9 @@ class CategoryRules:
     ``blocklist``: DataFrame (domain, label, priority), any size.
 
     A host or override listed more than once counts once, with the category
-    that is first by name.
+    that is first by name. Lists of up to ``memory_hosts`` hosts are matched by
+    broadcast joins, longer ones by the same joins as the blocklist; the
+    result is the same.
     """
 
     hostnames: tuple[tuple[str, str], ...] | DataFrame = STARTER_HOSTNAMES
@@ -41,6 +43,7 @@ class CategoryRules:
     blocklist: DataFrame | None = None
     tlds: tuple[tuple[str, str], ...] = field(default=TLD_CATEGORIES)
     keywords: tuple[tuple[str, str], ...] = field(default=KEYWORD_CATEGORIES)
+    memory_hosts: int = MAX_BROADCAST_HOSTS
 
 
 def _by_label_count(hostnames: tuple[tuple[str, str], ...]) -> dict[int, list[tuple[str, str]]]:
@@ -116,12 +119,12 @@ def _first_match(rules: tuple[tuple[str, str], ...], test) -> Column:
     return chain
 
 
-def _host_rows(hostnames: tuple[tuple[str, str], ...] | DataFrame) -> tuple[tuple[str, str], ...] | DataFrame:
+def _host_rows(hostnames: tuple[tuple[str, str], ...] | DataFrame, in_memory: int) -> tuple[tuple[str, str], ...] | DataFrame:
     """A host list as plain rows when its size allows, else as a frame; one row per host either way."""
     if not isinstance(hostnames, tuple):
         hosts = hostnames.where("hostname is not null and category is not null")
         hosts = hosts.groupBy(F.lower("hostname").alias("hostname")).agg(F.min("category").alias("category"))
-        if not has_at_most(hosts, MAX_BROADCAST_HOSTS):
+        if not has_at_most(hosts, in_memory):
             return hosts
         hostnames = tuple((r.hostname, r.category) for r in hosts.collect())
     single: dict[str, str] = {}
@@ -147,7 +150,7 @@ def tiers(df: DataFrame, rules: CategoryRules, spread_by: list[str] | None = Non
         df = df.withColumn("override_category", F.lit(None).cast("string"))
     named = source.where(F.col("domain").isNotNull())
     counts = named.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    hosts = _host_rows(rules.hostnames)
+    hosts = _host_rows(rules.hostnames, rules.memory_hosts)
     if isinstance(hosts, tuple):
         df = known_host(df, hosts, "host_category")
     else:
