@@ -6,9 +6,12 @@ import json
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from checks.catalog import QUERIES
 from checks.fixtures import Data
 from trafficloom import build_session
+from trafficloom.operators import rollup
 from trafficloom.operators.parse import parse_access_log
 from trafficloom.session import scratch_dir
 from trafficloom.sources.access_log import read_lines
@@ -61,9 +64,28 @@ def main() -> None:
             run(spark, folder).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - start)
         seconds[name] = round(best, 3)
+    slope = {}
+    base = Data(spark, folder)
+    rows = base.events.count()
+    for times in (1, 10):
+        # The same events under ten times the branches: ten times the rows and the keys.
+        copies = F.explode(F.sequence(F.lit(1), F.lit(times)))
+        events = base.events.withColumn("copy", copies).withColumn("branch", F.concat("branch", F.col("copy").cast("string")))
+        lines = read_lines(spark, logs).withColumn("copy", copies).drop("copy")
+        work = {
+            "parse": [parse_access_log(lines)[0]],
+            "rollups": [rollup.minute_totals(events), rollup.domain_minute(events), rollup.client_minute(events)]
+            + [rollup.client_category_minute(events, base.rules)],
+        }
+        for name, frames in work.items():
+            start = time.perf_counter()
+            for frame in frames:
+                frame.write.format("noop").mode("overwrite").save()
+            taken = time.perf_counter() - start
+            slope[f"{name}_{times}x"] = {"sec": round(taken, 3), "rows_per_sec": round(rows * times / taken)}
     total = round(sum(seconds.values()), 3)
     scale = os.path.basename(folder.rstrip("/"))
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": scale}))
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "slope": slope, "sf": scale}))
 
 
 if __name__ == "__main__":
