@@ -5,7 +5,8 @@ Jaccard similarity is at least 0.8; then each holds at least ceil(0.8 n) of
 the other's elements, so under any one order of all elements the first
 n - ceil(0.8 n) + k of each have k in common. Light sets (few elements)
 enumerate the pairs (k = 2) of their first elements as keys; heavy sets put
-their first elements (k = 1) into inverted lists, which are scanned. The
+their first elements into inverted lists, which are scanned, and must meet in
+as many lists as the k of the smaller one (a twentieth of its size). The
 boundary is where enumerating begins to cost more than scanning. Rare elements
 come first in the order, by a frequency sketch of fixed size over the whole
 corpus: the order decides how many candidates there are, never which links.
@@ -49,6 +50,11 @@ def need(n: np.ndarray | int, percent: int = 80) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
+def meetings(n: np.ndarray | int) -> np.ndarray | int:
+    """Lists in which a heavy set of ``n`` meets any set it links to that is no smaller."""
+    return 1 + n // 20
+
+
 def _slot(elements: np.ndarray) -> np.ndarray:
     return (elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -156,19 +162,21 @@ def light_boundary(sketch: np.ndarray, percent: int) -> int:
 def _keys(elements: np.ndarray, bounds: np.ndarray, light: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each set of a slice and the number of the set each belongs to."""
     sizes = np.diff(bounds)
-    first = sizes - need(sizes, percent) + 1
+    first = sizes - need(sizes, percent) + meetings(sizes)
     heavy = (sizes > light * percent // 100) & (sizes > 1)
     counts = np.where(heavy, first, 0)
     owner = np.repeat(np.arange(len(sizes)), counts)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    keys, owners = [mix(elements[bounds[owner] + step] ^ np.uint64(1))], [owner]
+    # The last bit tells keys of lists from keys of pairs.
+    keys, owners = [mix(elements[bounds[owner] + step] ^ np.uint64(1)) | np.uint64(1)], [owner]
     small = np.flatnonzero((sizes <= light) & (sizes > 1))
     for n in np.unique(sizes[small]):
         sets = small[sizes[small] == n]
         take = min(int(n - need(n, percent) + 2), int(n))
         i, j = np.triu_indices(take, 1)
         block = elements[bounds[sets][:, None] + np.arange(take)[None, :]]
-        keys.append(mix(mix(block[:, i] ^ np.uint64(2)) + mix(block[:, j] ^ np.uint64(2))).ravel())
+        both = mix(mix(block[:, i] ^ np.uint64(2)) + mix(block[:, j] ^ np.uint64(2)))
+        keys.append((both & ~np.uint64(1)).ravel())
         owners.append(np.repeat(sets, len(i)))
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -339,32 +347,41 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     lists = written(inverted_lists(docs, sketch, percent), "lists")
 
-    def sizes_fit(a: str, b: str) -> str:
-        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-    def as_pair(x: str, xs: str, y: str, ys: str) -> list:
-        first = F.col(x) < F.col(y)
-        ends = ((x, y, "a"), (xs, ys, "a_s1"), (y, x, "b"), (ys, xs, "b_s1"))
-        return [F.when(first, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in ends]
-
-    starred = lists.where("lead_s1 != s1 and " + sizes_fit("lead_n", "n"))
-    starred = written(starred.select(*as_pair("lead_id", "lead_s1", "doc_id", "s1")).distinct(), "star-pairs")
+    def candidates(rows: DataFrame, x: tuple[str, ...], y: tuple[str, ...], share: int) -> DataFrame:
+        """Pairs of classes (a, a_s1, b, b_s1) of fitting size that meet often enough; x and y name (doc_id, s1, n)."""
+        fits = f"100 * least({x[2]}, {y[2]}) >= {percent} * greatest({x[2]}, {y[2]})"
+        swap = F.col(x[1]) > F.col(y[1])
+        ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(f"a{i}") for i, (p, q) in enumerate(zip(x, y))]
+        ends += [F.when(swap, F.col(p)).otherwise(F.col(q)).alias(f"b{i}") for i, (p, q) in enumerate(zip(x, y))]
+        in_list = F.col("key").bitwiseAND(F.lit(1))
+        met = rows.where(f"{x[1]} != {y[1]} and {fits}").select(*ends, in_list.alias("in_list"))
+        met = met.groupBy("a1", "b1").agg(
+            F.min("a0").alias("a"),
+            F.min("b0").alias("b"),
+            F.min(F.least("a2", "b2")).alias("n"),
+            F.sum("in_list").alias("lists"),
+            F.count(F.lit(1)).alias("times"),
+        )
+        often = (F.col("times") > F.col("lists")) | (F.col("lists") * share >= 1 + F.floor(F.col("n") / 20))
+        return met.where(often).select("a", F.col("a1").alias("a_s1"), "b", F.col("b1").alias("b_s1"))
+
+    # Half the meetings will do here: what a leader is not compared with comes in the second round.
+    starred = candidates(lists, ("lead_id", "lead_s1", "lead_n"), ("doc_id", "s1", "n"), 2)
+    starred = written(starred, "star-pairs")
     links = written(verified(docs, starred, percent), "star-links")
 
     by_node = nodes.where("doc_id is not null").select("doc_id", "s1", "node").distinct()
 
     def between_nodes(links: DataFrame) -> DataFrame:
-        ends = (by_node.select(F.col("doc_id").alias(x), F.col("s1").alias(f"{x}_s1"), F.col("node").alias(f"{x}_node")) for x in "ab")
-        for x, end in zip("ab", ends):
+        for x in "ab":
+            end = by_node.select(F.col("doc_id").alias(x), F.col("s1").alias(f"{x}_s1"), F.col("node").alias(f"{x}_node"))
             links = links.join(end, [x, f"{x}_s1"])
-        # Rows of one doc_id with different texts are one node.
-        shared = by_node.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        return links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), shared
+        return links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
-    star_links, twins = between_nodes(links)
-    repeated = by_node.groupBy("doc_id").agg(F.count_distinct("node").alias("k")).where("k > 1").select("doc_id")
-    same_id = twins.join(repeated, twins["a"] == repeated["doc_id"]).select("a", "b")
-    parts = written(connected(star_links.unionAll(same_id)), "star-parts")
+    # Rows of one doc_id with different texts are one node.
+    several = by_node.groupBy("doc_id").agg(F.count_distinct("node").alias("k")).where("k > 1").select("doc_id")
+    same_id = by_node.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    parts = written(connected(between_nodes(links).unionAll(same_id)), "star-parts")
 
     # Members of lists with the component they are in so far; without links, by themselves.
     known = by_node.join(parts, "node").select("doc_id", "s1", F.col("component").alias("part"))
@@ -373,10 +390,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     open_lists = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
     left = placed.join(open_lists, "key", "left_semi")
     right = left.toDF("key", "doc_id2", "s12", "n2", "part2")
-    apart = left.join(right, "key").where("part < part2 and " + sizes_fit("n", "n2"))
-    rest = apart.select(*as_pair("doc_id", "s1", "doc_id2", "s12")).distinct()
-    rest = written(rest.join(starred, ["a", "a_s1", "b", "b_s1"], "left_anti"), "rest-pairs")
-    more, _ = between_nodes(written(verified(docs, rest, percent), "rest-links"))
+    apart = left.join(right, "key").where("part < part2")
+    rest = candidates(apart, ("doc_id", "s1", "n"), ("doc_id2", "s12", "n2"), 1)
+    rest = written(rest.join(starred, ["a_s1", "b_s1"], "left_anti").select("a", "a_s1", "b", "b_s1"), "rest-pairs")
+    more = between_nodes(written(verified(docs, rest, percent), "rest-links"))
     final = connected(more.unionAll(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     # Rows whose own class node is not theirs (a shared doc_id) follow the smallest.
     return nodes.join(final, "node", "left").select(
