@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.llm.tables import written
-from trafficloom.llm.words import mix
+from trafficloom.llm.words import mix, slices
 
 # Lines that the rolling hash looks at, and lines per chunk on average.
 WINDOW = 2
@@ -57,12 +57,17 @@ def _hash_pair(data: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for first, last in slices(batch["text"]):
+        yield batch.slice(first, last - first)
+
+
 _PLACE = ["doc_id", "k1", "k2", "first"]
 _NAMES = ["h1", "h2", *_PLACE, "lines"]
 _SCHEMA = "h1 bigint, h2 bigint, doc_id bigint, k1 bigint, k2 bigint, first int, lines int"
-# Bits of the bitmap of repeated chunks: 8 MB, whatever their number. It only
+# Bits of the bitmap of repeated chunks: 2 MB, whatever their number. It only
 # saves work: a bit shared by chance sends one chunk too many.
-BITMAP_BITS = 26
+BITMAP_BITS = 24
 
 
 def _chunk_rows(docs: DataFrame, bitmap=None) -> DataFrame:
@@ -70,10 +75,9 @@ def _chunk_rows(docs: DataFrame, bitmap=None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
-        for batch in batches:
+        for part in (p for batch in batches for p in _slices(batch)):
             found: list[tuple] = []
-            size = 0
-            for doc_id, k1, k2, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "k1", "k2", "text"))):
+            for doc_id, k1, k2, text in zip(*(part[c].to_pylist() for c in ("doc_id", "k1", "k2", "text"))):
                 for first, lines, data in chunks(text):
                     if lines < MIN_LINES or not data.strip():
                         continue
@@ -82,11 +86,7 @@ def _chunk_rows(docs: DataFrame, bitmap=None) -> DataFrame:
                         place = h1 & ((1 << BITMAP_BITS) - 1)
                         if not bits[place >> 3] >> (place & 7) & 1:
                             continue
-                        size += len(data)
                     found.append((h1, h2, doc_id, k1, k2, first, lines, data if bits is not None else None))
-                if size > 1 << 22:
-                    yield as_batch(found)
-                    found, size = [], 0
             yield as_batch(found)
 
     def as_batch(found: list[tuple]) -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in _slices(whole)):
             counts, gone, texts = [], [], []
             for text, cuts in zip(batch["text"].to_pylist(), batch["cuts"].to_pylist()):
                 lines = [] if text is None else text.split("\n")

@@ -101,6 +101,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         last = min(max(last, first + 1), len(texts))
         yield first, last
         first = last
+    # What the slices of this batch needed goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def _hash_piece(data: np.ndarray, starts: np.ndarray, spaces: np.ndarray, fold_case: bool) -> np.ndarray:
