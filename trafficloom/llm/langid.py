@@ -81,19 +81,28 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / norms
 
 
-def solve(bits: np.ndarray, labels: np.ndarray, languages: list[str], landmarks: np.ndarray) -> LanguageModel:
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(bool)
+
+
+def solve(packed: np.ndarray, labels: np.ndarray, languages: list[str], landmarks: np.ndarray) -> LanguageModel:
     """Ridge regression on the Nystrom features of the landmarks, one target per language.
 
+    ``packed`` has the presence bits of a text in each row, eight to a byte;
+    a block of rows is unpacked at a time.
+
     With K the kernel of rows and landmarks and M that of the landmarks, the
     coefficients solve (K'K + n * ridge * M) a = K'y.
     """
-    marks = bits[landmarks]
-    k, m = kernel(bits, marks).astype(np.float64), kernel(marks, marks).astype(np.float64)
+    marks = _unpacked(packed[landmarks])
+    blocks = range(0, len(packed), _TEXTS_PER_BATCH)
+    k = np.concatenate([kernel(_unpacked(packed[i : i + _TEXTS_PER_BATCH]), marks) for i in blocks]).astype(np.float64)
+    m = k[landmarks]
     y = np.where(labels[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
-    left = k.T @ k + len(bits) * RIDGE * m + 1e-6 * np.eye(len(m))
+    left = k.T @ k + len(packed) * RIDGE * m + 1e-6 * np.eye(len(m))
     coefficients = np.linalg.solve(left, k.T @ y)
     scaled = coefficients / np.sqrt(np.maximum(marks.sum(1), 1))[:, None]
-    return LanguageModel(languages, (marks.astype(np.float64).T @ scaled).astype(np.float32))
+    return LanguageModel(languages, marks.astype(np.float32).T @ scaled.astype(np.float32))
 
 
 def train(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE, marks: int = LANDMARKS_PER_LANGUAGE) -> LanguageModel:
@@ -137,7 +146,7 @@ def train(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE, marks:
     for r in sorted(sample, key=lambda r: (r["lang"], r["unit"], r["bits"])):
         chosen.setdefault(r["lang"], [])
         if len(chosen[r["lang"]]) < rows:
-            chosen[r["lang"]].append(np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool))
+            chosen[r["lang"]].append(np.frombuffer(r["bits"], np.uint8))
     languages = sorted(chosen)
     labels = np.concatenate([np.full(len(chosen[x]), i) for i, x in enumerate(languages)])
     starts = np.concatenate(([0], np.cumsum([len(chosen[x]) for x in languages])[:-1]))

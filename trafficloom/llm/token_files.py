@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trafficloom.llm.huffman import STEP, Decoder, Encoder, code_lengths, length_limit
 from trafficloom.llm.tables import written
 from trafficloom.llm.tokenize_words import encoder
-from trafficloom.llm.words import SLICE_BYTES, slices
+from trafficloom.llm.words import slices
 from trafficloom.session import scratch_dir
 
 BLOCK_TOKENS = 65_536
@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         one = encoder(tokenizer)
         kind = np.uint16 if len(one.ends_word) <= 1 << 16 and end_id < 1 << 16 else np.uint32
         for batch in batches:
-            for first, last in slices(batch["text"], 2 * SLICE_BYTES):
+            for first, last in slices(batch["text"]):
                 ids, bounds = one.encode(batch["text"].slice(first, last - first))
                 # One more place per text, for the end.
                 counts = np.diff(bounds) + 1
@@ -77,7 +77,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return data.view(np.uint16 if batch["width"][0].as_py() == 2 else np.uint32)
 
 
-def _parts(batch: pa.RecordBatch, tokens: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, tokens: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     counts = np.cumsum(batch["n_tokens"].to_numpy())
     first = 0
     while first < batch.num_rows:

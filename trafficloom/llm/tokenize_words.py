@@ -18,7 +18,7 @@ import pyarrow as pa
 from trafficloom.llm.words import SLICE_BYTES, WHITE, buffers, byte_values, mix, power_tables
 
 # Units kept per worker: ids and hashes, about 40 bytes each.
-CACHED_UNITS = 1_500_000
+CACHED_UNITS = 600_000
 _CHUNK = 2_000
 _SPACE, _LETTER, _SIGN, _OTHER = 0, 1, 2, 3
 
