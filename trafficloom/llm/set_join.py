@@ -15,8 +15,8 @@ Equal sets are one class, and one document stands for it. The lists are worked
 in two rounds. First every member of a list is compared with one leader, the
 most common in content; that connects groups of near copies by as many
 comparisons as members. Then pairs of a list are compared that are still in
-different components, so no link between components is lost and dense groups
-are not compared pair by pair.
+different components, those that meet most often first, so no link between
+components is lost and dense groups are not compared pair by pair.
 """
 
 from __future__ import annotations
@@ -35,12 +35,15 @@ from trafficloom.llm.tables import written
 from trafficloom.llm.words import mix, slices, split_words, windows
 
 WIDTH = 5
-# Slots of the frequency sketch: 4 MB in memory, whatever the corpus.
-SKETCH_BITS = 20
-SKETCH_PART = 4_096
-# Bits of the bitmap of documents whose sets are asked for: 8 MB, whatever their number.
+# Slots of the frequency sketch: 16 MB in a task, whatever the corpus.
+SKETCH_BITS = 22
+SKETCH_PART = 16_384
+# Bits of the bitmap of documents whose sets are asked for: 2 MB, whatever their number.
 # It only saves work: a bit shared by two documents sends one set too many.
-WANTED_BITS = 26
+WANTED_BITS = 24
+PAIR = ["a", "a_s1", "b", "b_s1"]
+# Rounds in which one pair of each two components is compared, before all that are left are.
+BEST_ROUNDS = 2
 # No set above this is light.
 MAX_LIGHT = 64
 
@@ -94,7 +97,7 @@ def describe(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, last in slices(batch["text"]):
                 elements, bounds = ordered_sets(batch["text"].slice(first, last - first))
-                sketch += np.bincount(_slot(elements), minlength=len(sketch)).astype(np.uint32)
+                np.add.at(sketch, _slot(elements), np.uint32(1))
                 s1, s2 = signatures(elements, bounds)
                 rows = last - first
                 yield pa.RecordBatch.from_arrays(
@@ -121,7 +124,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def merged_sketch(parts: DataFrame) -> np.ndarray:
-    """The sketch of the corpus: sums per part, and the parts (4 MB in all) on the driver."""
+    """The sketch of the corpus: sums per part, and the parts (32 MB in all) on the driver."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_PART, np.uint64)
@@ -136,9 +139,8 @@ def merged_sketch(parts: DataFrame) -> np.ndarray:
 
 
 def sketch_levels(sketch: np.ndarray) -> np.ndarray:
-    """0 for slots up to about the usual count, then one more for each doubling."""
-    usual = 8 + 2 * sketch.mean()
-    return np.floor(np.log2(1 + sketch / usual)).astype(np.uint8)
+    """Eight levels for each doubling of a slot's count, so that an element little above the noise is late already."""
+    return np.minimum(np.floor(8 * np.log2(1 + sketch.astype(np.float64))), 255).astype(np.uint8)
 
 
 def light_boundary(sketch: np.ndarray, percent: int) -> int:
@@ -348,7 +350,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     lists = written(inverted_lists(docs, sketch, percent), "lists")
 
     def candidates(rows: DataFrame, x: tuple[str, ...], y: tuple[str, ...], share: int) -> DataFrame:
-        """Pairs of classes (a, a_s1, b, b_s1) of fitting size that meet often enough; x and y name (doc_id, s1, n)."""
+        """Pairs of classes of fitting size that meet often enough; x and y name (doc_id, s1, n, part)."""
         fits = f"100 * least({x[2]}, {y[2]}) >= {percent} * greatest({x[2]}, {y[2]})"
         swap = F.col(x[1]) > F.col(y[1])
         ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(f"a{i}") for i, (p, q) in enumerate(zip(x, y))]
@@ -359,15 +361,17 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
             F.min("a0").alias("a"),
             F.min("b0").alias("b"),
             F.min(F.least("a2", "b2")).alias("n"),
+            F.min("a3").alias("a_part"),
+            F.min("b3").alias("b_part"),
             F.sum("in_list").alias("lists"),
             F.count(F.lit(1)).alias("times"),
         )
         often = (F.col("times") > F.col("lists")) | (F.col("lists") * share >= 1 + F.floor(F.col("n") / 20))
-        return met.where(often).select("a", F.col("a1").alias("a_s1"), "b", F.col("b1").alias("b_s1"))
+        return met.where(often).select("a", F.col("a1").alias("a_s1"), "b", F.col("b1").alias("b_s1"), "a_part", "b_part", "times")
 
     # Half the meetings will do here: what a leader is not compared with comes in the second round.
-    starred = candidates(lists, ("lead_id", "lead_s1", "lead_n"), ("doc_id", "s1", "n"), 2)
-    starred = written(starred, "star-pairs")
+    starred = candidates(lists, ("lead_id", "lead_s1", "lead_n", "lead_id"), ("doc_id", "s1", "n", "doc_id"), 2)
+    starred = written(starred.select(*PAIR), "star-pairs")
     links = written(verified(docs, starred, percent), "star-links")
 
     by_node = nodes.where("doc_id is not null").select("doc_id", "s1", "node").distinct()
@@ -391,10 +395,26 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     left = placed.join(open_lists, "key", "left_semi")
     right = left.toDF("key", "doc_id2", "s12", "n2", "part2")
     apart = left.join(right, "key").where("part < part2")
-    rest = candidates(apart, ("doc_id", "s1", "n"), ("doc_id2", "s12", "n2"), 1)
-    rest = written(rest.join(starred, ["a_s1", "b_s1"], "left_anti").select("a", "a_s1", "b", "b_s1"), "rest-pairs")
-    more = between_nodes(written(verified(docs, rest, percent), "rest-links"))
-    final = connected(more.unionAll(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    rest = candidates(apart, ("doc_id", "s1", "n", "part"), ("doc_id2", "s12", "n2", "part2"), 1)
+    rest = written(rest.join(starred, ["a_s1", "b_s1"], "left_anti"), "rest-pairs")
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    # One link joins two components: the pair of each two that meets most often is compared first.
+    for _ in range(BEST_ROUNDS):
+        ends = F.struct("times", *PAIR)
+        between = [F.least("a_part", "b_part").alias("p"), F.greatest("a_part", "b_part").alias("q")]
+        best = rest.groupBy(*between).agg(F.max(ends).alias("pair")).select(*[F.col(f"pair.{c}").alias(c) for c in PAIR])
+        best = written(best, "best-pairs")
+        links = written(links.unionAll(between_nodes(verified(docs, best, percent))), "best-links")
+        parts = written(connected(links), "best-parts")
+        rest = rest.join(best, ["a_s1", "b_s1"], "left_anti")
+        for x in "ab":
+            moved = by_node.join(parts, "node").select(
+                F.col("doc_id").alias(x), F.col("s1").alias(f"{x}_s1"), F.col("component").alias(f"{x}_now")
+            )
+            rest = rest.join(moved, [x, f"{x}_s1"], "left").withColumn(f"{x}_part", F.coalesce(f"{x}_now", f"{x}_part")).drop(f"{x}_now")
+        rest = written(rest.where("a_part != b_part"), "rest-pairs")
+    more = between_nodes(verified(docs, rest.select(*PAIR), percent))
+    final = written(connected(links.unionAll(more)), "components")
     # Rows whose own class node is not theirs (a shared doc_id) follow the smallest.
     return nodes.join(final, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
