@@ -235,6 +235,46 @@ def test_chunk_boundaries_resist_shifts():
     assert len(inside & shifted) >= len(inside) - 2
 
 
+def runs_by_hand(docs):
+    """Every run of two lines or more is looked up at all its places, for (doc_id, text) pairs."""
+    docs = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0))
+    lines = [(t or "").split("\n") for _, t in docs]
+    places = collections.defaultdict(list)
+    for d, own in enumerate(lines):
+        for i in range(len(own)):
+            for j in range(i + 2, min(len(own), i + 12) + 1):
+                places[tuple(own[i:j])].append((d, i))
+    gone = collections.defaultdict(set)
+    for run, at in places.items():
+        if any(x.strip() for x in run):
+            for d, i in sorted(at)[1:]:
+                gone[d].update(range(i, i + len(run)))
+    return {
+        docs[d]: (len(gone[d]), None if docs[d][1] is None else "\n".join(x for i, x in enumerate(own) if i not in gone[d]))
+        for d, own in enumerate(lines)
+    }
+
+
+def test_repeated_runs_against_brute_force(llm_spark, sample, odd_docs, no_docs):
+    a, b, c = ("a short passage", "of only three lines", "that chunks may miss")
+    docs = [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\ny"), (3, f"{c}\nz\n\n \n{b}\n{c}"), (4, f"p\n\n \nq\n{a}"), (5, "w\nw\nw\nw")]
+    small = llm_spark.createDataFrame(docs, "doc_id bigint, text string")
+    for df in (small, table(llm_spark, sample, "documents")):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        wanted = runs_by_hand(rows)
+        found = line_chunks.dedup_runs(df).collect()
+        assert counted((r.doc_id, r.n_removed, r.text) for r in found) == counted((r[0], *wanted[r]) for r in rows)
+    # The registered query takes whole runs, and no blank lines that stand alone.
+    texts = {r.doc_id: r.text for r in line_chunks.dedup_runs(small).collect()}
+    assert texts == {1: docs[0][1], 2: "x\ny", 3: f"{c}\nz\n\n ", 4: f"p\n\n \nq\n{a}", 5: "w"}
+    run = queries.QUERIES["op4_line_chunks"](llm_spark, sample)
+    assert counted((r.doc_id, r.text) for r in run.collect()) == counted((r.doc_id, r.text) for r in found)
+    odd = line_chunks.dedup_runs(odd_docs).collect()
+    assert counted(r.n_lines for r in odd) == counted(0 if r[1] is None else r[1].count("\n") + 1 for r in ROWS)
+    assert {r.doc_id: r.text for r in odd}[2] == "" and [r.n_removed for r in odd if r.doc_id == 9] == [0, 0]
+    assert line_chunks.dedup_runs(no_docs).count() == 0
+
+
 # ----- language model ------------------------------------------------------
 
 

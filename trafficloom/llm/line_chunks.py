@@ -1,10 +1,14 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by a rolling hash over line hashes.
 
-A text's lines are hashed, and a rolling hash over the last few line hashes
-chooses where a chunk ends. The choice depends on the lines alone, so a passage
-is cut alike wherever it stands and whatever was put before it. Chunks of two
-lines or more that occur more than once in the corpus are removed but for
-their first place, after their bytes have been compared.
+``dedup_runs`` hashes every two neighbouring lines. A run of two lines or more
+is repeated just when each of its pairs is, so the pairs that stand at several
+places cover every repeated run, whatever its length and wherever it begins;
+they are removed but for their first place, after their bytes have been
+compared.
+
+``dedup_lines`` compares content-defined chunks instead: the rolling hash
+chooses where a chunk ends, so a long passage is cut alike wherever it stands,
+but what lies outside its whole chunks is not found.
 """
 
 from __future__ import annotations
@@ -14,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.llm.tables import written
-from trafficloom.llm.words import mix, slices
+from trafficloom.llm.words import WHITE, buffers, hash_pieces, mix, slices
 
 # Lines that the rolling hash looks at, and lines per chunk on average.
 WINDOW = 2
@@ -68,6 +73,8 @@ _SCHEMA = "h1 bigint, h2 bigint, doc_id bigint, k1 bigint, k2 bigint, first int,
 # Bits of the bitmap of repeated chunks: 2 MB, whatever their number. It only
 # saves work: a bit shared by chance sends one chunk too many.
 BITMAP_BITS = 24
+# The bitmap of repeated pairs has about 16 bits for each, from 2 MB up to 64 MB.
+MAX_PAIR_BITS = 29
 
 
 def _chunk_rows(docs: DataFrame, bitmap=None) -> DataFrame:
@@ -99,19 +106,25 @@ def _chunk_rows(docs: DataFrame, bitmap=None) -> DataFrame:
     return docs.where("text is not null").select("doc_id", "k1", "k2", "text").mapInArrow(rows, schema)
 
 
+def _bitmap(hashes: DataFrame, width: int) -> np.ndarray:
+    """Bytes of a bitmap of 2**width bits, with the low bits of each ``h`` set."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << width) - 1))
+    bitmaps = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32_767))).alias("bits")
+    )
+    bits = np.zeros((1 << width) // 8, np.uint8)
+    for row in bitmaps.toLocalIterator():
+        bits[row["bucket"] * 4_096 :][:4_096] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Every place (doc_id, k1, k2, first, lines) at which a chunk stands that stood at another place before."""
     spark = docs.sparkSession
     place = F.struct(*_PLACE)
     rows = written(_chunk_rows(docs), "chunks")
     repeated = rows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
-    bit = F.col("h1").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bitmaps = repeated.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32_767))).alias("bits")
-    )
-    bits = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in bitmaps.collect():
-        bits[row["bucket"] * 4_096 :][:4_096] = np.frombuffer(row["bits"], np.uint8)
+    bits = _bitmap(repeated.select(F.col("h1").alias("h")), BITMAP_BITS)
     # The bytes of repeated chunks only; grouping by them is the comparison.
     held = _chunk_rows(docs, spark.sparkContext.broadcast(bits))
     kept = held.groupBy("h1", "h2", "bytes").agg(F.min(place).alias("keep"), F.max(place).alias("last"))
@@ -120,6 +133,85 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return rows.join(kept, ["h1", "h2"]).where(place != F.col("keep")).select(*_PLACE, "lines")
 
 
+def line_pairs(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Every two neighbouring lines of a slice of texts that are not both blank: hash, text, line, and the
+    places where the two begin and end in the returned bytes."""
+    # Each text ends with a line feed, so that each line has a byte.
+    nothing, feed = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
+    ended = pc.binary_join_element_wise(texts.fill_null("").cast(pa.large_string()), nothing, feed)
+    data, bounds = buffers(ended)
+    feeds = data == 10
+    ends = np.flatnonzero(feeds)
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
+    hashes = hash_pieces(data, starts, feeds, False)
+    filled = np.logical_or.reduceat(~WHITE[data], starts)
+    text = np.searchsorted(bounds, starts, "right") - 1
+    line = np.arange(len(starts)) - np.searchsorted(starts, bounds[:-1])[text]
+    at = np.flatnonzero((text[1:] == text[:-1]) & (filled[1:] | filled[:-1]))
+    rolled = mix(hashes[at] * _FACTOR + mix(hashes[at + 1] + _FACTOR))
+    return rolled.view(np.int64), text[at], line[at], starts[at], ends[at + 1], data
+
+
+def _pair_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): hashes of pairs of lines and how often they occur."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in _slices(batch)):
+            hashes, counts = np.unique(line_pairs(part["text"])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], ["h", "n"])
+
+    found = docs.where("text is not null").select("text").mapInArrow(count, "h bigint, n bigint")
+    return found.groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _pair_rows(docs: DataFrame, bitmap, width: int) -> DataFrame:
+    """One row per place of a pair of lines that is in the bitmap, with its bytes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for part in (p for batch in batches for p in _slices(batch)):
+            hashes, text, line, starts, ends, data = line_pairs(part["text"])
+            place = hashes & ((1 << width) - 1)
+            held = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            whole = data.tobytes()
+            pieces = [whole[a:b] for a, b in zip(starts[held].tolist(), ends[held].tolist())]
+            keys = [part[c].take(pa.array(text[held])) for c in ("doc_id", "k1", "k2")]
+            arrays = [pa.array(hashes[held]), *keys, pa.array(line[held].astype(np.int32)), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", *_PLACE, "bytes"])
+
+    schema = "h bigint, doc_id bigint, k1 bigint, k2 bigint, first int, bytes binary"
+    return docs.where("text is not null").select("doc_id", "k1", "k2", "text").mapInArrow(rows, schema)
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """Every place (doc_id, k1, k2, first, lines) at which a pair of lines stands that stood at another place before."""
+    place = F.struct(*_PLACE)
+    repeated = written(_pair_counts(docs).where("n > 1").select("h"), "repeated-pairs")
+    width = min(max(BITMAP_BITS, (16 * repeated.count()).bit_length()), MAX_PAIR_BITS)
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated, width))
+    rows = _pair_rows(docs, bits, width).withColumn("h2", F.xxhash64("bytes"))
+    rows = written(rows, "pairs")
+    # Grouping by the bytes is the comparison; one row per repeated pair is joined back.
+    kept = rows.groupBy("h", "h2", "bytes").agg(F.min(place).alias("keep"), F.max(place).alias("last"))
+    kept = kept.where("keep != last").select("h", "h2", "keep")
+    return rows.drop("bytes").join(kept, ["h", "h2"]).where(place != F.col("keep")).select(*_PLACE, F.lit(2).alias("lines"))
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text) of every row, the text without repeated runs of lines.
+
+    Of any run of two lines or more that stands at several places, the place
+    of the smallest doc_id (null first) and line keeps it, and every other
+    place loses it; where a line is in a run kept and in one removed, it goes,
+    as it stands at an earlier place. So the first place of every line stays.
+    Rows equal in doc_id and text are one document, and each is cut alike. A
+    null text stays null and has 0 lines; an empty one has 1. Runs of blank
+    lines only stay. Other columns are ignored; an empty table gives no rows.
+    """
+    keyed = _keyed(docs)
+    return _without(keyed, repeated_pairs(keyed))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every row, the text without repeated chunks.
 
@@ -129,13 +221,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     null and has 0 lines; an empty one has 1. Chunks of blank lines stay.
     Other columns are ignored; an empty table gives no rows.
     """
-    keyed = docs.select(
+    keyed = _keyed(docs)
+    return _without(keyed, repeated_chunks(keyed))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("doc_id", "text").alias("k1"),
         F.xxhash64("text", "doc_id", F.lit(1)).alias("k2"),
         "text",
     )
-    removed = repeated_chunks(keyed).distinct().groupBy("k1", "k2").agg(
+
+
+def _without(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """The texts without the lines at ``places``."""
+    removed = places.distinct().groupBy("k1", "k2").agg(
         F.sort_array(F.collect_list(F.struct("first", "lines"))).alias("cuts")
     )
 
@@ -145,11 +246,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             for text, cuts in zip(batch["text"].to_pylist(), batch["cuts"].to_pylist()):
                 lines = [] if text is None else text.split("\n")
                 counts.append(len(lines))
-                gone.append(sum(c["lines"] for c in cuts or ()))
+                out: set[int] = set()
+                for c in cuts or ():
+                    out.update(range(c["first"], c["first"] + c["lines"]))
+                gone.append(len(out))
                 if cuts:
-                    out = set()
-                    for c in cuts:
-                        out.update(range(c["first"], c["first"] + c["lines"]))
                     text = "\n".join(line for i, line in enumerate(lines) if i not in out)
                 texts.append(text)
             arrays = [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]

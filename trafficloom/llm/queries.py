@@ -130,7 +130,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_line_chunks")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_chunks.dedup_runs(table(spark, sf_dir, "documents"))
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:

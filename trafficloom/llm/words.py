@@ -113,6 +113,24 @@ def _hash_piece(data: np.ndarray, starts: np.ndarray, spaces: np.ndarray, fold_c
     return mix(np.add.reduceat(values, starts) * inverses[starts])
 
 
+def hash_pieces(data: np.ndarray, starts: np.ndarray, spaces: np.ndarray, fold_case: bool) -> np.ndarray:
+    """Hashes of the pieces from each start to the next, bytes in ``spaces`` aside."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    if len(data) <= 4 * SLICE_BYTES:
+        return _hash_piece(data, starts, spaces, fold_case)
+    # A very long text: hash it in pieces that begin with a start.
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(int(np.searchsorted(starts, starts[first] + SLICE_BYTES)), first + 1)
+        begin = starts[first]
+        end = starts[last] if last < len(starts) else len(data)
+        hashes[first:last] = _hash_piece(data[begin:end], starts[first:last] - begin, spaces[begin:end], fold_case)
+        first = last
+    return hashes
+
+
 def split_words(texts: pa.Array, separators: np.ndarray = WHITE, fold_case: bool = True) -> Words:
     """Words of a slice. With ``fold_case`` the letters A-Z hash like a-z."""
     data, bounds = buffers(texts)
@@ -132,20 +150,7 @@ def split_words(texts: pa.Array, separators: np.ndarray = WHITE, fold_case: bool
     after[:-1] = spaces[1:]
     after[inner - 1] = True
     ends = np.flatnonzero(after & ~spaces) + 1
-    if not len(starts):
-        hashes = np.empty(0, np.uint64)
-    elif len(data) <= 4 * SLICE_BYTES:
-        hashes = _hash_piece(data, starts, spaces, fold_case)
-    else:
-        # A very long text: hash it in pieces that begin with a word.
-        hashes = np.empty(len(starts), np.uint64)
-        first = 0
-        while first < len(starts):
-            last = max(int(np.searchsorted(starts, starts[first] + SLICE_BYTES)), first + 1)
-            begin = starts[first]
-            end = starts[last] if last < len(starts) else len(data)
-            hashes[first:last] = _hash_piece(data[begin:end], starts[first:last] - begin, spaces[begin:end], fold_case)
-            first = last
+    hashes = hash_pieces(data, starts, spaces, fold_case)
     return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds))
 
 
