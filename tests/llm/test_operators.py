@@ -327,6 +327,45 @@ def test_language_model_odd_rows(llm_spark, odd_docs, no_docs):
     assert bloom_lm.score_documents(no_docs, F.lit(True)).count() == 0
 
 
+def scores_by_hand(docs, held_out):
+    tokens = [(d, [*brute.words(t), "\n"]) for d, t in docs]
+    words, pairs = collections.Counter(), collections.Counter()
+    for d, own in tokens:
+        if d not in held_out:
+            words.update(["\0", *own])
+            pairs.update(zip(["\0", *own], own))
+    size = sum(words.values()) - words["\0"]
+    values = bloom_lm.level_values()
+
+    def count(n):
+        return values[bloom_lm.levels_of(np.array([n]))[0]] if n else 0.0
+
+    below = size + 0.5 * (len(words) - ("\0" in words) + 1)
+    out = []
+    for d, own in tokens:
+        total = 0.0
+        for before, now in zip(["\0", *own], own):
+            single, previous = (count(words[now]) + 0.5) / below, count(words[before])
+            pair = min(count(pairs[before, now]), count(words[now]), previous)
+            total += math.log10((pair + bloom_lm.PRIOR * single) / (previous + bloom_lm.PRIOR))
+        out.append((len(own), round(total, 4)))
+    return counted(out)
+
+
+def test_no_ngram_is_left_out_beyond_the_broadcast(llm_spark, sample, odd_docs, no_docs, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(bloom_lm, "ENTRIES_PER_SEGMENT", 1 << 14)
+    docs = table(llm_spark, sample, "documents").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 == 1}
+    found = bloom_lm.score_documents(docs, queries.id_fold(5) != 1, filter_bits=1 << 12).collect()
+    assert counted((r.n_tokens, round(r.score, 4)) for r in found) == scores_by_hand(rows, held)
+    for learn, held in ((True, set()), (False, {r[0] for r in ROWS})):
+        found = bloom_lm.score_documents(odd_docs, F.lit(learn), filter_bits=1 << 12).collect()
+        assert counted((r.n_tokens, round(r.score, 4)) for r in found) == scores_by_hand([r[:2] for r in ROWS], held)
+    assert bloom_lm.score_documents(no_docs, F.lit(True), filter_bits=1 << 12).count() == 0
+
+
 # ----- licences ------------------------------------------------------------
 
 
