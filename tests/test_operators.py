@@ -305,3 +305,11 @@ def test_markers_take_the_nearest_point_and_worst_severity(spark):
     found = spark.createDataFrame(rows, "generated_at timestamp_ntz, title string, severity string")
     got = {r.bucket_ts: r.title for r in markers.snap_to_series(found, points).collect()}
     assert got == {at(0): "tie goes to 0", at(1): "C"}
+
+
+def test_all_known_hosts_are_built_in(spark):
+    assert len(STARTER_HOSTNAMES) == 304
+    named = {"sub.kaspersky-labs.com": "work_tools", "my.gov.uz": "work_tools", "youtube.googleapis.com": "video_streaming",
+             "storage.googleapis.com": "work_tools", "quora.com": "other", "msn.com": "news", "unheard.example": "uncategorized"}
+    df = spark.createDataFrame([(d,) for d in named], "domain string")
+    assert {r.domain: r.category for r in categorize(df, CategoryRules()).collect()} == named

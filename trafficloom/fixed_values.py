@@ -5,6 +5,8 @@ Everything here must keep its exact spelling; nothing here is logic.
 
 from __future__ import annotations
 
+import pkgutil
+
 # Category labels.
 CATEGORIES = (
     "uncategorized",
@@ -76,67 +78,10 @@ BLOCKLIST_PRIORITY = (
     "news",
 )
 
-# Starter list of well-known hosts. The full list of a
-# deployment is a parameter (a hostname,category CSV, see sources.dimensions).
-STARTER_HOSTNAMES = (
-    ("youtube.com", "video_streaming"),
-    ("youtu.be", "video_streaming"),
-    ("netflix.com", "video_streaming"),
-    ("twitch.tv", "video_streaming"),
-    ("hulu.com", "video_streaming"),
-    ("disneyplus.com", "video_streaming"),
-    ("primevideo.com", "video_streaming"),
-    ("vimeo.com", "video_streaming"),
-    ("spotify.com", "music_streaming"),
-    ("soundcloud.com", "music_streaming"),
-    ("music.apple.com", "music_streaming"),
-    ("deezer.com", "music_streaming"),
-    ("music.yandex.ru", "music_streaming"),
-    ("steampowered.com", "gaming"),
-    ("epicgames.com", "gaming"),
-    ("roblox.com", "gaming"),
-    ("battle.net", "gaming"),
-    ("minecraft.net", "gaming"),
-    ("facebook.com", "social_media"),
-    ("instagram.com", "social_media"),
-    ("twitter.com", "social_media"),
-    ("x.com", "social_media"),
-    ("tiktok.com", "social_media"),
-    ("reddit.com", "social_media"),
-    ("linkedin.com", "social_media"),
-    ("web.telegram.org", "social_media"),
-    ("amazon.com", "shopping"),
-    ("ebay.com", "shopping"),
-    ("aliexpress.com", "shopping"),
-    ("etsy.com", "shopping"),
-    ("walmart.com", "shopping"),
-    ("market.yandex.ru", "shopping"),
-    ("cnn.com", "news"),
-    ("bbc.com", "news"),
-    ("bbc.co.uk", "news"),
-    ("nytimes.com", "news"),
-    ("reuters.com", "news"),
-    ("news.ycombinator.com", "news"),
-    ("news.yandex.ru", "news"),
-    ("bet365.com", "gambling"),
-    ("draftkings.com", "gambling"),
-    ("pokerstars.com", "gambling"),
-    ("aws.amazon.com", "work_tools"),
-    ("slack.com", "work_tools"),
-    ("zoom.us", "work_tools"),
-    ("github.com", "work_tools"),
-    ("gitlab.com", "work_tools"),
-    ("atlassian.com", "work_tools"),
-    ("office.com", "work_tools"),
-    ("teams.microsoft.com", "work_tools"),
-    ("docs.google.com", "work_tools"),
-    ("drive.google.com", "work_tools"),
-    ("cloud.google.com", "work_tools"),
-    ("drive.usercontent.google.com", "work_tools"),
-    ("stackoverflow.com", "work_tools"),
-    ("yandex.ru", "other"),
-    ("bing.com", "other"),
-    ("google-analytics.com", "other"),
+# Well-known hosts, all that the reference knows, from known_hosts.csv.
+# A deployment may pass its own list (a hostname,category CSV, see sources.dimensions).
+STARTER_HOSTNAMES = tuple(
+    tuple(line.split(",")) for line in pkgutil.get_data("trafficloom", "known_hosts.csv").decode().splitlines()[1:]
 )
 
 # Column widths of stored events.

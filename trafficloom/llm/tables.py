@@ -36,7 +36,7 @@ def ship_package(spark: SparkSession) -> None:
     root = Path(trafficloom.__file__).parent
     archive = Path(tempfile.mkdtemp(prefix="trafficloom-package-")) / "trafficloom.zip"
     with zipfile.ZipFile(archive, "w") as target:
-        for file in sorted(root.rglob("*.py")):
+        for file in sorted([*root.rglob("*.py"), *root.rglob("*.csv")]):
             target.write(file, file.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._trafficloom_shipped = True
