@@ -387,6 +387,20 @@ def test_canonical_forms_agree(llm_spark):
     assert [r[0] for r in df.select(licenses.respelled(whole)).collect()] == [licenses.canonical_text(t) for t in texts]
 
 
+def test_whole_licences_however_wrapped(llm_spark):
+    from trafficloom.llm.license_texts import KNOWN, full_texts
+
+    texts = dict((name, text) for text, name in reversed(full_texts()))
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Nancy Holt\n\n" + KNOWN["MIT"]), ("MIT", "Copyright Nancy\n" + KNOWN["MIT"])]
+    # The built-in wrapping begins a line with "copyright notice and"; this one does not.
+    rows += [("ISC", "Copyright 2020 by me\n" + " ".join(KNOWN["ISC"].split()))]
+    rows += [(name, "\n\n\n" + text) for name, text in texts.items()]
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
+    docs = llm_spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    found = licenses.scan_licenses(docs, licenses.known_table(llm_spark)).where("line is null")
+    assert {r.doc_id: r.license for r in found.collect()} == {i: name for i, (name, _) in enumerate(rows)}
+
+
 # ----- decontamination -----------------------------------------------------
 
 

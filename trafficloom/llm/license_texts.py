@@ -1,4 +1,11 @@
-"""Public licence texts and notices. Results depend on them."""
+"""Public licence texts and notices. Results depend on them.
+
+Longer texts are in ``license_files``, one file per SPDX name.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -66,6 +73,29 @@ KNOWN = {
     "BSD-3-Clause": _BSD_HEAD + _BSD_NAME + _BSD_TAIL,
 }
 
+# Titles under which the texts above are published; they have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(text, licence) of every full text, with and without its title, and without what follows its terms."""
+    forms = [(text, name) for name, text in KNOWN.items()]
+    forms += [(f"{title}\n\n{KNOWN[name]}", name) for name, titles in TITLES.items() for title in titles]
+    for file in sorted((Path(__file__).parent / "license_files").glob("*.txt")):
+        whole = file.read_text(encoding="utf-8").strip()
+        # The Unlicense has no title.
+        for text in (whole,) if file.stem == "Unlicense" else (whole, whole.partition("\n\n")[2]):
+            terms, end, _ = text.partition(END_OF_TERMS)
+            forms += [(text, file.stem), (terms + end, file.stem), (terms, file.stem)]
+    return forms
+
+
 # One-line notices that stand for a licence, as stewards and publishers word them.
 NOTICES = {
     "Released under the MIT License.": "MIT",

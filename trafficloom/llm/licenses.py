@@ -11,10 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficloom.functions.once import compute_once
-from trafficloom.llm.license_texts import EQUIVALENT, KNOWN, NOTICES
+from trafficloom.llm.license_texts import EQUIVALENT, NOTICES, full_texts
 
-# Lines that name a copyright holder; they differ from copy to copy.
-COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+# Words after "copyright" at which a sentence of a licence goes on; any other word is a year, a sign or a holder.
+PROSE = (
+    "also", "and", "are", "disclaimer", "doctrines", "holder", "holders", "if", "interest", "law", "laws", "license",
+    "like", "line", "notice", "notices", "of", "on", "or", "owner", "owners", "ownership", "patent", "permission",
+    "resulting", "statement", "those", "treaty",
+)
+_ASCII_SIGNS = r"\x00-/:-@\[-`{-\x7f"
+
+
+def none_of(words: tuple[str, ...], start: bool = True) -> str:
+    """A pattern, without lookahead, of a lower-case word that is none of the given ones."""
+    first = "".join(sorted({w[0] for w in words if w}))
+    parts = [f"[^{_ASCII_SIGNS}{first}][^{_ASCII_SIGNS}]*"]
+    parts += [c + none_of(tuple(w[1:] for w in words if w[:1] == c), False) for c in first]
+    return "(" + "|".join(parts if start or "" in words else [*parts, ""]) + ")"
+
+
+# Lines that name a year or a copyright holder; they differ from copy to copy.
+COPYRIGHT_LINE = rf"^[^a-z0-9]*(copyright[^a-z0-9]*{none_of(PROSE)}([^a-z0-9]|$)|\(c\)|©|all rights reserved)"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 SPELLING = {"licence": "license", "licenced": "licensed", **EQUIVALENT}
 # A table of known licences is broadcast up to this many digests, else joined by shuffle.
@@ -51,7 +68,7 @@ def canonical_text(text: str) -> str:
 
 def known_digests(texts: Mapping[str, str] | None = None) -> list[tuple[str, str, int]]:
     """(digest, licence, number of words) of the given texts, or of the built-in ones and notices."""
-    pairs = [(t, name) for name, t in (texts or KNOWN).items()]
+    pairs = [(t, name) for name, t in texts.items()] if texts else full_texts()
     if texts is None:
         pairs += list(NOTICES.items())
     forms = {canonical_text(t): name for t, name in pairs}
