@@ -8,7 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trafficloom.llm import bloom_lm, chat, decontaminate, langid, licenses, line_chunks, mixing, quality, set_join, token_files
+from trafficloom.llm import (
+    bloom_lm,
+    chat,
+    collocations,
+    decontaminate,
+    divergence,
+    langid,
+    licenses,
+    line_chunks,
+    mixing,
+    quality,
+    set_join,
+    sharding,
+    token_files,
+)
 from trafficloom.llm.tables import ship_package, table
 
 # The vocabulary of the token files; its place is the library's, never a copy of ours.
@@ -154,3 +168,91 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = as_transcripts(table(spark, sf_dir, "conversations"))
     return chat.format_transcripts(rows, chat.fit(rows))
+
+
+# A byte at a time: eight steps of the polynomial for each of 256 bytes make the table.
+CRC_TABLE_SQL = """SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"""
+
+SHARD_SQL = f"""WITH steps AS ({CRC_TABLE_SQL}),
+sized AS (SELECT doc_id, CAST(coalesce(strlen("text"), 0) + 1 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(regexp_extract_all(hex(encode(coalesce("text", ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM documents, steps),
+placed AS (SELECT *, row_number() OVER w AS n, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    sum(size) OVER () AS total FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+sharded AS (SELECT *, CAST(8 * (2 * start + size) // (2 * total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded"""
+
+
+@query("op11_shards", SHARD_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select(
+        "doc_id",
+        "size",
+        sharding.text_crc32(F.col("text")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+_LOWER_SQL = "translate(coalesce(\"text\", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+AUDIT_SQL = rf"""WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT d, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+counted AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counted USING (lang, source) GROUP BY lang, source),
+lang_totals AS (SELECT lang, term, n, sum(n) OVER (PARTITION BY lang) AS total FROM (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term)),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2) // (CAST(total AS HUGEINT) + 2 * v) AS p
+  FROM totals JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN counted USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (CAST(total AS HUGEINT) + 2 * v) AS q FROM lang_totals JOIN sizes USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS "value"
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS f
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS "value" FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY "value" DESC, item) AS "rank" FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST("value" AS BIGINT) AS "value", CAST("rank" AS INTEGER) AS "rank" FROM ranked WHERE part = 'pair' OR "rank" <= 10"""
+
+
+@query("op12_source_audit", AUDIT_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+PHRASE_SQL = rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array({_LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, unnest(w) AS g, 1 AS size FROM split
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM split
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM split),
+counts AS (SELECT lang, size, g, count(*) AS f FROM grams GROUP BY lang, size, g),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+often AS (SELECT lang, size, g, f, string_split(g, ' ') AS w FROM counts WHERE f >= 10),
+cuts AS (SELECT lang, size, g, f, w, unnest(range(1, size)) AS k FROM often WHERE size > 1),
+scored AS (SELECT c.lang, c.size, c.g, c.w, c.k, c.f AS a, x.f AS l, y.f AS r,
+    CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:c.k], ' ')
+  JOIN often y ON y.lang = c.lang AND y.g = array_to_string(c.w[c.k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g, f FROM often WHERE size = 3),
+dropped AS (SELECT lang, g, max(f) AS f FROM longer GROUP BY lang, g),
+alone AS (SELECT lowest.* FROM lowest LEFT JOIN dropped d ON d.lang = lowest.lang AND d.g = lowest.g AND size = 2
+  WHERE d.f IS NULL OR 100 * d.f < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS "rank" FROM alone)
+SELECT lang, "rank", g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN sizes USING (lang) WHERE "rank" <= 2000"""
+
+
+@query("op13_phrases", PHRASE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
