@@ -45,6 +45,8 @@ _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BETWEEN = _BREAKS.copy()
 _BETWEEN[[9, 32]] = True
+# The first r bytes of eight, the first in the lowest bits.
+_FIRST = np.array([(1 << (8 * r)) - 1 for r in range(9)], np.uint64)
 _FANOUT = 16
 # Word ids of a task are numbers of so many bits; three of them fill a key.
 _ID_BITS = 21
@@ -69,8 +71,10 @@ def slice_words(texts: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray,
     if seed and len(ids):
         padded = np.concatenate((words.data, np.zeros(8, np.uint8)))
         padded[(padded >= 65) & (padded <= 90)] += 32
-        heads = np.lib.stride_tricks.sliding_window_view(padded, 8)[words.starts].view(np.uint64).ravel()
-        ids = mix(ids ^ mix(heads * np.uint64(2 * seed + 1) + (words.ends - words.starts).astype(np.uint64)))
+        sizes = words.ends - words.starts
+        heads = np.lib.stride_tricks.sliding_window_view(padded, 8)[words.starts].view("<u8").ravel().astype(np.uint64)
+        heads &= _FIRST[np.minimum(sizes, 8)]
+        ids = mix(ids ^ mix(heads * np.uint64(2 * seed + 1) + sizes.astype(np.uint64)))
     # Pieces are numbered through; the first of each text is a new one.
     breaks = np.flatnonzero(_BREAKS[words.data]) if len(words.data) else np.empty(0, np.int64)
     pieces = np.searchsorted(breaks, words.starts) + words.text_of_word()
