@@ -22,6 +22,7 @@ HEADLINE = (
     "domain_minute",
     "client_minute",
     "client_category_minute",
+    "rollup_tables",
     "hourly_rollup",
     "summary",
     "cache_efficiency",
@@ -74,8 +75,8 @@ def main() -> None:
         lines = read_lines(spark, logs).withColumn("copy", copies).drop("copy")
         work = {
             "parse": [parse_access_log(lines)[0]],
-            "rollups": [rollup.minute_totals(events), rollup.domain_minute(events), rollup.client_minute(events)]
-            + [rollup.client_category_minute(events, base.rules)],
+            # All stored tables, four with sums and two of first visits, as a flush makes them.
+            "rollups": [rollup.all_rollups(events, base.rules)],
         }
         for name, frames in work.items():
             start = time.perf_counter()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,13 @@ from trafficloom.operators import (
     traffic,
 )
 from trafficloom.plans import archive, branches, export, report, retention
+from trafficloom.plans.files import delete, read_or_empty
 from trafficloom.plans.store import LogStore
-from trafficloom.schema import CLIENT_HOURLY, CLIENT_MINUTE, DOMAIN_MINUTE, MINUTE_TOTALS
+from trafficloom.schema import CLIENT_DOMAIN_SEEN, CLIENT_HOURLY, CLIENT_MINUTE, DOMAIN_MINUTE, MINUTE_TOTALS
 from trafficloom.session import scratch_dir
 from trafficloom.sources import dimensions
 from trafficloom.sources.access_log import stream_lines
+from trafficloom.streaming import feed, progress
 from trafficloom.streaming.ingest import Ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +153,46 @@ def _(d: Data) -> DataFrame:
     return rollup.client_category_minute(d.events, d.rules)
 
 
+def _grain_sql(name: str, source: str, **columns: str) -> str:
+    """Rows of one roll-up in the columns that all of them share; sums that it does not have are 0."""
+    texts = ("branch", "client_ip", "user", "domain", "category")
+    sums = ("total_requests", "blocked_requests", "allowed_requests", "hit_requests", "miss_requests", "request_count", "blocked_count", "total_bytes")
+    every = ("bucket_ts", *texts, *sums, "first_seen")
+    kinds = dict.fromkeys(texts, "VARCHAR") | dict.fromkeys(sums, "BIGINT") | dict.fromkeys(("bucket_ts", "first_seen"), "TIMESTAMP")
+    parts = [
+        f'{columns[c]} AS "{c}"' if c in columns else f'CAST({0 if c in sums else "NULL"} AS {kinds[c]}) AS "{c}"' for c in every
+    ]
+    return f"SELECT '{name}' AS grain, {', '.join(parts)} FROM {source}"
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: f'"{n}"' for n in names}
+
+
+ROLLUP_TABLES_SQL = " UNION ALL ".join(
+    [
+        _grain_sql("minute_totals", "minute_totals", **_same("bucket_ts", "branch", "total_requests", "blocked_requests",
+                   "allowed_requests", "hit_requests", "miss_requests", "total_bytes")),
+        _grain_sql("domain_minute", "domain_minute", **_same("bucket_ts", "branch", "domain", "request_count", "blocked_count", "total_bytes")),
+        _grain_sql("client_minute", "client_minute", **_same("bucket_ts", "branch", "client_ip", "user", "request_count", "blocked_count", "total_bytes")),
+        _grain_sql("client_category_minute", """(SELECT date_trunc('minute', "timestamp") AS bucket_ts, client_ip, category, branch,
+              count(*) AS request_count, CAST(sum(bytes) AS BIGINT) AS total_bytes
+            FROM access_events JOIN categories USING (domain) GROUP BY 1, 2, 3, 4)""",
+                   **_same("bucket_ts", "branch", "client_ip", "category", "request_count", "total_bytes")),
+        _grain_sql("client_domain_seen", """(SELECT branch, client_ip, domain, min("timestamp") AS first_seen FROM access_events
+            WHERE domain IS NOT NULL GROUP BY 1, 2, 3)""", **_same("branch", "client_ip", "domain", "first_seen")),
+        _grain_sql("domain_seen", """(SELECT branch, domain, min("timestamp") AS first_seen FROM access_events
+            WHERE domain IS NOT NULL GROUP BY 1, 2)""", **_same("branch", "domain", "first_seen")),
+    ]
+)
+
+
+@query("rollup_tables", with_sql(ROLLUP_TABLES_SQL, fx.CATEGORIES_SQL))
+def _(d: Data) -> DataFrame:
+    """Every stored roll-up from one scan of the events."""
+    return rollup.all_rollups(d.events, d.rules).drop("bucket").na.fill(0)
+
+
 HOURLY_SQL = """client_hours AS (
   SELECT date_trunc('hour', bucket_ts) AS bucket_ts, client_ip, branch, "user",
     CAST(sum(request_count) AS BIGINT) AS request_count, CAST(sum(blocked_count) AS BIGINT) AS blocked_count,
@@ -1126,6 +1169,271 @@ def _(d: Data) -> DataFrame:
     return store.rollup(MINUTE_TOTALS).drop("event_date")
 
 
+@query("stream_interleaved", with_sql("SELECT * FROM minute_totals"))
+def _(d: Data) -> DataFrame:
+    """Two ingests by turns into one store, upkeep, then the first one's last batch once more."""
+    root = scratch_dir(d.spark, "interleaved")
+    store = LogStore(d.spark, f"{root}/store")
+    parts = (
+        ("one", F.col("branch").eqNullSafe("branch-a") & (F.col("id") % 2 == 0)),
+        ("two", ~F.col("branch").eqNullSafe("branch-a")),
+        ("one", F.col("branch").eqNullSafe("branch-a") & (F.col("id") % 2 == 1)),
+    )
+
+    def run(name: str) -> None:
+        lines = stream_lines(d.spark, f"{root}/logs-{name}")
+        Ingest(store, d.rules).start(lines, f"{root}/checkpoint-{name}", available_now=True).awaitTermination()
+
+    for name, part in parts:
+        d.lines(part).write.mode("append").partitionBy("branch").text(f"{root}/logs-{name}")
+        run(name)
+    store.fold(MINUTE_TOTALS.name, store.dates(MINUTE_TOTALS.name))
+    store.vacuum()
+    # Without its last entry Spark repeats the stream's last batch.
+    delete(d.spark, f"{root}/checkpoint-one/commits/1")
+    run("one")
+    return store.rollup(MINUTE_TOTALS).drop("event_date")
+
+
+# Two batches of twelve hours, the second checked against the first.
+STREAM_DETECT_SQL = f"""parsed AS (SELECT {PARSED_SQL} FROM access_events),
+ev AS (SELECT *, date_part('hour', "timestamp") // 12 AS b FROM parsed),
+batch_bounds AS (SELECT b, branch, max("timestamp") AS generated_at, count(*) AS current,
+  greatest(min("timestamp"), max("timestamp") - INTERVAL 1 HOUR) AS window_start FROM ev GROUP BY b, branch),
+minutes AS (SELECT b, branch, date_trunc('minute', "timestamp") AS bucket_ts, count(*) AS n FROM ev GROUP BY 1, 2, 3),
+spikes AS (SELECT branch, generated_at FROM (
+    SELECT w.*, m.n, row_number() OVER (PARTITION BY w.b, w.branch ORDER BY m.bucket_ts DESC) AS age FROM batch_bounds w
+    JOIN minutes m ON m.branch = w.branch AND m.b < w.b AND m.bucket_ts + INTERVAL 1 MINUTE <= w.window_start) r
+  WHERE age <= 10 GROUP BY b, branch, generated_at, current HAVING count(*) >= 5 AND current > 3 * sum(n) / count(*)),
+blocked_new AS (SELECT DISTINCT e.branch, w.generated_at, e.domain FROM ev e JOIN batch_bounds w USING (b, branch)
+  WHERE e.blocked AND e.domain <> '' AND NOT EXISTS (SELECT 1 FROM ev o
+    WHERE o.b < e.b AND o.branch = e.branch AND o.domain = e.domain AND o."timestamp" < w.window_start)),
+mostly_blocked AS (SELECT e.branch, w.generated_at, e.client_ip FROM ev e JOIN batch_bounds w USING (b, branch)
+  GROUP BY e.b, e.branch, w.generated_at, e.client_ip HAVING count(*) >= 5 AND count(*) FILTER (e.blocked) / count(*) >= 0.5),
+visits AS (SELECT DISTINCT e.branch, w.generated_at, e.client_ip, e.domain FROM ev e JOIN batch_bounds w USING (b, branch)
+  JOIN settings s USING (branch) JOIN parsed_categories k ON k.domain = e.domain
+  WHERE contains(replace(s.sensitive, ' ', ''), k.category) AND NOT EXISTS (SELECT 1 FROM ev o WHERE o.b < e.b
+    AND o.branch = e.branch AND o.client_ip = e.client_ip AND o.domain = e.domain AND o."timestamp" < w.window_start))"""
+
+
+@query(
+    "stream_detect",
+    with_sql(
+        """SELECT 'traffic_spike' AS kind, branch, generated_at, CAST(NULL AS VARCHAR) AS client_ip, CAST(NULL AS VARCHAR) AS domain FROM spikes
+        UNION ALL SELECT 'new_blocked_domain', branch, generated_at, NULL, domain FROM blocked_new
+        UNION ALL SELECT 'client_blocked_ratio', branch, generated_at, client_ip, NULL FROM mostly_blocked
+        UNION ALL SELECT 'sensitive_category_visit', branch, generated_at, client_ip, domain FROM visits""",
+        STREAM_DETECT_SQL.replace("batch_bounds AS", fx.category_sql(
+            "parsed_categories", "SELECT DISTINCT domain FROM ev WHERE domain <> ''", fx.OVERRIDES_SQL) + ", " + fx.SETTINGS_SQL + ", batch_bounds AS", 1),
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """Anomalies that the ingest stores, batch by batch, from carried minutes and first visits."""
+    root = scratch_dir(d.spark, "stream-detect")
+    store = LogStore(d.spark, f"{root}/store")
+    for half in range(2):
+        rows = F.floor(F.hour("timestamp") / 12) == half
+        d.lines(rows).write.mode("append").partitionBy("branch").text(f"{root}/logs")
+        ingest = Ingest(store, d.rules, d.settings, "statistical")
+        ingest.start(stream_lines(d.spark, f"{root}/logs"), f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store.anomalies().select("kind", "branch", "generated_at", "client_ip", "domain")
+
+
+SPREAD_SQL = """spread AS (SELECT * REPLACE ("timestamp" + to_days(CAST(id % 5 AS INTEGER)) AS "timestamp") FROM access_events)"""
+
+
+@query(
+    "store_newest",
+    with_sql(
+        f"""SELECT {DETAIL_SQL} FROM spread WHERE branch = 'branch-b' AND blocked ORDER BY "timestamp" DESC, id DESC LIMIT 300""",
+        SPREAD_SQL,
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """The newest blocked events of a branch, from the newest of five stored dates."""
+    store = LogStore(d.spark, scratch_dir(d.spark, "newest"))
+    moved = F.timestamp_add("DAY", F.col("id") % 5, F.col("timestamp"))
+    store.write_events(0, d.events.withColumn("timestamp", moved))
+    store.write_rollups(0, d.rules)
+    store.commit(0)
+    return events.newest_first(store.newest_events(300, branch="branch-b", blocked_only=True))
+
+
+@query(
+    "event_positions",
+    with_sql(f"""SELECT {DETAIL_SQL} FROM access_events WHERE blocked ORDER BY "timestamp" DESC, id DESC LIMIT 40 OFFSET 80"""),
+)
+def _(d: Data) -> DataFrame:
+    """The third page of forty, each found by the position at which the one before it ends."""
+    rows = d.events.where("blocked")
+    position = None
+    for _page in range(2):
+        position = events.next_position(events.events_after(rows, position, 40))
+    return events.events_after(rows, position, 40)
+
+
+@query("lag_signals", with_sql("SELECT count(*) AS input_rows, false AS at_risk FROM events GROUP BY event_id % 12"))
+def _(d: Data) -> DataFrame:
+    """Every batch of a stream in the lag table, as the listener was told of it."""
+    root = scratch_dir(d.spark, "lag")
+    rows = d.spark.read.parquet(f"{d.sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 12).alias("file"))
+    n_files = rows.select("file").distinct().count()
+    rows.repartition(12, "file").write.partitionBy("file").parquet(f"{root}/in")
+    progress_log = progress.ProgressLog(d.spark, f"{root}/progress")
+    d.spark.streams.addListener(progress_log)
+    try:
+        stream = d.spark.readStream.schema("event_id bigint, file int").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        started = stream.writeStream.format("noop").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        started.awaitTermination()
+        # Reports come a little later than the end.
+        give_up = time.monotonic() + 60
+        while progress_log.rows().where("input_rows > 0").count() < n_files and time.monotonic() < give_up:
+            time.sleep(0.2)
+    finally:
+        d.spark.streams.removeListener(progress_log)
+    signals = progress.lag_signals(progress_log.rows().where("input_rows > 0"), interval_ms=3_600_000)
+    return signals.select("input_rows", "at_risk")
+
+
+LONG_SINCE, LONG_UNTIL = dt.datetime(2024, 1, 3, 7, 23, 11), dt.datetime(2024, 2, 11, 18, 41, 5)
+LONG_SQL = """long_events AS (SELECT * REPLACE ("timestamp" + to_days(CAST(id % 45 AS INTEGER)) AS "timestamp") FROM access_events),
+long_range AS (SELECT * FROM long_events WHERE domain IS NOT NULL AND date_trunc('minute', "timestamp")
+  BETWEEN TIMESTAMP '2024-01-03 07:23:11' AND TIMESTAMP '2024-02-11 18:41:05')"""
+
+
+def _long_store(d: Data) -> LogStore:
+    """Domain minutes of 45 days, 43 of them folded with their longer sums; a late batch touches all."""
+    store = LogStore(d.spark, scratch_dir(d.spark, "long"))
+    events_ = d.events.withColumn("timestamp", F.timestamp_add("DAY", F.col("id") % 45, F.col("timestamp")))
+    for batch, part in enumerate((F.col("id") % 10 != 0, F.col("id") % 10 == 0)):
+        store.write_partials(batch, DOMAIN_MINUTE, rollup.domain_minute(events_.where(part)))
+        store.commit(batch)
+        if batch == 0:
+            store.fold_levels(DOMAIN_MINUTE, store.dates(DOMAIN_MINUTE.name)[:-2])
+            store.vacuum()
+    return store
+
+
+@query(
+    "top_domains_long",
+    with_sql(
+        """SELECT domain, count(*) AS request_count, count(*) FILTER (blocked) AS blocked_count, CAST(sum(bytes) AS BIGINT) AS total_bytes
+        FROM long_range WHERE branch = 'branch-a' GROUP BY domain ORDER BY request_count DESC, domain LIMIT 10""",
+        LONG_SQL,
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """Six weeks with odd ends, from sums over minutes, hours, days and 16 days."""
+    rows = _long_store(d).rollup_range(DOMAIN_MINUTE, LONG_SINCE, LONG_UNTIL)
+    found = domains.top_domains(rows, LONG_SINCE, LONG_UNTIL, d.rules, limit=10, branch="branch-a")
+    return found.select("domain", "request_count", "blocked_count", "total_bytes")
+
+
+@query(
+    "usage_by_category_long",
+    with_sql(
+        """SELECT category, count(*) AS request_count, count(*) FILTER (blocked) AS blocked_count, CAST(sum(bytes) AS BIGINT) AS total_bytes
+        FROM long_range JOIN categories USING (domain) GROUP BY category""",
+        LONG_SQL,
+        fx.CATEGORIES_SQL,
+    ),
+)
+def _(d: Data) -> DataFrame:
+    rows = _long_store(d).rollup_range(DOMAIN_MINUTE, LONG_SINCE, LONG_UNTIL)
+    return domains.usage_by_category(rows, LONG_SINCE, LONG_UNTIL, d.rules).select(
+        "category", "request_count", "blocked_count", "total_bytes"
+    )
+
+
+@query(
+    "active_clients_long",
+    with_sql(
+        """SELECT 'client' AS kind, count(DISTINCT client_ip) AS n FROM long_minutes
+        UNION ALL SELECT 'user', count(DISTINCT "user") FROM long_minutes""",
+        LONG_SQL,
+        """long_minutes AS (SELECT * FROM long_events WHERE date_trunc('minute', "timestamp")
+          BETWEEN TIMESTAMP '2024-01-03 07:23:11' AND TIMESTAMP '2024-02-11 18:41:05')""",
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """Distinct clients and users of six weeks from bitmaps per hour; odd ends and late rows from client minutes."""
+    store = LogStore(d.spark, scratch_dir(d.spark, "long-clients"))
+    events_ = d.events.withColumn("timestamp", F.timestamp_add("DAY", F.col("id") % 45, F.col("timestamp")))
+    for batch, part in enumerate((F.col("id") % 10 != 0, F.col("id") % 10 == 0)):
+        store.write_partials(batch, CLIENT_MINUTE, rollup.client_minute(events_.where(part)))
+        store.commit(batch)
+        if batch == 0:
+            store.fold_clients(store.dates(CLIENT_MINUTE.name)[:-2])
+    return store.active_counts(LONG_SINCE, LONG_UNTIL)
+
+
+RENAMED = "CASE branch WHEN 'branch-a' THEN 'head-office' ELSE branch END"
+
+
+@query(
+    "relabel_store",
+    with_sql(
+        f"""SELECT 'events' AS part, {RENAMED} AS branch, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total FROM access_events GROUP BY ALL
+        UNION ALL SELECT 'domains', {RENAMED}, count(*), CAST(sum(total_bytes) AS BIGINT) FROM domain_minute GROUP BY ALL
+        UNION ALL SELECT 'clients', {RENAMED}, count(*), CAST(sum(total_bytes) AS BIGINT) FROM client_minute GROUP BY ALL
+        UNION ALL SELECT 'visits', {RENAMED}, count(*), 0 FROM (SELECT DISTINCT branch, client_ip, domain FROM access_events
+          WHERE domain IS NOT NULL) v GROUP BY ALL"""
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """A branch renamed in a store of two batches, one of them folded; no data file changes."""
+    store = LogStore(d.spark, scratch_dir(d.spark, "relabel"))
+    for batch, part in enumerate((F.col("id") % 2 == 0, F.col("id") % 2 == 1)):
+        store.write_events(batch, d.events.where(part))
+        store.write_rollups(batch, d.rules)
+        store.commit(batch)
+        if batch == 0:
+            store.fold(DOMAIN_MINUTE.name, store.dates(DOMAIN_MINUTE.name))
+    branches.relabel_branch(store, "branch-a", "head-office", dry_run=False)
+    visits = store.first_visits(CLIENT_DOMAIN_SEEN).select("branch", "client_ip", "domain").distinct()
+    parts = {
+        "events": (store.events(), F.sum("bytes")),
+        "domains": (store.rollup(DOMAIN_MINUTE), F.sum("total_bytes")),
+        "clients": (store.rollup(CLIENT_MINUTE), F.sum("total_bytes")),
+        "visits": (visits, F.lit(0).cast("long")),
+    }
+    counted = [
+        rows.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), total.alias("total")).withColumn("part", F.lit(name))
+        for name, (rows, total) in parts.items()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
+@query(
+    "feed_batches",
+    with_sql(
+        """SELECT branch, CAST(200 AS INTEGER) AS n, total // 200 AS batches, true AS in_order FROM
+          (SELECT branch, count(*) AS total FROM access_events GROUP BY branch) t WHERE total >= 200
+        UNION ALL SELECT branch, CAST(total % 200 AS INTEGER), 1, true FROM
+          (SELECT branch, count(*) AS total FROM access_events GROUP BY branch) t WHERE total % 200 > 0"""
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """The events as a live feed: full batches at once, the rest of each branch when its time is up."""
+    root = scratch_dir(d.spark, "feed")
+    d.lines().write.partitionBy("branch").text(f"{root}/logs")
+    total = d.events.count()
+    batches = feed.feed_batches(parse.parse_access_log(stream_lines(d.spark, f"{root}/logs"))[0])
+    writer = batches.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    started = writer.trigger(processingTime="0.2 seconds").start()
+    out = read_or_empty(d.spark, f"{root}/out", batches.schema)
+    give_up = time.monotonic() + 120
+    while out.count() < total and started.isActive and time.monotonic() < give_up:
+        time.sleep(0.3)
+        out = read_or_empty(d.spark, f"{root}/out", batches.schema)
+    started.stop()
+    per_batch = out.groupBy("branch", "batch").agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_distinct("position").alias("places"), F.max("position").alias("last")
+    )
+    whole = (F.col("rows") == F.col("n")) & (F.col("places") == F.col("n")) & (F.col("last") == F.col("n"))
+    return per_batch.groupBy("branch", "n").agg(F.count(F.lit(1)).alias("batches"), F.bool_and(whole).alias("in_order"))
+
+
 @query("store_retention", with_sql("SELECT * FROM domain_minute WHERE bucket_ts >= TIMESTAMP '2024-01-01 12:00:00'"))
 def _(d: Data) -> DataFrame:
     """Domain minutes stored, aged out up to noon by the retention job, read back."""
@@ -1177,12 +1485,12 @@ def _(d: Data) -> DataFrame:
 
 @query("store_compacted", with_sql("SELECT * FROM domain_minute"))
 def _(d: Data) -> DataFrame:
-    """Domain minutes stored as two batches and folded into one version."""
+    """Domain minutes stored as two batches and folded."""
     store = LogStore(d.spark, scratch_dir(d.spark, "compacted"))
     for batch, rows in enumerate((d.events.where("blocked"), d.events.where("NOT blocked"))):
         store.write_partials(batch, DOMAIN_MINUTE, rollup.domain_minute(rows))
         store.commit(batch)
-    store.compact(DOMAIN_MINUTE.name, store.dates(DOMAIN_MINUTE.name))
+    store.fold(DOMAIN_MINUTE.name, store.dates(DOMAIN_MINUTE.name))
     return store.rollup(DOMAIN_MINUTE).drop("event_date")
 
 

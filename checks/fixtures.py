@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficloom import fixed_values as fv
@@ -201,16 +201,17 @@ class Data:
     def events(self) -> DataFrame:
         return spark_view(self.spark, self.sf_dir)
 
-    def lines(self, damaged: bool = False) -> DataFrame:
-        """The events as raw log lines; damaged in fixed ways on request."""
+    def lines(self, rows: Column | None = None, damaged: bool = False) -> DataFrame:
+        """The events, or some of them, as raw log lines; damaged in fixed ways on request."""
         ms = "(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp) div 1000)"
+        events = self.events if rows is None else self.events.where(rows)
         if damaged:
             line, value = _damaged("STRING", "`user`", ms, "div")
-            lines = self.events.selectExpr("id", "branch", "client_ip", "action", f"{line} AS line")
+            lines = events.selectExpr("id", "branch", "client_ip", "action", f"{line} AS line")
             return self._built(lines.selectExpr(f"{value} AS value", "branch"))
         status = "action || '/' || CAST(status_code AS STRING)"
         text = _LINE.format(text="STRING", user="`user`", ms=ms, div="div", ip="client_ip", status=status)
-        return self._built(self.events.selectExpr(f"{text} AS value", "branch"))
+        return self._built(events.selectExpr(f"{text} AS value", "branch"))
 
     @staticmethod
     def _built(lines: DataFrame) -> DataFrame:

@@ -114,6 +114,8 @@ EXPORT_COLUMNS = (
     "blocked",
 )
 RECENT_EXPORT_ROWS = 100_000
+FEED_ROWS = 200
+FEED_WAIT_MS = 200
 
 # Detector thresholds.
 SESSION_GAP_MINUTES = 30

@@ -30,6 +30,10 @@ from trafficloom.operators.categorize import CategoryRules, categorize
 from trafficloom.operators.filters import in_branch, page
 
 
+# Carried minutes answer for windows that begin up to this long before the newest minute, less one minute.
+CARRIED_SECONDS = MAX_WINDOW_SPREAD_SECONDS + 120
+
+
 def as_anomalies(
     rows: DataFrame, kind: str, severity: str | Column, description: Column, params: dict[str, Column]
 ) -> DataFrame:
@@ -70,6 +74,24 @@ def window_bounds(window: DataFrame) -> DataFrame:
     )
 
 
+def carried_minutes(minutes: DataFrame) -> DataFrame:
+    """What of (branch, bucket_ts, total_requests) rows later windows may need: per branch the
+    minutes near its newest one, where windows may begin, and the last complete ones before those."""
+    newest = Window.partitionBy("branch")
+    latest = Window.partitionBy("branch").orderBy(F.col("near").asc(), F.col("bucket_ts").desc())
+    sums = minutes.groupBy("branch", "bucket_ts").agg(F.sum("total_requests").alias("total_requests"))
+    near = F.col("bucket_ts") >= shift(F.max("bucket_ts").over(newest), -CARRIED_SECONDS)
+    aged = sums.withColumn("near", near).withColumn("age", F.row_number().over(latest))
+    return aged.where(F.col("near") | (F.col("age") <= SPIKE_BASELINE_MINUTES)).drop("near", "age")
+
+
+def outside_carried(window: DataFrame, minutes: DataFrame) -> DataFrame:
+    """Branches whose window begins before what ``carried_minutes`` answers for."""
+    newest = minutes.groupBy("branch").agg(F.max("bucket_ts").alias("newest"))
+    late = F.col("window_start") < shift(F.col("newest"), 60 - CARRIED_SECONDS)
+    return window_bounds(window).join(newest, "branch").where(late).select("branch")
+
+
 def traffic_spike(window: DataFrame, minutes: DataFrame) -> DataFrame:
     """Window count above three times the mean of the last complete minutes before it."""
     bounds = window_bounds(window)
@@ -117,14 +139,33 @@ def unseen(candidates: DataFrame, history: DataFrame, keys: list[str], time: str
     return candidates.join(known, [*same, F.col("first_seen") < F.col("window_start")], "left_anti")
 
 
-def new_blocked_domains(window: DataFrame, history: DataFrame, time: str = "timestamp") -> DataFrame:
+# Rows, or a way to get those that may concern some candidates.
+History = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+# Candidates of a window up to this many are worked out once and kept as plain rows.
+SETTLED_ROWS = 10_000
+
+
+def _settled(candidates: DataFrame) -> DataFrame:
+    """The same rows, as a local relation when there are few: several later steps look at them."""
+    rows = candidates.limit(SETTLED_ROWS + 1).toArrow()
+    return candidates if rows.num_rows > SETTLED_ROWS else candidates.sparkSession.createDataFrame(rows, candidates.schema)
+
+
+def _about(history: History, candidates: DataFrame) -> DataFrame:
+    rows = history if isinstance(history, DataFrame) else history(candidates)
+    return rows.where(F.col("domain").isNotNull())
+
+
+def new_blocked_domains(window: DataFrame, history: History, time: str = "timestamp") -> DataFrame:
     """Domains blocked in the window that the branch never visited before, blocked or not.
 
-    ``history`` has ``branch``, ``domain`` and a time column (events or domain minutes).
+    ``history`` has ``branch``, ``domain`` and a time column (events, domain minutes or first visits).
     """
     blocked = window.where(F.col("blocked") & F.col("domain").isNotNull() & (F.col("domain") != ""))
-    candidates = blocked.select("branch", "domain").distinct().join(window_bounds(window), "branch")
-    fresh = unseen(candidates, history.where(F.col("domain").isNotNull()), ["branch", "domain"], time)
+    candidates = _settled(blocked.select("branch", "domain").distinct().join(window_bounds(window), "branch"))
+    fresh = unseen(candidates, _about(history, candidates), ["branch", "domain"], time)
     text = F.format_string("%s was blocked and had not been visited before", "domain")
     return as_anomalies(fresh, "new_blocked_domain", "medium", text, {"domain": F.col("domain")})
 
@@ -158,18 +199,18 @@ def client_blocked_ratio(window: DataFrame, period: str | None = None) -> DataFr
 
 
 def sensitive_visits(
-    window: DataFrame, history: DataFrame, settings: DataFrame, rules: CategoryRules, time: str = "timestamp"
+    window: DataFrame, history: History, settings: DataFrame, rules: CategoryRules, time: str = "timestamp"
 ) -> DataFrame:
     """First visit of a client to a domain in one of its branch's sensitive categories."""
     pairs = window.where(F.col("domain").isNotNull() & (F.col("domain") != "")).select("branch", "client_ip", "domain").distinct()
     sensitive = settings.where(F.size("sensitive_categories") > 0).select("branch", "sensitive_categories")
-    candidates = (
+    candidates = _settled(
         categorize(pairs.join(broadcast_if_small(sensitive), "branch"), rules, spread_by=["branch", "client_ip"])
         .where(F.array_contains("sensitive_categories", F.col("category")))
         .join(window_bounds(window), "branch")
     )
     keys = ["branch", "client_ip", "domain"]
-    fresh = unseen(candidates, history.where(F.col("domain").isNotNull()), keys, time)
+    fresh = unseen(candidates, _about(history, candidates), keys, time)
     text = F.format_string("%s opened %s (%s) and had not done so before", "client_ip", "domain", "category")
     params = {"clientIp": F.col("client_ip"), "domain": F.col("domain"), "category": F.col("category")}
     return as_anomalies(fresh, "sensitive_category_visit", "medium", text, params)
@@ -179,14 +220,15 @@ def sensitive_visits(
 class DetectionInput:
     """What a detector set may look at. History frames exclude the current batch.
 
-    ``domain_history`` holds domain minutes, ``visit_history`` first visits of
-    clients to domains: both are far smaller than the events.
+    ``minutes`` holds at least the minutes that may count for the window.
+    ``domain_history`` has the first visits of branches to domains,
+    ``visit_history`` those of clients.
     """
 
     window: DataFrame
     minutes: DataFrame
-    domain_history: DataFrame
-    visit_history: DataFrame
+    domain_history: History
+    visit_history: History
     settings: DataFrame
     rules: CategoryRules
 
@@ -198,7 +240,7 @@ def detect_none(data: DetectionInput) -> DataFrame:
 def detect_statistical(data: DetectionInput) -> DataFrame:
     found = [
         traffic_spike(data.window, data.minutes),
-        new_blocked_domains(data.window, data.domain_history, "bucket_ts"),
+        new_blocked_domains(data.window, data.domain_history, "first_seen"),
         client_blocked_ratio(data.window),
         sensitive_visits(data.window, data.visit_history, data.settings, data.rules, "first_seen"),
     ]

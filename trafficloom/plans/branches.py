@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.plans.archive import RUNS, merge_watermarks
-from trafficloom.plans.files import partitions
-from trafficloom.plans.store import LogStore
-from trafficloom.schema import ALL_ROLLUPS, RAW_EVENTS
+from trafficloom.plans.store import CARRIED, CLIENT_SETS, LogStore
+from trafficloom.schema import ALL_ROLLUPS, CLIENT_HOURLY, CLIENT_MINUTE, RAW_EVENTS
 
 
 def relabelled(rows: DataFrame, source: str, target: str) -> DataFrame:
@@ -50,17 +47,6 @@ def relabel_plan(rows: DataFrame, name: str, keys: list[str] | None, source: str
     )
 
 
-def _dates(store: LogStore, name: str, branch: str) -> list[dt.date]:
-    """The dates a table has rows of a branch for: by folder where there is one per branch, else by a narrow scan."""
-    if name == RAW_EVENTS:
-        found = partitions(store.spark, store.path(name), "event_date", "branch")
-        found += partitions(store.spark, store.path(f"{name}__compact"), "event_date", "branch")
-        return sorted({dt.date.fromisoformat(p["event_date"]) for p in found if p["branch"] == branch})
-    spec = next(s for s in ALL_ROLLUPS if s.name == name)
-    rows = store.rollup(spec, merge=False).where(F.col("branch") == branch)
-    return sorted(r["event_date"] for r in rows.select("event_date").distinct().collect())
-
-
 def _settings_moved(rows: DataFrame, source: str, target: str) -> DataFrame:
     """Settings of the source branch go to the target, unless that has its own."""
     kept = rows.where(F.col("branch") == target)
@@ -79,7 +65,7 @@ STATES = (("archive_runs", RUNS, merge_watermarks), ("alert_settings", SETTINGS,
 
 def relabel_branch(store: LogStore, source: str, target: str, dry_run: bool = True) -> DataFrame:
     """Rename a branch in every stored table, in stored settings, watermarks and anomalies; a
-    table with key conflicts is left as it is. Only dates with rows of the branch are rewritten.
+    table with key conflicts is left as it is. Stored events and roll-ups are not written again.
 
     Returns (table_name, moving, conflicts) per table, also for a dry run.
     """
@@ -92,9 +78,10 @@ def relabel_branch(store: LogStore, source: str, target: str, dry_run: bool = Tr
         report = report.unionByName(plan)
     found = report.collect()  # One row per table.
     if not dry_run:
-        for row in found:
-            if row.moving and not row.conflicts:
-                store.compact(row.table_name, _dates(store, row.table_name, source), lambda rows: relabelled(rows, source, target))
+        free = [row.table_name for row in found if row.moving and not row.conflicts]
+        if free:
+            sets = [CLIENT_SETS] if {CLIENT_MINUTE.name, CLIENT_HOURLY.name}.intersection(free) else []
+            store.rename_branch([*free, *CARRIED, *sets], source, target)
         store.relabel_anomalies(source, target)
         for name, columns, merge in STATES:
             rows = store.state(name, columns)

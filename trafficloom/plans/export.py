@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from trafficloom.fixed_values import EXPORT_COLUMNS, RECENT_EXPORT_ROWS
 from trafficloom.functions.text import escape_formula
 from trafficloom.operators.categorize import CategoryRules
-from trafficloom.operators.events import events_in_category
+from trafficloom.operators.events import events_in_category, newest
 from trafficloom.operators.filters import select_events
 
 # Columns whose text comes from the network.
@@ -50,9 +50,8 @@ def export_rows(
 def recent_rows(
     events: DataFrame, since: dt.datetime, until: dt.datetime, limit: int = RECENT_EXPORT_ROWS, **conditions
 ) -> DataFrame:
-    """The newest rows of a range, for an attachment of bounded size."""
-    rows = select_events(events, since, until, **conditions)
-    return rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit)
+    """The newest rows of a range, for an attachment of bounded size. The writers order them."""
+    return newest(select_events(events, since, until, **conditions), limit)
 
 
 def csv_frame(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:

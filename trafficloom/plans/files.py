@@ -45,6 +45,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.createDataFrame([], schema)
 
 
-def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
+def overwrite_partitions(df: DataFrame, path: str, *columns: str, **options: str) -> None:
     """Replace exactly the partitions ``df`` has rows for: writing the same rows again changes nothing."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options)
+    writer.partitionBy(*columns).parquet(path)

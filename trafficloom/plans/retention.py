@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from trafficloom.fixed_values import HOURLY_AFTER_HOURS, RAW_RETENTION_DAYS, ROLLUP_RETENTION_DAYS
 from trafficloom.functions.timeparts import ntz
-from trafficloom.plans.store import MONITOR_ANOMALIES, LogStore
-from trafficloom.schema import ALL_ROLLUPS, ANOMALIES, CLIENT_DOMAIN_SEEN, CLIENT_MINUTE, RAW_EVENTS
+from trafficloom.plans.store import CLIENT_SETS, MONITOR_ANOMALIES, LogStore
+from trafficloom.schema import ALL_ROLLUPS, ANOMALIES, CLIENT_DOMAIN_SEEN, CLIENT_MINUTE, DOMAIN_SEEN, RAW_EVENTS
 
 
 def unarchived_branches(branches: DataFrame, archive_runs: DataFrame, cutoff: dt.datetime) -> DataFrame:
@@ -27,7 +27,7 @@ def _purge(store: LogStore, name: str, cutoff: dt.datetime, column: str) -> list
     """Drop whole dates, then rewrite the one date the cutoff falls into."""
     dropped = store.drop_dates(name, cutoff.date())
     if cutoff.time() != dt.time() and cutoff.date() in store.dates(name):
-        store.compact(name, [cutoff.date()], lambda rows: kept(rows, cutoff, column))
+        store.fold(name, [cutoff.date()], lambda rows: kept(rows, cutoff, column))
     return dropped
 
 
@@ -57,8 +57,13 @@ def run_retention(
         elif spec is CLIENT_DOMAIN_SEEN:
             # Visits are remembered as long as the events themselves.
             store.drop_dates(spec.name, raw_cutoff.date())
+        elif spec is DOMAIN_SEEN:
+            store.drop_dates(spec.name, rollup_cutoff.date())
         else:
             _purge(store, spec.name, rollup_cutoff, "bucket_ts")
     for name in (ANOMALIES, MONITOR_ANOMALIES):
         store.drop_batches(name, "generated_at", rollup_cutoff)
+    store.drop_dates(CLIENT_SETS, rollup_cutoff.date())
+    # Rejected lines have no time of their own; the numbers of lines are running totals and stay.
+    store.drop_batches("rejects", "received", raw_cutoff)
     return warning

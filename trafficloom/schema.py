@@ -96,12 +96,15 @@ CLIENT_CATEGORY_MINUTE = RollupSpec(
     ("request_count", "total_bytes"),
 )
 
-# Which client opened which domain, and when first: one row per batch and pair.
+# Which client opened which domain, and when first; and the same for anyone of a branch.
 CLIENT_DOMAIN_SEEN = RollupSpec(
     "client_domain_seen", ("client_ip", "branch", "domain"), ("first_seen",), merge="min", time="first_seen"
 )
+DOMAIN_SEEN = RollupSpec("domain_seen", ("branch", "domain"), ("first_seen",), merge="min", time="first_seen")
 
 RAW_EVENTS = "raw_events"
 ANOMALIES = "anomalies"
-FLUSHED_ROLLUPS = (MINUTE_TOTALS, DOMAIN_MINUTE, CLIENT_MINUTE, CLIENT_CATEGORY_MINUTE, CLIENT_DOMAIN_SEEN)
+FLUSHED_ROLLUPS = (MINUTE_TOTALS, DOMAIN_MINUTE, CLIENT_MINUTE, CLIENT_CATEGORY_MINUTE, CLIENT_DOMAIN_SEEN, DOMAIN_SEEN)
 ALL_ROLLUPS = (*FLUSHED_ROLLUPS, CLIENT_HOURLY)
+# Kept in buckets, and merged by number of batch.
+SEEN_ROLLUPS = (CLIENT_DOMAIN_SEEN, DOMAIN_SEEN)

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Lists of names up to this long are tested against Parquet's statistics and Bloom filters.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trafficloom.fixed_values import FEED_ROWS, FEED_WAIT_MS
 from trafficloom.operators.events import event_detail
 from trafficloom.operators.filters import in_branch
 from trafficloom.operators.parse import parse_access_log
@@ -28,6 +35,77 @@ def start_feed(lines: DataFrame, path: str, checkpoint: str, branch: str | None
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+_WAITING = "number bigint, deadline bigint, rows binary"
+
+
+def _as_bytes(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_all().to_pandas()
+
+
+def _batcher(max_rows: int, max_wait_ms: int) -> Callable:
+    def step(key: tuple, arrived: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Closes batches that are full or have waited; the rest waits in the state, fewer than ``max_rows`` rows."""
+        number, deadline, raw = state.get if state.exists else (0, 0, b"")
+        waiting = _from_bytes(raw) if raw else None
+
+        def closed(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal number
+            number += 1
+            return rows.assign(batch=number, position=range(1, len(rows) + 1), n=len(rows))
+
+        now = int(time.time() * 1000)
+        if waiting is not None and (state.hasTimedOut or now >= deadline):
+            yield closed(waiting)
+            waiting = None
+        if not state.hasTimedOut:
+            for rows in arrived:
+                if not len(rows):
+                    continue
+                if waiting is None:
+                    deadline = now + max_wait_ms
+                rows = rows if waiting is None else pd.concat([waiting, rows], ignore_index=True)
+                whole = len(rows) // max_rows * max_rows
+                for first in range(0, whole, max_rows):
+                    yield closed(rows.iloc[first : first + max_rows])
+                    deadline = now + max_wait_ms
+                waiting = rows.iloc[whole:] if whole < len(rows) else None
+        state.update((number, deadline, b"" if waiting is None else _as_bytes(waiting)))
+        if waiting is not None:
+            state.setTimeoutDuration(max(1, deadline - now))
+
+    return step
+
+
+def feed_batches(events: DataFrame, max_rows: int = FEED_ROWS, max_wait_ms: int = FEED_WAIT_MS, lanes: int = 1) -> DataFrame:
+    """Events of a stream in batches per branch: (lane, batch, position, n) and the columns of a listing.
+
+    A batch is closed when it has ``max_rows`` events or ``max_wait_ms`` after
+    its first one came, whichever is earlier; between micro-batches the open
+    one is kept as state, and a timer closes it when nothing else arrives.
+    ``lanes`` deals the events of a busy branch over several tasks, each with
+    batches of its own.
+    """
+    rows = event_detail(events).withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int"))
+    rows = rows.withColumn("key_branch", F.col("branch")).withColumn("key_lane", F.col("lane"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.groupBy("key_branch", "key_lane").applyInPandasWithState(
+        _batcher(max_rows, max_wait_ms),
+        f"{fields}, batch bigint, position int, n int",
+        _WAITING,
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
+    return out.drop("key_branch", "key_lane")
+
+
 def watermarked_minutes(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Minute totals of an event stream for append sinks.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import logging
 from collections.abc import Callable
 
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trafficloom import schema
-from trafficloom.operators.anomalies import DetectionInput, detector
+from trafficloom.operators.anomalies import DetectionInput, carried_minutes, detector, outside_carried
 from trafficloom.operators.categorize import CategoryRules
 from trafficloom.operators.parse import parse_lines
-from trafficloom.plans.store import LogStore
-from trafficloom.schema import ANOMALIES, CLIENT_DOMAIN_SEEN, DOMAIN_MINUTE, MINUTE_TOTALS
+from trafficloom.plans.store import MAIN, LogStore
+from trafficloom.schema import ANOMALIES, CLIENT_DOMAIN_SEEN, DOMAIN_SEEN, MINUTE_TOTALS
 
 log = logging.getLogger(__name__)
 
@@ -24,11 +25,13 @@ log = logging.getLogger(__name__)
 class Ingest:
     """Writes each micro-batch of lines to a store.
 
-    All tables of a batch are keyed by the batch id, and the batch counts only
-    once its marker is written. A batch that fails half-way is repeated without
-    doubling anything; one that is committed is not written again. Each
-    checkpoint is an ingest of its own, whose batches begin after all that are
-    stored; a batch of an id that another ingest has committed is refused.
+    All tables of a batch are keyed by the ingest and the batch id, and the
+    batch counts only once its marker is written. A batch that fails half-way
+    is repeated without doubling anything; one that is committed is not written
+    again. Any number of ingests may write to one store at the same time.
+    Started on a checkpoint, an ingest is known by the id that Spark keeps
+    there, so that a new checkpoint, whose batches begin at 0, is a new ingest;
+    a name given for ``ingest`` must stay with one checkpoint.
     """
 
     def __init__(
@@ -37,63 +40,81 @@ class Ingest:
         rules: CategoryRules | None = None,
         settings: DataFrame | None = None,
         detector_name: str = "noop",
-        first_batch: int | None = None,
-        ingest: str = "",
+        ingest: str | None = None,
     ) -> None:
         self.store = store
         self.rules = rules or CategoryRules()
         self.settings = settings
+        self.detects = detector_name != "noop"
         self.detect = detector(detector_name)
         self.ingest = ingest
-        # Ids restart at 0 with a new checkpoint; this keeps them growing.
-        self.first_batch = first_batch
-
-    def flush(self, lines: DataFrame, batch_id: int) -> None:
-        """Parse once, store events, rejects and roll-ups, commit, then look for anomalies."""
-        first = self.first_batch or 0
-        batch = first + batch_id
-        if batch <= self.store.last_commit():
-            writer = self.store.writer_of(batch)
-            if writer == self.ingest:
-                return
-            raise ValueError(f"batch {batch} is at or below the last batch stored, and not of this ingest")
+
+    def flush(self, lines: DataFrame, batch_id: int, ingest: str | None = None) -> None:
+        """Parse once, store events, rejects, roll-ups and running values, look for anomalies, commit."""
+        ingest = self.ingest or ingest or MAIN
+        mark = self.store.mark(ingest)
+        if batch_id <= mark:
+            return
         parsed = parse_lines(lines).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = F.col("reject_reason").isNull()
-            self.store.write_events(batch, parsed.where(good).select(*schema.EVENT.names))
+            self.store.write_events(batch_id, parsed.where(good).select(*schema.EVENT.names), ingest)
             # A batch has a few dates.
             days = parsed.where(good).select(F.to_date("timestamp").alias("d")).distinct().collect()
-            self.store.write_rows("rejects", batch, parsed.where(~good).select("branch", "reject_reason", "line"))
+            received = F.current_timestamp().cast("timestamp_ntz").alias("received")
+            rejects = parsed.where(~good).select("branch", "reject_reason", "line", received)
+            self.store.write_rows("rejects", batch_id, rejects, ingest)
             quality = parsed.groupBy("branch").agg(
                 F.count(F.lit(1)).alias("lines_seen"), F.count_if(good).alias("lines_parsed")
             )
-            self.store.write_rows("quality", batch, quality)
+            before = self.store.carried("quality", ingest, mark).select(*quality.columns)
+            sums = [F.sum(c).alias(c) for c in ("lines_seen", "lines_parsed")]
+            self.store.write_rows("quality", batch_id, quality.unionByName(before).groupBy("branch").agg(*sums), ingest)
         finally:
             parsed.unpersist()
         # From here on the stored rows are the input: narrow columnar scans that
         # do not depend on cached blocks of executors that may be gone.
         dates = sorted(r["d"] for r in days)
-        self.store.write_rollups(batch, self.rules, dates)
-        self.store.commit(batch, self.ingest, first)
-        self._detect(batch, dates)
+        self.store.write_rollups(batch_id, self.rules, ingest, dates)
+        columns = ["branch", "bucket_ts", "total_requests"]
+        minutes = self.store.batch_rollup(batch_id, MINUTE_TOTALS, ingest, dates).select(*columns)
+        known = self.store.carried("baseline", ingest, mark).select(*columns)
+        self.store.write_rows("baseline", batch_id, carried_minutes(minutes.unionByName(known)), ingest)
+        self._detect(batch_id, ingest, dates)
+        self.store.merge_seen(batch_id, ingest)
+        self.store.commit(batch_id, ingest)
 
-    def _detect(self, batch: int, dates: list[dt.date]) -> None:
+    def _detect(self, batch_id: int, ingest: str, dates: list[dt.date]) -> None:
         """Detectors never break the flush: a failure is logged and the window skipped."""
         try:
-            before = batch - 1
+            window = self.store.batch_events(batch_id, ingest, dates)
             found = self.detect(
                 DetectionInput(
-                    window=self.store.batch_events(batch, dates),
-                    minutes=self.store.rollup(MINUTE_TOTALS, before),
-                    domain_history=self.store.rollup(DOMAIN_MINUTE, before, merge=False),
-                    visit_history=self.store.rollup(CLIENT_DOMAIN_SEEN, before, merge=False),
+                    window=window,
+                    minutes=self._minutes(window) if self.detects else self.store.carried("baseline"),
+                    domain_history=lambda some: self.store.first_visits(DOMAIN_SEEN, some),
+                    visit_history=lambda some: self.store.first_visits(CLIENT_DOMAIN_SEEN, some),
                     settings=self._settings(),
                     rules=self.rules,
                 )
             )
-            self.store.write_rows(ANOMALIES, batch, found)
+            self.store.write_rows(ANOMALIES, batch_id, found, ingest)
         except Exception:
-            log.exception("anomaly detection failed for batch %d", batch)
+            log.exception("anomaly detection failed for batch %d", batch_id)
+
+    def _minutes(self, window: DataFrame) -> DataFrame:
+        """The carried minutes of all ingests; stored minute totals are scanned only for branches
+        whose window is older than what is carried, as when old files arrive late."""
+        carried = self.store.carried("baseline").groupBy("branch", "bucket_ts").agg(F.sum("total_requests").alias("total_requests"))
+        late = outside_carried(window, carried)
+        branches = [r["branch"] for r in late.limit(1_001).collect()]
+        if not branches:
+            return carried
+        stored = self.store.rollup(MINUTE_TOTALS).select(*carried.columns)
+        if len(branches) > 1_000:
+            return stored
+        old = F.col("branch").isin(branches)
+        return carried.where(~old).unionByName(stored.where(old))
 
     def _settings(self) -> DataFrame:
         if self.settings is not None:
@@ -104,15 +125,18 @@ class Ingest:
         self, lines: DataFrame, checkpoint: str, every: str = "60 seconds", available_now: bool = False
     ) -> StreamingQuery:
         """Run over a stream of lines. ``available_now`` stops after what is there."""
-        self.ingest = self.ingest or checkpoint.rstrip("/")
-        if self.first_batch is None:
-            self.first_batch = self.store.first_batch_of(self.ingest)
-        writer = lines.writeStream.foreachBatch(self._flush_hook()).option("checkpointLocation", checkpoint)
+        writer = lines.writeStream.foreachBatch(self._flush_hook(checkpoint)).option("checkpointLocation", checkpoint)
         trigger = {"availableNow": True} if available_now else {"processingTime": every}
         return writer.trigger(**trigger).start()
 
-    def _flush_hook(self) -> Callable[[DataFrame, int], None]:
+    def _flush_hook(self, checkpoint: str) -> Callable[[DataFrame, int], None]:
+        known: list[str] = []
+
         def hook(lines: DataFrame, batch_id: int) -> None:
-            self.flush(lines, batch_id)
+            if not known:
+                # One line that Spark writes before the first batch.
+                about = self.store.spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()
+                known.append(json.loads(about["value"])["id"])
+            self.flush(lines, batch_id, known[0])
 
         return hook
