@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.fixtures import EARLY, EARLY_END, LAST_HOUR, NOON, SINCE, UNTIL, Data, with_sql
 from trafficloom import fixed_values as fv
-from trafficloom.functions.timeparts import TimeRange, ntz
+from trafficloom.functions.timeparts import TimeRange, ntz, resolve_range
 from trafficloom.operators import (
     anomalies,
     categorize,
@@ -34,7 +34,7 @@ from trafficloom.plans.store import LogStore
 from trafficloom.schema import CLIENT_DOMAIN_SEEN, CLIENT_HOURLY, CLIENT_MINUTE, DOMAIN_MINUTE, MINUTE_TOTALS
 from trafficloom.session import scratch_dir
 from trafficloom.sources import dimensions
-from trafficloom.sources.access_log import stream_lines
+from trafficloom.sources.access_log import read_lines, stream_lines
 from trafficloom.streaming import feed, progress
 from trafficloom.streaming.ingest import Ingest
 
@@ -1434,6 +1434,133 @@ def _(d: Data) -> DataFrame:
     return per_batch.groupBy("branch", "n").agg(F.count(F.lit(1)).alias("batches"), F.bool_and(whole).alias("in_order"))
 
 
+@query("export_json_files", with_sql("SELECT id, branch, url, domain, bytes, blocked FROM access_events"))
+def _(d: Data) -> DataFrame:
+    """A JSON export written and read back; values are untouched."""
+    path = scratch_dir(d.spark, "export-json")
+    export.write_json(d.events, path, ["id", "branch", "url", "domain", "bytes", "blocked"])
+    return d.spark.read.schema("id bigint, branch string, url string, domain string, bytes bigint, blocked boolean").json(path)
+
+
+@query("export_manifest", with_sql("SELECT count(*) AS row_count, true AS all_sized, true AS all_hashed FROM access_events"))
+def _(d: Data) -> DataFrame:
+    """Rows as counted while writing, and every part with its size and checksum."""
+    path = scratch_dir(d.spark, "export-manifest")
+    written = export.write_csv_with_manifest(d.events, path, ["id", "domain"])
+    parts = export.manifest(d.spark, path)
+    sums = [F.sum("size_bytes").alias("total"), F.count(F.lit(1)).alias("n")]
+    sizes = parts.agg(*sums, F.bool_and(F.length("checksum_sha256") == 64).alias("hashed")).first()
+    same = (F.col("size_bytes") == sizes["total"]) & (F.col("part_count") == sizes["n"])
+    return written.select("row_count", same.alias("all_sized"), F.lit(sizes["hashed"]).alias("all_hashed"))
+
+
+@query("override_round_trip", f"WITH {fx.HOST_SQL} {fx.PAGE_OVERRIDES_SQL}")
+def _(d: Data) -> DataFrame:
+    """Overrides written as CSV and read again by the import."""
+    path = scratch_dir(d.spark, "overrides-out")
+    export.write_overrides(d.page_rules.overrides, path)
+    return dimensions.load_overrides(d.spark, path)[0]
+
+
+@query("blocklist_files", f"WITH {fx.HOST_SQL} SELECT domain, label, CAST(priority AS INTEGER) AS priority FROM ({fx.PAGE_BLOCKLIST_SQL}) b")
+def _(d: Data) -> DataFrame:
+    """A blocklist in folders of categories, with repeats, blank lines and a folder that no label has."""
+    root = scratch_dir(d.spark, "blocklist")
+    folders = {label: folder for folder, label in reversed(fv.BLOCKLIST_FOLDERS)}
+    rows = d.page_rules.blocklist
+    for label, folder in folders.items():
+        own = rows.where(F.col("label") == label).select("domain")
+        own.unionAll(own).unionAll(own.select(F.lit(" ").alias("domain"))).write.text(f"{root}/{folder}/domains")
+    rows.select("domain").write.text(f"{root}/no-such-folder/domains")
+    return dimensions.load_blocklist(d.spark, root)
+
+
+@query(
+    "log_file_lines",
+    with_sql("""SELECT branch, coalesce(domain, '') || chr(13) || CAST(id AS VARCHAR) AS value FROM access_events"""),
+)
+def _(d: Data) -> DataFrame:
+    """Lines with a bare carriage return inside, which ends none; files older than a start are skipped."""
+    root = scratch_dir(d.spark, "lines")
+    lines = d.events.select(F.concat(F.coalesce("domain", F.lit("")), F.lit("\r"), F.col("id").cast("string")).alias("value"), "branch")
+    lines.write.partitionBy("branch").text(f"{root}/logs")
+    found = read_lines(d.spark, f"{root}/logs", dt.datetime(2000, 1, 1))
+    none = read_lines(d.spark, f"{root}/logs", dt.datetime(2200, 1, 1))
+    return found.unionByName(none).select("branch", "value")
+
+
+@query(
+    "parse_odd_fields",
+    with_sql(
+        f"""SELECT CASE WHEN bytes % 3 = 0 THEN 0 ELSE bytes END AS bytes, left(coalesce("user", '-') || repeat('u', 300), 255) AS "user",
+          count(*) AS n FROM access_events GROUP BY 1, 2"""
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """Numbers that are none count as 0, and long fields are cut at their widths."""
+    fields = F.transform(
+        F.split("value", " +"),
+        lambda t, i: F.when((i == 4) & (t.cast("long") % 3 == 0), F.concat(t, F.lit("x")))
+        .when(i == 7, F.concat(t, F.lit("u" * 300)))
+        .otherwise(t),
+    )
+    lines = d.lines().select(F.array_join(fields, " ").alias("value"), "branch")
+    good, _rejects = parse.parse_access_log(lines)
+    return good.groupBy("bytes", "user").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "range_presets",
+    with_sql(
+        """SELECT '1h' AS preset, count(*) AS n FROM access_events WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-01 23:00:00' AND TIMESTAMP '2024-01-02'
+        UNION ALL SELECT '24h', count(*) FROM access_events WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-02'
+        UNION ALL SELECT 'custom', count(*) FROM access_events
+          WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 12:30:00'"""
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """Events of preset ranges that end now, and of a range given with another time zone."""
+    berlin = dt.timezone(dt.timedelta(hours=1))
+    ranges = {
+        "1h": resolve_range("1h", now=UNTIL),
+        "24h": resolve_range(now=UNTIL),
+        "custom": resolve_range(from_ts=dt.datetime(2024, 1, 1, 11, tzinfo=berlin), to_ts=dt.datetime(2024, 1, 1, 12, 30)),
+    }
+    counts = [
+        filters.total_of(filters.in_time_range(d.events, r.since, r.until)).select(F.lit(name).alias("preset"), F.col("total").alias("n"))
+        for name, r in ranges.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("archive_pruned", with_sql("SELECT id, '2024-01-02' AS run_date FROM access_events WHERE branch = 'branch-b'"))
+def _(d: Data) -> DataFrame:
+    """Two archive runs weeks apart, the older one pruned."""
+    path = scratch_dir(d.spark, "archive-pruned")
+    runs = d.spark.createDataFrame([("branch-a", SINCE), ("branch-b", SINCE)], "branch string, archived_until timestamp_ntz")
+    for branch, now in (("branch-a", SINCE - dt.timedelta(days=20)), ("branch-b", UNTIL)):
+        one = d.spark.createDataFrame([(branch,)], "branch string")
+        archive.run_archive(d.events.withColumn("timestamp", F.least("timestamp", ntz(now))), one, runs, now, path)
+    archive.prune_archives(d.spark, path, 14, UNTIL)
+    files = d.spark.read.option("header", True).option("escape", '"').csv(path)
+    return files.select(F.col("id").cast("long").alias("id"), F.col("run_date").cast("string").alias("run_date"))
+
+
+@query(
+    "period_report",
+    with_sql(
+        """SELECT category, CAST(sum(request_count) AS BIGINT) AS request_count, CAST(sum(blocked_count) AS BIGINT) AS blocked_count,
+          CAST(sum(total_bytes) AS BIGINT) AS total_bytes FROM domain_minute JOIN categories USING (domain) WHERE branch = 'branch-b' GROUP BY 1""",
+        fx.CATEGORIES_SQL,
+    ),
+)
+def _(d: Data) -> DataFrame:
+    """The categories of one branch's daily report, over the window that is due."""
+    since, until = report.report_window("daily", UNTIL)
+    parts = report.period_report(d.minutes, d.domain_minutes, d.client_minutes, None, d.alerts, d.rules, since, until, "branch-b")
+    return parts["by_category"].select("category", "request_count", "blocked_count", "total_bytes")
+
+
 @query("store_retention", with_sql("SELECT * FROM domain_minute WHERE bucket_ts >= TIMESTAMP '2024-01-01 12:00:00'"))
 def _(d: Data) -> DataFrame:
     """Domain minutes stored, aged out up to noon by the retention job, read back."""

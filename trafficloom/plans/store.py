@@ -18,6 +18,7 @@ import datetime as dt
 import re
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,7 @@ MONITOR_ANOMALIES = "monitor_anomalies"
 # Seconds that the sums of a roll-up span.
 MINUTE, HOUR, DAY = 60, 3_600, 86_400
 BLOCK = 16 * DAY
+DELETES_AT_ONCE = 16
 # First visits are merged over so many batches, then over as many of those, and so on.
 SEEN_FANOUT = 16
 SEEN_LEVELS = 4
@@ -672,7 +674,7 @@ class LogStore:
 
         To be run when no query that started before the last fold is active.
         """
-        marks, removed = self.marks(), 0
+        marks = self.marks()
         state = [tuple(r) for r in self.state("_folds", FOLDS).collect()]
         upto = {(name, str(d), ingest): n for name, d, ingest, n in state}
 
@@ -688,21 +690,20 @@ class LogStore:
             for level in range(SEEN_LEVELS - 1):
                 name, width = seen_table(spec.name, level), SEEN_FANOUT ** (level + 1)
                 for p in partitions(self.spark, self.path(name), *self._layout(name)):
-                    merged = (int(p["batch_id"]) // width + 1) * width - 1
-                    if p["ingest"] != FOLDED and merged <= marks.get(p["ingest"], -1):
+                    if (int(p["batch_id"]) // width + 1) * width - 1 <= marks.get(p["ingest"], -1):
                         paths.append(p["path"])
         for name in ("_commits", *CARRIED):
             for p in partitions(self.spark, self.path(name), "ingest", "batch_id"):
                 if int(p["batch_id"]) < marks.get(p["ingest"], -1):
                     paths.append(p["path"])
-        for path in paths:
-            delete(self.spark, path)
-            removed += 1
+        # Batch by batch: an ingest may be writing beside them, in any folder above.
+        with ThreadPoolExecutor(DELETES_AT_ONCE) as pool:
+            list(pool.map(lambda path: delete(self.spark, path), paths))
         # No folder is left that the other rows would hide; those of the sets tell what the sets hold.
         kept = [r for r in state if r[2] == FOLDED or r[0] == CLIENT_SETS]
         if len(kept) < len(state):
             self.save_state("_folds", self.spark.createDataFrame(kept, FOLDS))
-        return removed
+        return len(paths)
 
 
 def _longer(rows: DataFrame, spec: RollupSpec, seconds: int) -> DataFrame:

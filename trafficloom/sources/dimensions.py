@@ -29,7 +29,7 @@ def label_priority() -> list[tuple[str, int]]:
 
 
 def load_blocklist(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/<folder>/domains`` files as (domain, label, priority), without repeats.
+    """``<root>/<folder>/domains`` as (domain, label, priority), without repeats; each a file or a folder of files.
 
     Folders that are missing or not mapped to a label are left out.
     """
@@ -41,7 +41,7 @@ def load_blocklist(spark: SparkSession, root: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(f"{root.rstrip('/')}/*/domains")
     named = lines.select(
         strip(F.col("value")).alias("domain"),
-        F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/domains$", 1).alias("folder"),
+        F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/domains(/[^/]*)?$", 1).alias("folder"),
     ).where(F.col("domain") != "")
     return named.join(F.broadcast(folders), "folder").select("domain", "label", "priority").distinct()
 
@@ -86,7 +86,8 @@ def load_overrides(spark: SparkSession, path: str, max_rows: int | None = None)
     missing = {"domain", "category"} - set(rows.columns)
     if missing:
         raise ValueError(f"override file lacks the columns {', '.join(sorted(missing))}")
-    # Within a split ids grow in file order; the splits of a file are in the order of their first byte.
+    # Within a split ids grow in file order; the splits of a file are in the order of their first
+    # byte. Each split is numbered by itself and begins where those before it end.
     placed = rows.select(
         "domain",
         "category",
@@ -94,8 +95,13 @@ def load_overrides(spark: SparkSession, path: str, max_rows: int | None = None)
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__place"),
     )
-    order = Window.partitionBy("file").orderBy("__start", "__place")
-    numbered = placed.withColumn("row_number", F.row_number().over(order).cast("long"))
+    before = Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split.
+    splits = placed.groupBy("file", "__start").agg(F.count(F.lit(1)).alias("n"))
+    splits = splits.select("file", "__start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("file", "__start").orderBy("__place"))
+    numbered = placed.withColumn("__row", place).join(F.broadcast(splits), ["file", "__start"])
+    numbered = numbered.withColumn("row_number", F.col("__first") + F.col("__row"))
     return validate_overrides(numbered, max_rows=max_rows)
 
 
