@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trafficloom.functions.skew import broadcast_if_small
 from trafficloom.llm.tables import written
 from trafficloom.llm.words import buffers, mix, slices, split_words
 
@@ -428,6 +429,22 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(SCALE).cast("decimal(7,0)") * (long(a) * long(a)).cast("decimal(31,0)"), long(left) * long(right))
 
 
+def _leading(found: DataFrame, top: int) -> DataFrame:
+    """The phrases of each language from the best down to the score and count that its ``top``-th has.
+
+    Phrases of equal score and count are counted first: every such group has
+    one at least, so the first ``top`` groups of a language are enough to find
+    the last one needed, and no task sees more of a language than these.
+    """
+    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
+    groups = found.groupBy("lang", "score", "a").agg(F.count(F.lit(1)).alias("size"))
+    groups = groups.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    before = F.coalesce(F.sum("size").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = groups.withColumn("before", before).where(F.col("before") < top)
+    last = written(needed.groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last")), "last-places")
+    return found.join(broadcast_if_small(last), "lang").where(F.struct("score", "a") >= F.col("last")).drop("last")
+
+
 def mine_phrases(
     docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP_PHRASES, nested_percent: int = NESTED_PERCENT
 ) -> DataFrame:
@@ -468,16 +485,15 @@ def mine_phrases(
         F.when(early <= late, F.col("f23")).otherwise(F.col("f3")).alias("r"),
         F.least(early, late).alias("score"),
     )
-    found = two.unionByName(three)
     # Those that may be among the first, ties and all; only they need their spelling.
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    found = written(found.withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place"), "best-phrases")
+    found = written(two.unionByName(three), "scored-phrases")
+    found = written(_leading(found, top), "best-phrases")
     for k in (1, 2, 3):
         spelt = often.select("lang", F.col("id").alias(f"w{k}"), F.col("word").alias(f"s{k}"))
         found = found.join(spelt, ["lang", f"w{k}"], "left")
     found = found.withColumn("phrase", F.concat_ws(" ", "s1", "s2", "s3"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     found = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return found.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang").select(
+    return found.join(broadcast_if_small(sizes), "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )
