@@ -298,6 +298,19 @@ def test_first_visits_are_read_from_few_files(store, make_events):
     assert store.first_visits(DOMAIN_SEEN, other).count() == 0
 
 
+def test_first_visits_survive_skipped_numbers(store, make_events):
+    mark = -1
+    for n in (3, 5, 40, 41, 300):
+        events = make_events([{"timestamp": at(n), "domain": f"d{n}.example", "branch": "a"}])
+        store.write_partials(n, DOMAIN_SEEN, domain_seen(events))
+        store.merge_skipped(mark, n)
+        store.merge_seen(n)
+        store.commit(n)
+        mark = n
+        store.vacuum()
+    assert sorted(r.domain for r in store.first_visits(DOMAIN_SEEN).collect()) == sorted(f"d{n}.example" for n in (3, 5, 40, 41, 300))
+
+
 def _opened(frame):
     """Number of files that a frame's scans read, after partition pruning."""
     frame.collect()
@@ -357,6 +370,21 @@ def test_stream_equals_batch_and_resumes(spark, store, tmp_path):
     assert sum(s.input_rows for s in signals) >= 9
 
 
+def test_streams_may_run_at_the_same_time(spark, store, tmp_path):
+    queries = []
+    for name in ("a", "b", "c"):
+        for k in range(2):
+            _land(tmp_path / f"logs-{name}", name, f"{k}.log", [_line(at(m), ip=f"10.0.{k}.{m}") for m in range(5)])
+        lines = stream_lines(spark, str(tmp_path / f"logs-{name}"), max_files_per_trigger=1)
+        queries.append(Ingest(store).start(lines, str(tmp_path / f"checkpoint-{name}"), available_now=True))
+    for query in queries:
+        query.awaitTermination()
+    assert sorted(store.marks().values()) == [1, 1, 1] and store.events().count() == 30
+    found = store.rollup(MINUTE_TOTALS).groupBy("branch").agg(F.sum("total_requests").alias("n"))
+    assert rows(found, "branch", "n") == [("a", 10), ("b", 10), ("c", 10)]
+    assert {(r.branch, r.lines_seen) for r in store.quality().collect()} == {("a", 10), ("b", 10), ("c", 10)}
+
+
 def test_failed_batch_is_retried_with_the_same_events(spark, store, tmp_path):
     logs, checkpoint = tmp_path / "logs", tmp_path / "checkpoint"
     _land(logs, "a", "1.log", [_line(at(m)) for m in range(4)])

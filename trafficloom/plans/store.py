@@ -185,6 +185,13 @@ class LogStore:
                 merged = merge_partials(rows, spec, "event_date").sortWithinPartitions("domain")
                 self._write_grain(seen_table(spec.name, level), spec, merged, ingest, batch_id, **BLOOM)
 
+    def merge_skipped(self, mark: int, batch_id: int, ingest: str = MAIN) -> None:
+        """Merge what batches between the mark and the next one would have: their numbers need not follow each other."""
+        for level in range(1, SEEN_LEVELS):
+            last = (mark // SEEN_FANOUT**level + 1) * SEEN_FANOUT**level - 1
+            if 0 <= mark < last < batch_id:
+                self.merge_seen(last, ingest)
+
     def write_rows(self, name: str, batch_id: int, rows: DataFrame, ingest: str = MAIN) -> None:
         """Rows of a batch for a table that is only partitioned by batch."""
         overwrite_partitions(rows.select("*", *self._stamp(ingest, batch_id)), self.path(name), "ingest", "batch_id")

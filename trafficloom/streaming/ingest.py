@@ -81,6 +81,7 @@ class Ingest:
         known = self.store.carried("baseline", ingest, mark).select(*columns)
         self.store.write_rows("baseline", batch_id, carried_minutes(minutes.unionByName(known)), ingest)
         self._detect(batch_id, ingest, dates)
+        self.store.merge_skipped(mark, batch_id, ingest)
         self.store.merge_seen(batch_id, ingest)
         self.store.commit(batch_id, ingest)
 
