@@ -42,8 +42,18 @@ class Index:
     common_max: np.ndarray  # by block: the most that common terms add to an item of it
 
 
-def build(words: Sequence[np.ndarray]) -> Index:
-    """The index of items given as arrays of word hashes; item i is words[i]."""
+@dataclass(frozen=True)
+class Statistics:
+    """What scores depend on besides the item: counted over all items, whichever index holds them."""
+
+    items: int
+    mean_length: float
+    terms: np.ndarray  # hashes in order
+    df: np.ndarray  # items that hold the term
+
+
+def build(words: Sequence[np.ndarray], statistics: Statistics | None = None) -> Index:
+    """The index of items given as arrays of word hashes; item i is words[i]. Without statistics, these are all items."""
     lengths = np.array([len(w) for w in words], np.int64)
     owner = np.repeat(np.arange(len(words)), lengths)
     flat = np.concatenate(words) if len(words) else np.empty(0, np.uint64)
@@ -57,8 +67,11 @@ def build(words: Sequence[np.ndarray]) -> Index:
     terms, starts = np.unique(term_of, return_index=True)
     bounds = np.append(starts, len(term_of))
     df = np.diff(bounds)
-    idf = np.log(1 + (len(words) - df + 0.5) / (df + 0.5))
-    mean = max(lengths.mean(), 1) if len(words) else 1
+    if statistics is None:
+        statistics = Statistics(len(words), lengths.mean() if len(words) else 1.0, terms, df)
+    all_df = statistics.df[np.searchsorted(statistics.terms, terms)]
+    idf = np.log(1 + (statistics.items - all_df + 0.5) / (all_df + 0.5))
+    mean = max(statistics.mean_length, 1)
     scores = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item_of] / mean))
     own = np.bincount(item_of, weights=scores, minlength=len(words))
     scores = scores / np.maximum(own, 1e-9)[item_of]

@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from trafficloom.llm import bm25
+from trafficloom.llm.tables import written
 from trafficloom.llm.words import NOT_ALPHANUMERIC, Words, mix, slices, split_words
 
 # Share of an item's weight that a passage must hold to be looked at.
@@ -22,7 +23,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.6
 # Words of a shingle; a part with fewer words is one shingle.
 WIDTH = 5
-# Items of one index, which is broadcast; more items are more indexes, one after another.
+# Items of one index, which is broadcast; more items are more indexes, one after another, with one set of statistics.
 ITEMS_PER_INDEX = 50_000
 _SENTENCE_END = re.compile(r"(?<=[.?!])\s+")
 
@@ -90,8 +91,41 @@ class _Passage:
         return self.runs[width]
 
 
-def build_items(rows: list[tuple[int | None, str | None]]) -> Items:
-    """Items that have words; a null or empty item matches nothing."""
+def item_terms(rows: DataFrame) -> DataFrame:
+    """(shard, term, n) of items (shard, text): each distinct word with n = 1, and a null term with the number of words.
+    Items without words give no rows."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in slices(batch["text"]):
+                words = _words(batch["text"].slice(first, last - first))
+                text = np.repeat(np.arange(last - first), words.counts)
+                order = np.lexsort((words.hashes, text))
+                hashes, text = words.hashes[order], text[order]
+                fresh = np.ones(len(hashes), bool)
+                fresh[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+                hashes, text = hashes[fresh], text[fresh]
+                filled = np.flatnonzero(words.counts)
+                arrays = [
+                    batch["shard"].slice(first, last - first).take(pa.array(np.concatenate((text, filled)))),
+                    pa.concat_arrays([pa.array(hashes.view(np.int64)), pa.nulls(len(filled), pa.int64())]),
+                    pa.array(np.concatenate((np.ones(len(hashes), np.int64), words.counts[filled].astype(np.int64)))),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard", "term", "n"])
+
+    return rows.select("shard", "text").mapInArrow(terms, "shard bigint, term bigint, n bigint")
+
+
+def _statistics(sums: Row, terms: DataFrame) -> bm25.Statistics:
+    """Statistics of all items, with those terms (term, df) that an index needs."""
+    found = terms.select("term", "df").toArrow()
+    hashes, df = found["term"].to_numpy().view(np.uint64), found["df"].to_numpy()
+    order = np.argsort(hashes)
+    return bm25.Statistics(sums["items"], (sums["words"] or 0) / max(sums["items"], 1), hashes[order], df[order])
+
+
+def build_items(rows: list[tuple[int | None, str | None]], statistics: bm25.Statistics, span: int) -> Items:
+    """Items that have words; a null or empty item matches nothing. ``span`` is the length of the longest of all items."""
     ids, words, questions, answers = [], [], [], []
     for item_id, text in sorted(((i, t) for i, t in rows if t), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         parts = [_words(pa.array([t])).hashes for t in (text, *split_item(text))]
@@ -100,7 +134,7 @@ def build_items(rows: list[tuple[int | None, str | None]]) -> Items:
             words.append(parts[0])
             questions.append((shingles(parts[1]), len(parts[1])))
             answers.append((shingles(parts[2]), len(parts[2])))
-    return Items(ids, bm25.build(words), questions, answers, max((len(w) for w in words), default=0))
+    return Items(ids, bm25.build(words, statistics), questions, answers, span)
 
 
 def _windows(counts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +187,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    count = rows.count()
+    shards = max(1, math.ceil(rows.count() / ITEMS_PER_INDEX))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    # Word statistics and the longest item are those of all items, so scores do not depend on the number of indexes.
+    per_shard = written(item_terms(rows).groupBy("shard", "term").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("items"), F.max("n").alias("longest")
+    ), "item-terms")
+    sums = per_shard.where("term is null").agg(
+        F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.sum("n").alias("words"), F.max("longest").alias("longest")
+    ).first()
+    totals = per_shard.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    terms = written(per_shard.where("term is not null").select("shard", "term").join(totals, "term"), "item-counts")
     schema = "doc_id bigint, item_id bigint, score double"
     found = None
-    shards = max(1, math.ceil(count / ITEMS_PER_INDEX))
     for shard in range(shards):
-        # About ITEMS_PER_INDEX items: the driver and the workers never hold more than one index.
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast(build_items([tuple(r) for r in part.collect()]))
+        # About ITEMS_PER_INDEX items and their terms: the driver and the workers never hold more than one index.
+        part = [tuple(r) for r in rows.where(F.col("shard") == shard).select("item_id", "text").collect()]
+        items = build_items(part, _statistics(sums, terms.where(F.col("shard") == shard)), sums["longest"] or 0)
+        shared = spark.sparkContext.broadcast(items)
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
