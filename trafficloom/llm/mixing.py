@@ -133,19 +133,23 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
 
     def keyed(df: DataFrame, size: Column, order: Column) -> DataFrame:
         keys = {
-            "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-            "__name": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
+            "__id": F.coalesce(F.col("c_doc_id").cast("string"), F.lit("")),
+            "__name": F.coalesce(F.concat(F.lit("="), "c_source"), F.lit("")),
             "__size": size,
         }
         copies = Window.partitionBy("__id", "__name", "__size").orderBy(order)
         return df.withColumns(keys).withColumn("__copy", F.row_number().over(copies))
 
-    plan = keyed(mix_sources(docs, weights, max_epochs), F.col("size"), F.col("extra").desc())
+    # Columns of the documents get names that none of these clash with.
+    given = docs.columns
+    plan = mix_sources(docs, weights, max_epochs).withColumnsRenamed({"doc_id": "c_doc_id", "source": "c_source"})
+    docs = docs.toDF(*[f"c_{c}" for c in given])
+    plan = keyed(plan, F.col("size"), F.col("extra").desc())
     plan = plan.where("taken > 0").select(*same, F.col("epochs").alias("__epochs"), F.col("extra").alias("__extra"))
-    joined = keyed(docs, word_count(F.col("text")), F.xxhash64("text")).join(plan, same)
+    joined = keyed(docs, word_count(F.col("c_text")), F.xxhash64("c_text")).join(plan, same)
     whole = F.array_repeat(F.lit(-1).cast("long"), F.col("__epochs").cast("int"))
     rest = F.when(F.col("__extra") > 0, F.array(F.col("__extra"))).otherwise(F.array().cast("array<long>"))
     taken = joined.withColumn("__words", F.explode(F.concat(whole, rest)))
     cut = (F.col("__words") >= 0) & (F.col("__words") < F.col("__size"))
-    text = F.when(cut, first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text"))
-    return taken.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(cut, first_words(F.col("c_text"), F.col("__words"))).otherwise(F.col("c_text"))
+    return taken.withColumn("c_text", text).select(*[F.col(f"`c_{c}`").alias(c) for c in given])
