@@ -32,38 +32,48 @@ def _inner(docs: DataFrame) -> list[str]:
     return [f"c_{c}" for c in docs.columns]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents by position, with a key for each distinct pair of doc_id and text."""
+    return docs.toDF(*_inner(docs)).withColumn("key", F.xxhash64("c_doc_id", "c_text"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group.
-    Of repeated rows one stays; rows with a null doc_id stay unless they copy another row."""
-    groups = set_join.jaccard_components(docs.select("doc_id", "text"))
-    keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").select(*docs.columns)
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
-    # A null id names no group: such rows stay where no document has an equal text.
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    named = docs.where("doc_id is not null").select("text")
-    return kept.unionByName(unnamed.join(named, "text", "left_anti").select(*docs.columns))
+    """One document of each group of near copies: the one of the smallest doc_id, a null last.
+    Rows that share a doc_id and have different texts are different documents, and so are rows
+    without a doc_id. Of rows equal in doc_id and text one stays. Texts without words copy nothing."""
+    keyed = _keyed(docs)
+    groups = written(set_join.jaccard_components(keyed.select(F.col("key").alias("doc_id"), F.col("c_text").alias("text"))), "copies")
+    place = F.struct(F.col("c_doc_id").isNull(), "c_doc_id", "key")
+    members = keyed.select("key", "c_doc_id").join(groups.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
+    keepers = members.groupBy("component_id").agg(F.min(place)["key"].alias("key")).select("key")
+    kept = keyed.join(keepers, "key", "left_semi")
+    one = Window.partitionBy("key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in _inner(docs)]))
+    kept = kept.withColumn("row", F.row_number().over(one)).where("row = 1")
+    return kept.drop("key", "row").toDF(*docs.columns)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark. Rows with a null doc_id are looked up by their text."""
+    """Documents that hold no item of the benchmark. Rows are looked up by doc_id and text, so a
+    document that shares its doc_id with a leaking one stays; null texts hold nothing."""
     benchmark = table(spark, sf_dir, "benchmark")
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text")))
-    leaks = decontaminate.find_leaks(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark)
-    leaked = leaks.select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(leaked, "__key", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    leaks = decontaminate.find_leaks(keyed.select(F.col("key").alias("doc_id"), F.col("c_text").alias("text")), benchmark)
+    leaked = leaks.select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(leaked, "key", "left_anti").drop("key").toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; documents repeat or go as their source's budget has it."""
+    """Sources at their target weights; documents repeat or go as their source's budget has it.
+    A null source is a source, rows with null or repeated ids are mixed like others, and
+    documents without words go, as nothing is taken of them."""
     mixed = mixing.mixed_documents(docs)
     # A document cut at its budget is shorter than it was.
     return mixed.withColumn("n_chars", F.length("text")) if "n_chars" in docs.columns else mixed
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row as a token file, and what reading it gives."""
+    """Token ids of every row as a token file, and what reading it gives. A null text is empty;
+    rows are in order of doc_id, nulls first, and repeated ones are written as often as they occur."""
     return token_files.token_digests(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
