@@ -1,6 +1,7 @@
 """Line dedup by a rolling hash over line hashes.
 
-``dedup_runs`` hashes every two neighbouring lines. A run of two lines or more
+``dedup_runs`` hashes every two neighbouring lines; blank lines do not count, so
+a heading and a blank line are no run. A run of two filled lines or more
 is repeated just when each of its pairs is, so the pairs that stand at several
 places cover every repeated run, whatever its length and wherever it begins;
 they are removed but for their first place, after their bytes have been
@@ -134,8 +135,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def line_pairs(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Every two neighbouring lines of a slice of texts that are not both blank: hash, text, line, and the
-    places where the two begin and end in the returned bytes."""
+    """Every two filled lines of a slice of texts with at most blank ones between them: hash, text, first line,
+    lines, and the places where they begin and end in the returned bytes. A blank line is no line of a pair."""
     # Each text ends with a line feed, so that each line has a byte.
     nothing, feed = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
     ended = pc.binary_join_element_wise(texts.fill_null("").cast(pa.large_string()), nothing, feed)
@@ -147,9 +148,11 @@ def line_pairs(texts: pa.Array) -> tuple[np.ndarray, ...]:
     filled = np.logical_or.reduceat(~WHITE[data], starts)
     text = np.searchsorted(bounds, starts, "right") - 1
     line = np.arange(len(starts)) - np.searchsorted(starts, bounds[:-1])[text]
-    at = np.flatnonzero((text[1:] == text[:-1]) & (filled[1:] | filled[:-1]))
-    rolled = mix(hashes[at] * _FACTOR + mix(hashes[at + 1] + _FACTOR))
-    return rolled.view(np.int64), text[at], line[at], starts[at], ends[at + 1], data
+    own = np.flatnonzero(filled)
+    same = np.flatnonzero(text[own[1:]] == text[own[:-1]])
+    at, next_at = own[same], own[same + 1]
+    rolled = mix(hashes[at] * _FACTOR + mix(hashes[next_at] + _FACTOR + (next_at - at).astype(np.uint64)))
+    return rolled.view(np.int64), text[at], line[at], next_at - at + 1, starts[at], ends[next_at], data
 
 
 def _pair_counts(docs: DataFrame) -> DataFrame:
@@ -170,16 +173,17 @@ def _pair_rows(docs: DataFrame, bitmap, width: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for part in (p for batch in batches for p in _slices(batch)):
-            hashes, text, line, starts, ends, data = line_pairs(part["text"])
+            hashes, text, line, lines, starts, ends, data = line_pairs(part["text"])
             place = hashes & ((1 << width) - 1)
             held = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             whole = data.tobytes()
             pieces = [whole[a:b] for a, b in zip(starts[held].tolist(), ends[held].tolist())]
             keys = [part[c].take(pa.array(text[held])) for c in ("doc_id", "k1", "k2")]
-            arrays = [pa.array(hashes[held]), *keys, pa.array(line[held].astype(np.int32)), pa.array(pieces, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", *_PLACE, "bytes"])
+            spans = [pa.array(x[held].astype(np.int32)) for x in (line, lines)]
+            arrays = [pa.array(hashes[held]), *keys, *spans, pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", *_PLACE, "lines", "bytes"])
 
-    schema = "h bigint, doc_id bigint, k1 bigint, k2 bigint, first int, bytes binary"
+    schema = "h bigint, doc_id bigint, k1 bigint, k2 bigint, first int, lines int, bytes binary"
     return docs.where("text is not null").select("doc_id", "k1", "k2", "text").mapInArrow(rows, schema)
 
 
@@ -194,19 +198,18 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     # Grouping by the bytes is the comparison; one row per repeated pair is joined back.
     kept = rows.groupBy("h", "h2", "bytes").agg(F.min(place).alias("keep"), F.max(place).alias("last"))
     kept = kept.where("keep != last").select("h", "h2", "keep")
-    return rows.drop("bytes").join(kept, ["h", "h2"]).where(place != F.col("keep")).select(*_PLACE, F.lit(2).alias("lines"))
+    return rows.drop("bytes").join(kept, ["h", "h2"]).where(place != F.col("keep")).select(*_PLACE, "lines")
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every row, the text without repeated runs of lines.
 
-    Of any run of two lines or more that stands at several places, the place
-    of the smallest doc_id (null first) and line keeps it, and every other
-    place loses it; where a line is in a run kept and in one removed, it goes,
+    Of any run of two filled lines or more that stands at several places, the
+    place of the smallest doc_id (null first) and line keeps it, and every other
+    place loses it with the blank lines inside it; a line whose neighbours differ stays; where a line is in a run kept and in one removed, it goes,
     as it stands at an earlier place. So the first place of every line stays.
     Rows equal in doc_id and text are one document, and each is cut alike. A
-    null text stays null and has 0 lines; an empty one has 1. Runs of blank
-    lines only stay. Other columns are ignored; an empty table gives no rows.
+    null text stays null and has 0 lines; an empty one has 1. Other columns are ignored; an empty table gives no rows.
     """
     keyed = _keyed(docs)
     return _without(keyed, repeated_pairs(keyed))
