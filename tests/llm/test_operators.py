@@ -236,19 +236,19 @@ def test_chunk_boundaries_resist_shifts():
 
 
 def runs_by_hand(docs):
-    """Every run of two lines or more is looked up at all its places, for (doc_id, text) pairs."""
+    """Every run of two filled lines or more is looked up at all its places, for (doc_id, text) pairs."""
     docs = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0))
     lines = [(t or "").split("\n") for _, t in docs]
     places = collections.defaultdict(list)
     for d, own in enumerate(lines):
         for i in range(len(own)):
             for j in range(i + 2, min(len(own), i + 12) + 1):
-                places[tuple(own[i:j])].append((d, i))
+                if own[i].strip() and own[j - 1].strip():
+                    places[tuple(own[i:j])].append((d, i))
     gone = collections.defaultdict(set)
     for run, at in places.items():
-        if any(x.strip() for x in run):
-            for d, i in sorted(at)[1:]:
-                gone[d].update(range(i, i + len(run)))
+        for d, i in sorted(at)[1:]:
+            gone[d].update(range(i, i + len(run)))
     return {
         docs[d]: (len(gone[d]), None if docs[d][1] is None else "\n".join(x for i, x in enumerate(own) if i not in gone[d]))
         for d, own in enumerate(lines)
@@ -258,6 +258,9 @@ def runs_by_hand(docs):
 def test_repeated_runs_against_brute_force(llm_spark, sample, odd_docs, no_docs):
     a, b, c = ("a short passage", "of only three lines", "that chunks may miss")
     docs = [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\ny"), (3, f"{c}\nz\n\n \n{b}\n{c}"), (4, f"p\n\n \nq\n{a}"), (5, "w\nw\nw\nw")]
+    # A heading with a blank line is no run, nor is a line with the end of a text; blank lines inside a run are its own.
+    docs += [(6, "Introduction\n\nsix"), (7, "Introduction\n\nseven"), (8, "y\nReferences\n"), (9, "z\nReferences\n")]
+    docs += [(10, "m\n\nn"), (11, "m\n\nn\n\no"), (12, "m\nn")]
     small = llm_spark.createDataFrame(docs, "doc_id bigint, text string")
     for df in (small, table(llm_spark, sample, "documents")):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
@@ -266,7 +269,8 @@ def test_repeated_runs_against_brute_force(llm_spark, sample, odd_docs, no_docs)
         assert counted((r.doc_id, r.n_removed, r.text) for r in found) == counted((r[0], *wanted[r]) for r in rows)
     # The registered query takes whole runs, and no blank lines that stand alone.
     texts = {r.doc_id: r.text for r in line_chunks.dedup_runs(small).collect()}
-    assert texts == {1: docs[0][1], 2: "x\ny", 3: f"{c}\nz\n\n ", 4: f"p\n\n \nq\n{a}", 5: "w"}
+    changed = {2: "x\ny", 3: f"{c}\nz\n\n ", 5: "w", 11: "\no"}
+    assert texts == {**dict(docs), **changed}
     run = queries.QUERIES["op4_line_chunks"](llm_spark, sample)
     assert counted((r.doc_id, r.text) for r in run.collect()) == counted((r.doc_id, r.text) for r in found)
     odd = line_chunks.dedup_runs(odd_docs).collect()
@@ -296,9 +300,7 @@ def test_base_score_is_exact(llm_spark, sample, monkeypatch, head):
 
 def test_filter_levels(llm_spark, sample):
     docs = table(llm_spark, sample, "documents").select("text")
-    tokens = [[*brute.words(r.text), "\n"] for r in docs.collect()]
-    size = sum(map(len, tokens))
-    held = bloom_lm.build_filter(docs, size)
+    held = bloom_lm.gathered(bloom_lm.build_segments(docs, 4, 4), 4)
     import pyarrow as pa
 
     from trafficloom.llm.words import split_words
@@ -312,10 +314,8 @@ def test_filter_levels(llm_spark, sample):
     assert (levels > bloom_lm.levels_of(counts)).mean() < 0.02
     absent = np.arange(1, 20_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (held.levels(absent) > 0).mean() < 0.02
-    # A filter too small for all drops the lowest counts, not the highest.
-    small = bloom_lm.build_filter(docs, size, 1 << 17)
-    few = small.levels(pairs)
-    assert (few[counts >= counts.max()] > 0).all() and (few > 0).mean() < 1
+    # It is broadcast only if all of it fits.
+    assert bloom_lm.gathered(bloom_lm.build_segments(docs, 4), 4, 1 << 12) is None
 
 
 def test_language_model_odd_rows(llm_spark, odd_docs, no_docs):
@@ -352,18 +352,26 @@ def scores_by_hand(docs, held_out):
     return counted(out)
 
 
-def test_no_ngram_is_left_out_beyond_the_broadcast(llm_spark, sample, odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "BLOCK_BYTES", 1 << 16)
-    monkeypatch.setattr(bloom_lm, "ENTRIES_PER_SEGMENT", 1 << 14)
+@pytest.mark.parametrize("entries", [1 << 21, 1 << 14])
+def test_scores_are_the_same_by_broadcast_and_by_shuffle(llm_spark, sample, odd_docs, no_docs, monkeypatch, entries):
+    monkeypatch.setattr(bloom_lm, "ENTRIES_PER_SEGMENT", entries)
+    docs = table(llm_spark, sample, "documents").select("doc_id", "text")
+    for df, learn in ((docs, queries.id_fold(5) != 1), (odd_docs, F.lit(True)), (odd_docs, F.lit(False)), (no_docs, F.lit(True))):
+        found = [bloom_lm.score_documents(df, learn, filter_bits=bits, block_bytes=1 << 14).collect() for bits in (bloom_lm.FILTER_BITS, 0)]
+        assert counted(found[0]) == counted(found[1]) and len(found[0]) == df.count()
+
+
+def test_scores_against_brute_force(llm_spark, sample, odd_docs):
+    # So many bits that hardly a probe is answered wrongly.
+    bits = 1 << 8
     docs = table(llm_spark, sample, "documents").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 == 1}
-    found = bloom_lm.score_documents(docs, queries.id_fold(5) != 1, filter_bits=1 << 12).collect()
+    found = bloom_lm.score_documents(docs, queries.id_fold(5) != 1, entry_bits=bits).collect()
     assert counted((r.n_tokens, round(r.score, 4)) for r in found) == scores_by_hand(rows, held)
     for learn, held in ((True, set()), (False, {r[0] for r in ROWS})):
-        found = bloom_lm.score_documents(odd_docs, F.lit(learn), filter_bits=1 << 12).collect()
+        found = bloom_lm.score_documents(odd_docs, F.lit(learn), entry_bits=bits).collect()
         assert counted((r.n_tokens, round(r.score, 4)) for r in found) == scores_by_hand([r[:2] for r in ROWS], held)
-    assert bloom_lm.score_documents(no_docs, F.lit(True), filter_bits=1 << 12).count() == 0
 
 
 # ----- licences ------------------------------------------------------------

@@ -4,10 +4,11 @@ The filter holds quantised counts of words and word pairs: an n-gram of
 level q is entered q times, once for each level up to its own, so its level is
 found by probing until a probe fails, and no n-gram is stored. The filter is
 cut into segments by hash, so each is built by the task that has summed its
-n-grams, and their number grows with the n-grams. As long as all segments fit
-a fixed number of bits they are gathered and broadcast; beyond that the n-grams
-of a segment stay in its task, which needs no filter then, and the distinct
-n-grams of a block of texts are sent to it.
+n-grams, and their number grows with the n-grams. A segment has as many bits as
+what is to be entered asks for, so every n-gram is held. As long as all
+segments together have no more than a fixed number of bits they are broadcast;
+beyond that the distinct n-grams of a block of texts are sent to the segments.
+The same bits are probed either way, so the scores are the same.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from trafficloom.llm.tables import written
 from trafficloom.llm.words import Words, mix, slices, split_words
 
-# The largest filter that is broadcast: 64 MB on the driver and in each worker.
-FILTER_BITS = 1 << 29
+# The largest filter that is broadcast: 8 MB on the driver and in each worker.
+FILTER_BITS = 1 << 26
 PROBES = 4
 # Counts are quantised to powers of this.
 LOG_BASE = 1.5
@@ -39,7 +40,8 @@ PRIOR = 1000.0
 # Words gathered in a task before their n-grams are summed and passed on.
 FLUSH_WORDS = 2_000_000
 ENTRIES_PER_SEGMENT = 1 << 21
-MIN_SEGMENT_BITS = 1 << 12
+# Bits of a segment for each probe that entering sets one for, at least; up to twice as many.
+BITS_PER_ENTRY = 2
 FINGERPRINT_BITS = 48
 # Where no filter is broadcast: bytes of the texts whose n-grams are looked up together, and of a token, about.
 BLOCK_BYTES = 8 << 20
@@ -80,6 +82,12 @@ def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending. Sorting whole numbers takes a small part of the time of np.unique's hashing."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): the counts of all tokens, end included. Words are 64-bit hashes."""
 
@@ -117,36 +125,43 @@ def level_values() -> np.ndarray:
     return values
 
 
-def _places(entries: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.ndarray]:
-    """Where an entry of a level sets its bits within a segment of ``bits`` (a power of two)."""
+def _places(entries: np.ndarray, level: np.ndarray | int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The 64-bit word of a segment that an entry of a level uses, ``words`` being their number (a power of two),
+    and the bits in it. All are in one word, so that a probe reads memory once."""
     seed = mix(entries + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    step = (seed >> np.uint64(32)) | np.uint64(1)
-    return [(seed + step * np.uint64(i)) & np.uint64(bits - 1) for i in range(PROBES)]
+    word = (seed >> np.uint64(32)) & (words - np.uint64(1))
+    return word, [(seed >> np.uint64(6 * i)) & np.uint64(63) for i in range(PROBES)]
+
+
+def probed(data: np.ndarray, first: np.ndarray | np.uint64, words: np.ndarray | np.uint64, entries: np.ndarray) -> np.ndarray:
+    """The level of each entry, 0 if it is not held: its segment begins at the word ``first`` of ``data`` and has
+    ``words`` of them, and is probed level by level until one fails."""
+    found = np.zeros(len(entries), np.int64)
+    alive, own = np.arange(len(entries)), entries
+    first, words = (np.broadcast_to(x, len(entries)) if np.ndim(x) == 0 else x for x in (first, words))
+    for level in range(1, MAX_LEVEL + 1):
+        word, bits = _places(own, level, words)
+        wanted = np.zeros(len(own), np.uint64)
+        for bit in bits:
+            wanted |= np.uint64(1) << bit
+        held = data[(first + word).astype(np.int64)] & wanted == wanted
+        alive, own, first, words = alive[held], own[held], first[held], words[held]
+        if not len(alive):
+            break
+        found[alive] = level
+    return found
 
 
 @dataclass(frozen=True)
 class Filter:
-    segments: int  # a power of two
-    segment_bits: int
-    data: np.ndarray  # bytes, segment after segment
-    left_out: int = 0  # n-grams that found no room
+    bounds: np.ndarray  # first word of each segment, and the end of the last; their number is a power of two
+    data: np.ndarray  # words of 64 bits, segment after segment
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, 0 if it is not held: probes until one fails."""
-        entries = hashes >> np.uint64(64 - FINGERPRINT_BITS)
-        base = segment_of(hashes, self.segments) * np.uint64(self.segment_bits)
-        found = np.zeros(len(hashes), np.int64)
-        alive = np.arange(len(hashes))
-        for level in range(1, MAX_LEVEL + 1):
-            held = np.ones(len(alive), bool)
-            for place in _places(entries[alive], level, self.segment_bits):
-                at = base[alive] + place
-                held &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[held]
-            if not len(alive):
-                break
-            found[alive] = level
-        return found
+        """The level of each n-gram, 0 if it is not held."""
+        segment = segment_of(hashes, len(self.bounds) - 1).astype(np.int64)
+        words = np.diff(self.bounds)[segment]
+        return probed(self.data, self.bounds[segment], words, hashes >> np.uint64(64 - FINGERPRINT_BITS))
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
@@ -225,45 +240,44 @@ def _summed_shares(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return entries, levels_of(counts)
 
 
-def _bits_of(entries: np.ndarray, levels: np.ndarray, segment_bits: int) -> np.ndarray:
-    flags = np.zeros(segment_bits, bool)
+def _bits_of(entries: np.ndarray, levels: np.ndarray, entry_bits: int) -> np.ndarray:
+    """The bytes of a segment that holds the entries, with as many bits as they need."""
+    wanted = entry_bits * PROBES * int(levels.sum())
+    bits = max(64, 1 << (wanted - 1).bit_length())
+    flags = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for place in _places(entries[levels >= level], level, segment_bits):
-            flags[place.astype(np.int64)] = True
+        word, places = _places(entries[levels >= level], level, np.uint64(bits // 64))
+        for place in places:
+            flags[((word << np.uint64(6)) + place).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little")
 
 
-def build_filter(docs: DataFrame, tokens: int, filter_bits: int = FILTER_BITS) -> Filter:
-    """The filter of all words and word pairs of ``docs``, which have ``tokens`` tokens.
+def build_segments(docs: DataFrame, segments: int, entry_bits: int = BITS_PER_ENTRY) -> DataFrame:
+    """(segment, bits) of the filter of all words and word pairs of ``docs``; segments without n-grams have no row.
 
     Each task sums the n-grams of some texts at a time and sends a segment's
-    share as one packed value; a segment's task adds those up. Where more is
-    to be entered than half of a segment's bits can take, the n-grams of its
-    lowest counts stay out and are counted in ``left_out``.
+    share as one packed value; a segment's task adds those up. A level is
+    never above its count, so a segment's bits are bounded by its share of
+    the tokens.
     """
-    wanted = max(1, 6 * tokens)
-    bits = min(filter_bits, max(1 << 20, 1 << (wanted - 1).bit_length()))
-    segments = min(segments_for(tokens), bits // MIN_SEGMENT_BITS)
-    segment_bits = bits // segments
 
     def enter(table: pa.Table) -> pa.Table:
-        entries, levels = _summed_shares(table)
-        # From the highest count down, as long as half the bits suffice.
-        by_level = np.bincount(levels, minlength=MAX_LEVEL + 1) * np.arange(MAX_LEVEL + 1) * PROBES
-        above = np.cumsum(by_level[::-1])[::-1]
-        fits = above <= max(segment_bits // 2, int(above[-1]))
-        inside = levels >= max(int(np.flatnonzero(fits)[0]), 1)
-        data = _bits_of(entries[inside], levels[inside], segment_bits).tobytes()
-        left_out = pa.array([int((~inside).sum())], pa.int64())
-        return pa.table({"segment": table["segment"][:1], "bits": pa.array([data], pa.binary()), "left_out": left_out})
-
-    data, left_out = np.zeros(bits // 8, np.uint8), 0
-    built = _shares(docs, segments).groupBy("segment").applyInArrow(enter, "segment int, bits binary, left_out bigint")
+        data = _bits_of(*_summed_shares(table), entry_bits).tobytes()
+        return pa.table({"segment": table["segment"][:1], "bits": pa.array([data], pa.binary())})
+
+    return _shares(docs, segments).groupBy("segment").applyInArrow(enter, "segment int, bits binary")
+
+
+def gathered(built: DataFrame, segments: int, filter_bits: int = FILTER_BITS) -> Filter | None:
+    """The filter of all segments, if they have no more than ``filter_bits`` together."""
+    if 8 * (built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > filter_bits:
+        return None
+    # Segments without n-grams are a word of zeros.
+    parts = [np.zeros(1, np.uint64)] * segments
     for row in built.toLocalIterator():
-        at = row["segment"] * segment_bits // 8
-        data[at : at + segment_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-        left_out += row["left_out"]
-    return Filter(segments, segment_bits, data, left_out)
+        parts[row["segment"]] = np.frombuffer(row["bits"], np.uint64)
+    bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.uint64)
+    return Filter(bounds, np.concatenate(parts))
 
 
 @dataclass(frozen=True)
@@ -274,33 +288,53 @@ class LookedUp:
     found: np.ndarray
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.entries, hashes >> np.uint64(64 - FINGERPRINT_BITS))]
+        # In order, as searches near each other read the same memory.
+        order = np.argsort(hashes)
+        levels = np.empty(len(hashes), np.int64)
+        levels[order] = self.found[np.searchsorted(self.entries, hashes[order] >> np.uint64(64 - FINGERPRINT_BITS))]
+        return levels
 
 
-def _block_entries(texts: pa.Table) -> np.ndarray:
+def _block_entries(texts: pa.Array) -> np.ndarray:
     """The distinct n-grams of a block, ascending."""
     held = []
-    for batch in texts.select(["text"]).to_batches():
-        for first, last in slices(batch["text"]):
-            now, before, bounds = token_runs(split_words(batch["text"].slice(first, last - first)))
-            held.append(np.unique(np.concatenate(_ngrams(now, before, bounds)) >> np.uint64(64 - FINGERPRINT_BITS)))
-    return np.unique(np.concatenate(held))
+    for first, last in slices(texts):
+        now, before, bounds = token_runs(split_words(texts.slice(first, last - first)))
+        held.append(distinct(np.concatenate(_ngrams(now, before, bounds)) >> np.uint64(64 - FINGERPRINT_BITS)))
+    return distinct(np.concatenate(held))
+
 
+def _in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, packed), a block having about ``block_bytes`` of text or one longer text, its rows compressed."""
 
-def _in_blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, text), a block having about ``BLOCK_BYTES`` of text or one longer text."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(pa.Table.from_batches(held).combine_chunks())
+            packed = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed], pa.binary())], ["block", "packed"])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            sizes = pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
-            ends = size + np.cumsum(sizes)
-            size = int(ends[-1]) if len(ends) else size
-            blocks = pa.array(first + ends // BLOCK_BYTES)
-            yield pa.RecordBatch.from_arrays([blocks, batch["doc_id"], batch["text"]], ["block", "doc_id", "text"])
+            for first, last in slices(batch["text"]):
+                part = batch.slice(first, last - first)
+                held.append(part)
+                size += (pc.sum(pc.binary_length(part["text"])).as_py() or 0) + 64 * part.num_rows
+                if size >= block_bytes:
+                    yield block()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield block()
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return numbered.mapInArrow(number, "block bigint, doc_id bigint, text string")
+    return numbered.mapInArrow(gather, "block bigint, packed binary")
+
+
+def _rows_of(packed: pa.Scalar) -> pa.RecordBatch:
+    """The documents (doc_id, text) of a block."""
+    return pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
 def head_of(counts: DataFrame, size: int = HEAD_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -402,49 +436,55 @@ def _score_pass(docs: DataFrame, shared: Broadcast, prior: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score, _SCORES)
 
 
-def _score_by_shuffle(docs: DataFrame, training: DataFrame, segments: int, shared: Broadcast, prior: float) -> DataFrame:
-    """Like ``_score_pass`` for n-grams of any number, of which a task holds one segment: the distinct n-grams
-    of a block of texts go to their segments and their levels come back to the block."""
-
-    def ask(texts: pa.Table) -> pa.Table:
-        entries = _block_entries(texts)
-        used, spans = _by_segment(entries, segments)
-        packed = [_packed(entries[s]) for s in spans]
-        return pa.table({
-            "segment": pa.array(used, pa.int32()),
-            "block": pa.array([texts["block"][0].as_py()] * len(used), pa.int64()),
-            "size": pa.array([s.stop - s.start for s in spans], pa.int32()),
-            "entries": pa.array(packed, pa.binary()),
-        })
-
-    def answer(shares: pa.Table, asked: pa.Table) -> pa.Table:
-        none = np.empty(0, np.uint64), np.empty(0, np.int64)
-        held, levels = _summed_shares(shares) if shares.num_rows else none
-        # One entry above all others, so that each place found exists.
-        held, levels = np.append(held, np.uint64(1 << FINGERPRINT_BITS)), np.append(levels, 0)
+def _score_by_shuffle(
+    docs: DataFrame, built: DataFrame, segments: int, shared: Broadcast, prior: float, block_bytes: int
+) -> DataFrame:
+    """Like ``_score_pass`` for segments of any number, of which a task holds one: the distinct n-grams of a
+    block of texts go to their segments, are probed there, and their levels come back to the block."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch["block"].to_pylist(), batch["packed"]):
+                entries = _block_entries(_rows_of(packed)["text"])
+                used, spans = _by_segment(entries, segments)
+                arrays = [
+                    pa.array(used, pa.int32()),
+                    pa.array([block] * len(used), pa.int64()),
+                    pa.array([s.stop - s.start for s in spans], pa.int32()),
+                    pa.array([_packed(entries[s]) for s in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["segment", "block", "size", "entries"])
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        data = np.frombuffer(held["bits"][0].as_py() if held.num_rows else bytes(8), np.uint64)
         found = []
         for packed, size in zip(asked["entries"], asked["size"].to_pylist()):
             entries = _unpacked(packed.as_py(), size)
-            place = np.searchsorted(held, entries)
-            found.append(np.where(held[place] == entries, levels[place], 0).astype(np.uint8).tobytes())
+            found.append(probed(data, np.uint64(0), np.uint64(len(data)), entries).astype(np.uint8).tobytes())
         return pa.table({"block": asked["block"], "segment": asked["segment"], "levels": pa.array(found, pa.binary())})
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = _rows_of(blocks["packed"][0])
         levels = b"".join(x.as_py() for x in answers.sort_by("segment")["levels"])
-        looked_up = LookedUp(_block_entries(texts), np.frombuffer(levels, np.uint8).astype(np.int64))
-        model = replace(shared.value, filter=looked_up)
-        return pa.Table.from_batches([s for batch in texts.to_batches() for s in _scored(batch, model, prior)])
-
-    blocks = written(_in_blocks(docs), "blocks")
-    asked = blocks.groupBy("block").applyInArrow(ask, "segment int, block bigint, size int, entries binary")
-    shares = _shares(training, segments)
-    answers = shares.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(
+        looked_up = LookedUp(_block_entries(texts["text"]), np.frombuffer(levels, np.uint8).astype(np.int64))
+        return pa.Table.from_batches(list(_scored(texts, replace(shared.value, filter=looked_up), prior)))
+
+    blocks = written(_in_blocks(docs, block_bytes), "blocks")
+    asked = blocks.mapInArrow(ask, "segment int, block bigint, size int, entries binary")
+    answers = built.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(
         answer, "block bigint, segment int, levels binary"
     )
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORES)
 
 
-def score_documents(docs: DataFrame, learn: Column, prior: float = PRIOR, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score_documents(
+    docs: DataFrame,
+    learn: Column,
+    prior: float = PRIOR,
+    filter_bits: int = FILTER_BITS,
+    entry_bits: int = BITS_PER_ENTRY,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     The model learns from the rows for which ``learn`` is true. Tokens are the
@@ -452,8 +492,8 @@ def score_documents(docs: DataFrame, learn: Column, prior: float = PRIOR, filter
     ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) with exact counts:
     frequent words from memory, the others by a join. ``score`` is the filter's:
     (pair + prior * word) / (before + prior) for each token, counts by probing.
-    All n-grams are held: in ``filter_bits`` bits and broadcast if they fit,
-    else in segments that are asked by shuffle.
+    All n-grams are held, and the same bits are probed whether the filter has
+    at most ``filter_bits`` and is broadcast or its segments are asked by shuffle.
     Nothing to learn from gives counts of 0. Repeated rows are scored alike
     (and learned from as often as they occur); other columns are ignored.
     """
@@ -464,16 +504,18 @@ def score_documents(docs: DataFrame, learn: Column, prior: float = PRIOR, filter
     tokens, words = totals["n"] or 0, totals["v"]
     least, head, head_counts = head_of(counts)
     model = Model(tokens, words, None, head, head_counts)
-    held = build_filter(training, tokens, filter_bits) if 6 * tokens <= filter_bits else None
-    if held is not None and not held.left_out:
-        shared = spark.sparkContext.broadcast(replace(model, filter=held))
+    # A segment may be asked for n-grams of all texts, so these count as well.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = segments_for(max(tokens, size // TOKEN_BYTES))
+    built = written(build_segments(training, segments, entry_bits), "bloom-segments")
+    held = gathered(built, segments, filter_bits)
+    shared = spark.sparkContext.broadcast(replace(model, filter=held))
+    if held is not None:
         scored = _score_pass(docs, shared, prior)
     else:
-        # A segment is asked for n-grams of all texts, so these count as well.
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shared = spark.sparkContext.broadcast(model)
-        scored = _score_by_shuffle(docs, training, segments_for(max(tokens, size // TOKEN_BYTES)), shared, prior)
+        scored = _score_by_shuffle(docs, built, segments, shared, prior, block_bytes)
     scored = written(scored, "scores")
+    shared.destroy()
     # Words outside memory: once per distinct text, joined to their counts.
     outside = scored.where(F.size("words") > 0).select("t1", "t2", "words", "times").dropDuplicates(["t1", "t2"])
     outside = outside.select("t1", "t2", F.explode(F.arrays_zip("words", "times")).alias("w"))
