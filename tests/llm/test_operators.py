@@ -501,6 +501,44 @@ def test_light_keys_meet_for_every_pair_that_links():
             assert len(shared) > lists or lists >= set_join.meetings(min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("boundary", [0, 64])
+def test_no_link_is_lost_where_members_meet_only_near_their_start(llm_spark, monkeypatch, boundary):
+    """Sets on both sides of the limit, of all sizes: heavy ones by lists alone, light ones by pairs."""
+    monkeypatch.setattr(set_join, "light_boundary", lambda *_: boundary)
+    random = np.random.default_rng(11)
+    texts = []
+    for n in (7, 12, 25, 40, 60, 90, 150):
+        base = [f"b{n}_{i}" for i in range(n + 4)]
+        texts.append(" ".join(base))
+        for k in range(12):
+            # Edits at places of their own, some words more or fewer, some edits shared.
+            own = list(base) if k % 3 else base[: -max(1, n // 10)]
+            for _ in range(random.integers(0, max(2, n // 22))):
+                own[random.integers(len(own))] = f"e{random.integers(3 if k % 2 else 10_000)}"
+            texts.append(" ".join(own + [f"t{k}"] * (k % 4)))
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sets = {k: brute.shingles(t) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.component_id for r in set_join.jaccard_components(docs).collect()} == brute.components(sets)
+
+
+def test_variants_that_differ_too_much_do_not_meet_pair_by_pair(llm_spark, monkeypatch):
+    """Copies with many edits of their own share common elements, and none links."""
+    met, meet = [], set_join.meetings_apart
+    monkeypatch.setattr(set_join, "meetings_apart", lambda *args: met.append(meet(*args)) or met[-1])
+    random = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(304)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for i in random.choice(60, 11, replace=False):
+            own[5 * i + 2] = f"e{k}_{i}"
+        texts.append(" ".join(own))
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sets = {k: brute.shingles(t) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.component_id for r in set_join.jaccard_components(docs).collect()} == brute.components(sets)
+    assert met[0].count() <= len(texts)
+
+
 def test_components(llm_spark):
     links = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 42), (42, 40), (50, 50), (None, 3), (3, 2)]
     df = llm_spark.createDataFrame(links, "a bigint, b bigint")

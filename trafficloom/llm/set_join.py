@@ -17,6 +17,14 @@ most common in content; that connects groups of near copies by as many
 comparisons as members. Then pairs of a list are compared that are still in
 different components, those that meet most often first, so no link between
 components is lost and dense groups are not compared pair by pair.
+
+A pair of sets with n and m elements links from a = ceil((n + m) * 0.8 / 1.8)
+common ones, so its first k common elements lie among the first n - a + k of the
+one and m - a + k of the other, and before them stand at most n - a and m - a
+elements that the sets do not share. An element whose list has one member is
+shared with none that links. Members meet only where both hold: variants of one
+text that differ too much all share its common elements, but have too many
+of their own before them.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficloom.llm.components import connected
@@ -161,8 +169,11 @@ def light_boundary(sketch: np.ndarray, percent: int) -> int:
     return best
 
 
-def _keys(elements: np.ndarray, bounds: np.ndarray, light: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set of a slice and the number of the set each belongs to."""
+def _keys(
+    elements: np.ndarray, bounds: np.ndarray, light: int, percent: int, places: bool = False
+) -> tuple[np.ndarray, ...]:
+    """Keys of each set of a slice and the number of the set each belongs to; with ``places``
+    also the place of the key's last element in the set, from 0."""
     sizes = np.diff(bounds)
     first = sizes - need(sizes, percent) + meetings(sizes)
     heavy = (sizes > light * percent // 100) & (sizes > 1)
@@ -170,7 +181,7 @@ def _keys(elements: np.ndarray, bounds: np.ndarray, light: int, percent: int) ->
     owner = np.repeat(np.arange(len(sizes)), counts)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     # The last bit tells keys of lists from keys of pairs.
-    keys, owners = [mix(elements[bounds[owner] + step] ^ np.uint64(1)) | np.uint64(1)], [owner]
+    keys, owners, at = [mix(elements[bounds[owner] + step] ^ np.uint64(1)) | np.uint64(1)], [owner], [step]
     small = np.flatnonzero((sizes <= light) & (sizes > 1))
     for n in np.unique(sizes[small]):
         sets = small[sizes[small] == n]
@@ -180,10 +191,12 @@ def _keys(elements: np.ndarray, bounds: np.ndarray, light: int, percent: int) ->
         both = mix(mix(block[:, i] ^ np.uint64(2)) + mix(block[:, j] ^ np.uint64(2)))
         keys.append((both & ~np.uint64(1)).ravel())
         owners.append(np.repeat(sets, len(i)))
-    return np.concatenate(keys), np.concatenate(owners)
+        at.append(np.tile(j, len(sets)))
+    found = np.concatenate(keys), np.concatenate(owners)
+    return (*found, np.concatenate(at)) if places else found
 
 
-_LIST_FIELDS = "key bigint, lead_id bigint, lead_s1 bigint, lead_n bigint, doc_id bigint, s1 bigint, n bigint"
+_LIST_FIELDS = "key bigint, lead_id bigint, lead_s1 bigint, lead_n bigint, doc_id bigint, s1 bigint, n bigint, place bigint"
 
 
 def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -213,9 +226,9 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
                 # How common the set's elements are: leaders are the most common.
                 level = np.concatenate(([0], np.cumsum(order[_slot(elements)], dtype=np.int64)))
                 common = (level[bounds[1:]] - level[bounds[:-1]]) * 1000 // np.maximum(sizes, 1)
-                keys, owner = _keys(elements, bounds, light, percent)
+                keys, owner, place = _keys(elements, bounds, light, percent, places=True)
                 chosen = fresh[owner]
-                keys, owner = keys[chosen], owner[chosen]
+                keys, owner, place = keys[chosen], owner[chosen], place[chosen]
                 doc_ids = batch["doc_id"].slice(first, rows).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -224,8 +237,9 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
                         pa.array(s1[owner]),
                         pa.array(doc_ids[owner]),
                         pa.array(sizes[owner], pa.int32()),
+                        pa.array(place, pa.int32()),
                     ],
-                    ["key", "rank", "s1", "doc_id", "n"],
+                    ["key", "rank", "s1", "doc_id", "n", "place"],
                 )
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +249,7 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, s1, doc, n = (batch[c].to_numpy() for c in ("key", "s1", "doc_id", "n"))
+            key, s1, doc, n, place = (batch[c].to_numpy() for c in ("key", "s1", "doc_id", "n", "place"))
             new = np.empty(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             new[0] = leader is None or leader[0] != key[0]
@@ -244,9 +258,10 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
             other[0] = new[0] or last_s1 != s1[0]
             group = np.cumsum(new) - 1 + (0 if new[0] else 1)
             heads = np.flatnonzero(new)
-            lead_doc, lead_s1, lead_n = doc[heads], s1[heads], n[heads]
+            leads = doc[heads], s1[heads], n[heads], place[heads]
             if not new[0]:
-                lead_doc, lead_s1, lead_n = (np.concatenate(([x], y)) for x, y in zip(leader[1:], (lead_doc, lead_s1, lead_n)))
+                leads = tuple(np.concatenate(([x], y)) for x, y in zip(leader[1:], leads))
+            lead_doc, lead_s1, lead_n, lead_place = leads
             members = other & ~new
             several = np.zeros(len(lead_doc), bool)
             several[group[members]] = True
@@ -260,20 +275,45 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
             ids = (
                 first_key[g], lead_doc[g], lead_s1[g], lead_n[g],
                 np.concatenate((lead_doc[own], doc[at])), np.concatenate((lead_s1[own], s1[at])), np.concatenate((lead_n[own], n[at])),
+                np.concatenate((lead_place[own], place[at])),
             )
             if len(g):
-                names = ["key", "lead_id", "lead_s1", "lead_n", "doc_id", "s1", "n"]
+                names = ["key", "lead_id", "lead_s1", "lead_n", "doc_id", "s1", "n", "place"]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in ids], names)
             end = len(lead_doc) - 1
             was_open = end == 0 and not new[0]
             shown = bool(several[end]) or (was_open and shown)
-            leader, last_s1 = (key[-1], lead_doc[end], lead_s1[end], lead_n[end]), s1[-1]
+            leader, last_s1 = (key[-1], lead_doc[end], lead_s1[end], lead_n[end], lead_place[end]), s1[-1]
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key bigint, rank int, s1 bigint, doc_id bigint, n int")
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
+        emit, "key bigint, rank int, s1 bigint, doc_id bigint, n int, place int"
+    )
     rows = rows.repartition("key").sortWithinPartitions("key", "rank", "s1", "doc_id")
     return rows.mapInArrow(lead, _LIST_FIELDS)
 
 
+def own_elements(lists: DataFrame) -> DataFrame:
+    """The lists with ``own``: how many elements before this one, in the member's order,
+    are in a list by themselves. Keys of pairs do not tell; theirs is 0."""
+    before = Window.partitionBy("doc_id", "s1", F.col("key").bitwiseAND(F.lit(1))).orderBy("place")
+    own = F.col("place") + 1 - F.row_number().over(before)
+    return lists.withColumn("own", F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, own).otherwise(0))
+
+
+def meetings_apart(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a list (key, doc_id, s1, n, part, place, own; the other's with a 2) that are
+    in different components and may be of the first ``meetings`` (of keys of pairs: 2) common elements
+    of sets that link. Every pair that links has all of those here."""
+    open_lists = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
+    left = placed.join(open_lists, "key", "left_semi")
+    right = left.toDF(*[c if c == "key" else f"{c}2" for c in left.columns])
+    more = "if((key & 1) = 1, floor(least(n, n2) / 20), 1)"
+    together = f"{percent} * (n + n2) <= {100 + percent}"
+    near = [f"{together} * ({n} - {own}) and {together} * ({n} + {more} - {place})" for n, own, place in (("n", "own", "place"), ("n2", "own2", "place2"))]
+    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    return left.join(right, "key").where(f"part < part2 and {fits} and {near[0]} and {near[1]}")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, a_s1, b, b_s1) whose sets link, by comparing the sets themselves."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS))
@@ -389,12 +429,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # Members of lists with the component they are in so far; without links, by themselves.
     known = by_node.join(parts, "node").select("doc_id", "s1", F.col("component").alias("part"))
-    member = lists.select("key", "doc_id", "s1", "n").join(known, ["doc_id", "s1"], "left")
+    member = own_elements(lists.select("key", "doc_id", "s1", "n", "place")).join(known, ["doc_id", "s1"], "left")
     placed = written(member.withColumn("part", F.coalesce("part", "doc_id")), "placed")
-    open_lists = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-    left = placed.join(open_lists, "key", "left_semi")
-    right = left.toDF("key", "doc_id2", "s12", "n2", "part2")
-    apart = left.join(right, "key").where("part < part2")
+    apart = meetings_apart(placed, percent)
     rest = candidates(apart, ("doc_id", "s1", "n", "part"), ("doc_id2", "s12", "n2", "part2"), 1)
     rest = written(rest.join(starred, ["a_s1", "b_s1"], "left_anti"), "rest-pairs")
     links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
