@@ -1422,12 +1422,13 @@ def _(d: Data) -> DataFrame:
     writer = batches.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
     started = writer.trigger(processingTime="0.2 seconds").start()
     out = read_or_empty(d.spark, f"{root}/out", batches.schema)
-    give_up = time.monotonic() + 120
-    while out.count() < total and started.isActive and time.monotonic() < give_up:
+    while out.count() < total:
+        if not started.isActive:
+            raise started.exception() or RuntimeError("the feed has stopped before its end")
         time.sleep(0.3)
         out = read_or_empty(d.spark, f"{root}/out", batches.schema)
     started.stop()
-    per_batch = out.groupBy("branch", "batch").agg(
+    per_batch = out.groupBy("branch", "lane", "batch").agg(
         F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_distinct("position").alias("places"), F.max("position").alias("last")
     )
     whole = (F.col("rows") == F.col("n")) & (F.col("places") == F.col("n")) & (F.col("last") == F.col("n"))

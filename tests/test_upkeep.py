@@ -214,3 +214,17 @@ def test_every_progress_report_is_kept(spark, tmp_path):
         spark.streams.removeListener(log)
     assert rows.agg(F.sum("input_rows")).first()[0] == 210 and rows.select("batch_id").distinct().count() == 105
     assert log.drop_before(dt.datetime(2000, 1, 1)) == 0 and log.drop_before(dt.datetime(2100, 1, 1)) >= 105
+
+
+def test_full_feed_batches_are_dealt_over_lanes(spark):
+    """Every row has one lane; whole batches are spread, and only what is left of a branch in a task is in lane 0."""
+    from trafficloom.streaming.feed import _dealer
+
+    rows = spark.range(5_000).selectExpr("id", "if(id % 7 = 0, null, 'busy') AS branch").repartition(3)
+    dealt = rows.mapInArrow(_dealer(20, 8), "id bigint, branch string, lane int")
+    counts = {(r.branch, r.lane): r["count"] for r in dealt.groupBy("branch", "lane").count().collect()}
+    assert sorted(r.id for r in dealt.collect()) == list(range(5_000))
+    assert all(n % 20 == 0 for (_, lane), n in counts.items() if lane > 0)
+    assert all(n < 3 * 20 for (_, lane), n in counts.items() if lane == 0)
+    busy = [n for (branch, _), n in counts.items() if branch == "busy"]
+    assert max(busy) <= sum(busy) / 8 + 3 * 20

@@ -116,6 +116,8 @@ EXPORT_COLUMNS = (
 RECENT_EXPORT_ROWS = 100_000
 FEED_ROWS = 200
 FEED_WAIT_MS = 200
+# Lanes over which a branch's full batches are dealt.
+FEED_LANES = 64
 
 # Detector thresholds.
 SESSION_GAP_MINUTES = 30

@@ -5,14 +5,17 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trafficloom.fixed_values import FEED_ROWS, FEED_WAIT_MS
+from trafficloom.fixed_values import FEED_LANES, FEED_ROWS, FEED_WAIT_MS
 from trafficloom.operators.events import event_detail
 from trafficloom.operators.filters import in_branch
 from trafficloom.operators.parse import parse_access_log
@@ -84,16 +87,53 @@ def _batcher(max_rows: int, max_wait_ms: int) -> Callable:
     return step
 
 
-def feed_batches(events: DataFrame, max_rows: int = FEED_ROWS, max_wait_ms: int = FEED_WAIT_MS, lanes: int = 1) -> DataFrame:
+def _dealer(max_rows: int, lanes: int) -> Callable:
+    def deal(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their lane: each ``max_rows`` of a branch go to the next lane, and what is left of it in this task to lane 0."""
+        task = TaskContext.get().partitionId()
+        full: dict[str | None, int] = {}
+        waiting: pa.Table | None = None
+
+        def with_lane(rows: pa.Table, lane: np.ndarray) -> list[pa.RecordBatch]:
+            return rows.append_column("lane", pa.array(lane, pa.int32())).to_batches()
+
+        for batch in arrived:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            codes = rows["branch"].combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+            branches, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            lane = np.full(len(code), -1, np.int32)
+            for i, branch in enumerate(branches):
+                places = np.flatnonzero(code == i)
+                places = places[: len(places) // max_rows * max_rows]
+                done = full.get(branch, 0)
+                lane[places] = 1 + (task + done + np.arange(len(places)) // max_rows) % lanes
+                full[branch] = done + len(places) // max_rows
+            whole = lane >= 0
+            waiting = rows.filter(pa.array(~whole)).combine_chunks()
+            if whole.any():
+                yield from with_lane(rows.filter(pa.array(whole)), lane[whole])
+        if waiting is not None and len(waiting):
+            yield from with_lane(waiting, np.zeros(len(waiting), np.int32))
+
+    return deal
+
+
+def feed_batches(events: DataFrame, max_rows: int = FEED_ROWS, max_wait_ms: int = FEED_WAIT_MS, lanes: int = FEED_LANES) -> DataFrame:
     """Events of a stream in batches per branch: (lane, batch, position, n) and the columns of a listing.
 
     A batch is closed when it has ``max_rows`` events or ``max_wait_ms`` after
     its first one came, whichever is earlier; between micro-batches the open
     one is kept as state, and a timer closes it when nothing else arrives.
-    ``lanes`` deals the events of a busy branch over several tasks, each with
-    batches of its own.
+    Whole batches are made where the events are read and dealt over ``lanes``
+    lanes from 1, each numbered by itself, so no task reads a whole branch.
+    Lane 0 has what is left of each branch in each of those tasks, fewer than
+    ``max_rows`` events of it a task, and is the only one in which events wait.
     """
-    rows = event_detail(events).withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int"))
+    rows = event_detail(events)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lane", T.IntegerType())])
+    rows = rows.mapInArrow(_dealer(max_rows, lanes), schema)
     rows = rows.withColumn("key_branch", F.col("branch")).withColumn("key_lane", F.col("lane"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     out = rows.groupBy("key_branch", "key_lane").applyInPandasWithState(
