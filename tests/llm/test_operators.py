@@ -539,6 +539,27 @@ def test_variants_that_differ_too_much_do_not_meet_pair_by_pair(llm_spark, monke
     assert met[0].count() <= len(texts)
 
 
+@pytest.mark.parametrize("changes, places", [((1, 5), 150), ((2, 5), 150), ((2, 6), 90)])
+def test_members_of_a_family_meet_by_what_they_have_apart(llm_spark, monkeypatch, changes, places):
+    """Variants around the limit, some with edits in common; the text they come from is none of them."""
+    met, meet = [], set_join.meetings_apart
+    monkeypatch.setattr(set_join, "meetings_apart", lambda *args: met.append(meet(*args)) or met[-1])
+    random = np.random.default_rng(places)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(150):
+        own = list(base)
+        for i in random.choice(places, random.integers(*changes), replace=False):
+            own[i] = f"e{i}_{random.integers(2) if k % 3 else k}"
+        texts.append(" ".join(own))
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sets = {k: brute.shingles(t) for k, t in enumerate(texts)}
+    wanted = brute.components(sets)
+    assert 3 < len(set(wanted.values())) < len(texts)
+    assert {r.doc_id: r.component_id for r in set_join.jaccard_components(docs).collect()} == wanted
+    assert met[0].count() <= 3 * len(texts)
+
+
 def test_components(llm_spark):
     links = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 42), (42, 40), (50, 50), (None, 3), (3, 2)]
     df = llm_spark.createDataFrame(links, "a bigint, b bigint")

@@ -14,9 +14,11 @@ corpus: the order decides how many candidates there are, never which links.
 Equal sets are one class, and one document stands for it. The lists are worked
 in two rounds. First every member of a list is compared with one leader, the
 most common in content; that connects groups of near copies by as many
-comparisons as members. Then pairs of a list are compared that are still in
-different components, those that meet most often first, so no link between
-components is lost and dense groups are not compared pair by pair.
+comparisons as members. Members compared with the same class are a family, whose
+links come from what each has other than that class (``families``). Then pairs of
+a list are compared that are still in different components and in different
+families, those that meet most often first, so no link between components is lost
+and dense groups are not compared pair by pair.
 
 A pair of sets with n and m elements links from a = ceil((n + m) * 0.8 / 1.8)
 common ones, so its first k common elements lie among the first n - a + k of the
@@ -39,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficloom.llm.components import connected
+from trafficloom.llm.families import families, family_links, members
 from trafficloom.llm.tables import written
 from trafficloom.llm.words import mix, slices, split_words, windows
 
@@ -301,21 +304,25 @@ def own_elements(lists: DataFrame) -> DataFrame:
 
 
 def meetings_apart(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list (key, doc_id, s1, n, part, place, own; the other's with a 2) that are
-    in different components and may be of the first ``meetings`` (of keys of pairs: 2) common elements
-    of sets that link. Every pair that links has all of those here."""
-    open_lists = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-    left = placed.join(open_lists, "key", "left_semi")
+    """Pairs of members of a list (key, doc_id, s1, n, part, fam, fam_size, place, own; the other's with
+    a 2) that are in different components and families and may be of the first ``meetings`` (of keys of pairs: 2) common elements
+    of sets that link. Every such pair that links has all of those here."""
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("part", "fam") for f in (F.min, F.max)]
+    open_lists = placed.groupBy("key").agg(*ends, F.max(F.struct("fam_size", "fam"))["fam"].alias("main"))
+    open_lists = open_lists.where("part_min != part_max and fam_min != fam_max").select("key", "main")
+    left = placed.join(open_lists, "key")
     right = left.toDF(*[c if c == "key" else f"{c}2" for c in left.columns])
     more = "if((key & 1) = 1, floor(least(n, n2) / 20), 1)"
     together = f"{percent} * (n + n2) <= {100 + percent}"
     near = [f"{together} * ({n} - {own}) and {together} * ({n} + {more} - {place})" for n, own, place in (("n", "own", "place"), ("n2", "own2", "place2"))]
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    return left.join(right, "key").where(f"part < part2 and {fits} and {near[0]} and {near[1]}")
+    # Of two families of a list one is not its main one: only members outside that meet all others.
+    apart = "part != part2 and fam != fam2 and (fam2 = main2 or part < part2)"
+    return left.where("fam != main").join(right, "key").where(f"{apart} and {fits} and {near[0]} and {near[1]}")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, a_s1, b, b_s1) whose sets link, by comparing the sets themselves."""
+def both_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, a_s1, b, b_s1) with the sets of both as bytes, x and y."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS))
     ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).select(place.alias("place"))
     # bitmap_construct_agg makes one bitmap of 32,768 bits for each bucket of places.
@@ -354,6 +361,37 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     sets = texts.mapInArrow(to_sets, "doc_id bigint, s1 bigint, elements binary")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s1").alias("a_s1"), F.col("elements").alias("x")), ["a", "a_s1"])
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("s1").alias("b_s1"), F.col("elements").alias("y")), ["b", "b_s1"])
+    return both.select("a", "a_s1", "b", "b_s1", "x", "y")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, a_s1, b, b_s1) with the number of elements they share, those only one of
+    them has, and whether they link."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, links, only = [], [], ([], [])
+            for x, y in zip(batch["x"], batch["y"]):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                only[0].append(np.setdiff1d(x, y, assume_unique=True))
+                only[1].append(np.setdiff1d(y, x, assume_unique=True))
+                shared.append(len(x) - len(only[0][-1]))
+                links.append(100 * shared[-1] >= percent * (len(y) + len(only[0][-1])))
+            lists = []
+            for own in only:
+                bounds = np.cumsum([0, *map(len, own)])
+                values = np.concatenate(own) if own else np.empty(0, np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64())))
+            ends = [batch[c] for c in PAIR]
+            arrays = [*ends, pa.array(shared, pa.int64()), *lists, pa.array(links, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, [*PAIR, "shared", "only_a", "only_b", "links"])
+
+    schema = ", ".join(f"{c} bigint" for c in (*PAIR, "shared")) + ", only_a array<bigint>, only_b array<bigint>, links boolean"
+    return both_sets(docs, pairs).mapInArrow(compare, schema)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, a_s1, b, b_s1) whose sets link, by comparing the sets themselves."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,7 +404,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "a_s1", "b", "b_s1"])
 
-    return both.select("a", "a_s1", "b", "b_s1", "x", "y").mapInArrow(compare, "a bigint, a_s1 bigint, b bigint, b_s1 bigint")
+    return both_sets(docs, pairs).mapInArrow(compare, "a bigint, a_s1 bigint, b bigint, b_s1 bigint")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -412,7 +450,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Half the meetings will do here: what a leader is not compared with comes in the second round.
     starred = candidates(lists, ("lead_id", "lead_s1", "lead_n", "lead_id"), ("doc_id", "s1", "n", "doc_id"), 2)
     starred = written(starred.select(*PAIR), "star-pairs")
-    links = written(verified(docs, starred, percent), "star-links")
+    leaders = written(compared(docs, starred, percent), "star-links")
+    links = leaders.where("links").select(*PAIR)
+    fams = written(families(leaders), "families")
 
     by_node = nodes.where("doc_id is not null").select("doc_id", "s1", "node").distinct()
 
@@ -428,13 +468,16 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = written(connected(between_nodes(links).unionAll(same_id)), "star-parts")
 
     # Members of lists with the component they are in so far; without links, by themselves.
-    known = by_node.join(parts, "node").select("doc_id", "s1", F.col("component").alias("part"))
+    known = by_node.join(parts, "node", "left").join(fams, "s1", "left").where("component is not null or fam is not null")
+    known = written(known.select("doc_id", "s1", F.coalesce("component", "node").alias("part"), "fam", "fam_size"), "known")
+    near = family_links(members(leaders, known, percent), percent)
     member = own_elements(lists.select("key", "doc_id", "s1", "n", "place")).join(known, ["doc_id", "s1"], "left")
-    placed = written(member.withColumn("part", F.coalesce("part", "doc_id")), "placed")
+    fill = {"part": F.coalesce("part", "doc_id"), "fam": F.coalesce("fam", "s1"), "fam_size": F.coalesce("fam_size", F.lit(1))}
+    placed = written(member.withColumns(fill), "placed")
     apart = meetings_apart(placed, percent)
     rest = candidates(apart, ("doc_id", "s1", "n", "part"), ("doc_id2", "s12", "n2", "part2"), 1)
     rest = written(rest.join(starred, ["a_s1", "b_s1"], "left_anti"), "rest-pairs")
-    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(written(between_nodes(near), "family-links"))
     # One link joins two components: the pair of each two that meets most often is compared first.
     for _ in range(BEST_ROUNDS):
         ends = F.struct("times", *PAIR)
