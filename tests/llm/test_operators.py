@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -24,7 +25,7 @@ from trafficloom.llm import (
     token_files,
 )
 from trafficloom.llm.components import connected
-from trafficloom.llm.tables import table
+from trafficloom.llm.tables import table, written
 
 VOCABULARY = public_tokenizers.path(queries.VOCABULARY)
 
@@ -560,6 +561,19 @@ def test_members_of_a_family_meet_by_what_they_have_apart(llm_spark, monkeypatch
     assert met[0].count() <= 3 * len(texts)
 
 
+def test_written_sends_batches_of_few_bytes_to_python(llm_spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before = [llm_spark.conf.get(n) for n in names]
+    docs = llm_spark.range(0, 4_000, 1, 1).selectExpr("repeat('x', 8000) AS text")
+    found = written(docs.mapInArrow(sizes, "bytes bigint"), "batches").selectExpr("max(bytes)", "sum(bytes)").first()
+    assert found[0] < 5 << 20 and found[1] > 30 << 20
+    assert [llm_spark.conf.get(n) for n in names] == before
+
+
 def test_components(llm_spark):
     links = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 42), (42, 40), (50, 50), (None, 3), (3, 2)]
     df = llm_spark.createDataFrame(links, "a bigint, b bigint")

@@ -46,6 +46,8 @@ from trafficloom.llm.tables import written
 from trafficloom.llm.words import mix, slices, split_words, windows
 
 WIDTH = 5
+# Bytes of text worked on at once: the arrays made of them take about a hundred times as much.
+TEXT_BYTES = 1 << 18
 # Slots of the frequency sketch: 16 MB in a task, whatever the corpus.
 SKETCH_BITS = 22
 SKETCH_PART = 16_384
@@ -106,7 +108,7 @@ def describe(docs: DataFrame) -> DataFrame:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["doc_id", "n", "s1", "s2", "slot", "counts"]
         for batch in batches:
-            for first, last in slices(batch["text"]):
+            for first, last in slices(batch["text"], TEXT_BYTES):
                 elements, bounds = ordered_sets(batch["text"].slice(first, last - first))
                 np.add.at(sketch, _slot(elements), np.uint32(1))
                 s1, s2 = signatures(elements, bounds)
@@ -216,7 +218,7 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
         seen: set[int] = set()
         order = shared.value
         for batch in batches:
-            for first, last in slices(batch["text"]):
+            for first, last in slices(batch["text"], TEXT_BYTES):
                 rows = last - first
                 elements, bounds = ordered_sets(batch["text"].slice(first, rows), order)
                 s1, _ = signatures(elements, bounds)
@@ -341,7 +343,7 @@ def both_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             places = whole["place"].to_numpy()
             asked = (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
             batch = whole.filter(pa.array(asked))
-            for first, last in slices(batch["text"]):
+            for first, last in slices(batch["text"], TEXT_BYTES):
                 rows = last - first
                 elements, bounds = ordered_sets(batch["text"].slice(first, rows))
                 s1, _ = signatures(elements, bounds)

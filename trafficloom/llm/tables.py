@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +15,41 @@ import trafficloom
 from trafficloom.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
+# While a frame is worked out: batches go to Python by bytes, as 10,000 rows of text are tens of
+# megabytes in the JVM and again in Python, and shuffle files go with the job that made them.
+WRITING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, and afterwards as it was."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: it is computed once,
     and a lost executor costs no more than reading its part again."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
