@@ -561,6 +561,29 @@ def test_members_of_a_family_meet_by_what_they_have_apart(llm_spark, monkeypatch
     assert met[0].count() <= 3 * len(texts)
 
 
+def test_members_of_too_few_lists_do_not_go_to_the_second_round(llm_spark, monkeypatch):
+    """Every two texts share a passage, and none links: what they share is less than any link asks for."""
+    placed, meet = [], set_join.meetings_apart
+    monkeypatch.setattr(set_join, "meetings_apart", lambda *args: placed.append(args[0].count()) or meet(*args))
+    lists, own = [], set_join.own_elements
+    monkeypatch.setattr(set_join, "own_elements", lambda *args: lists.append(args[0].count()) or own(*args))
+    texts = []
+    for k in range(30):
+        passages = [f"p{min(k, i)}_{max(k, i)}" for i in range(30) if i != k]
+        texts.append(" ".join(f"{p}_{j}" for p in passages for j in range(17)))
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in set_join.jaccard_components(docs).collect()} == {k: k for k in range(30)}
+    assert lists[0] > 30 and placed == [0]
+
+
+def test_no_link_is_lost_where_places_are_late(llm_spark, groups, monkeypatch):
+    """Places that a row of a list has no room for count as the last one."""
+    monkeypatch.setattr(set_join, "LAST_PLACE", 3)
+    docs = llm_spark.createDataFrame(list(groups.items()), "doc_id bigint, text string").repartition(3)
+    wanted = brute.components({k: brute.shingles(t) for k, t in groups.items()})
+    assert {r.doc_id: r.component_id for r in set_join.jaccard_components(docs).collect()} == wanted
+
+
 def test_written_sends_batches_of_few_bytes_to_python(llm_spark):
     def sizes(batches):
         for batch in batches:

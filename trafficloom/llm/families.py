@@ -49,7 +49,6 @@ def members(compared: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         compared.select(
             F.col(x).alias("doc_id"), F.col(f"{x}_s1").alias("s1"), F.col(f"{c}_s1").alias("fam"), "shared",
             (F.col("shared") + F.size(f"only_{x}")).alias("n"), (F.col("shared") + F.size(f"only_{c}")).alias("centre_n"),
-            F.concat(f"only_{x}", f"only_{c}").alias("own"),
         )
         for x, c in sides
     ]
@@ -61,7 +60,11 @@ def members(compared: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     first = of.groupBy("fam").agg(F.max(place).alias("first"), F.min("part").alias("x"), F.max("part").alias("y"))
     first = first.where("x != y").select("fam", "first")
     other = of.join(first, "fam").where("part != first.part").groupBy("fam").agg(F.max(place).alias("other"))
-    return of.join(first.join(other, "fam"), "fam")
+    of = written(of.join(first.join(other, "fam"), "fam"), "members-of-parts")
+    # The differences are sent once, to the members that need them.
+    own = compared.select("a_s1", "b_s1", F.concat("only_a", "only_b").alias("own"))
+    ends = [F.least("s1", "fam").alias("a_s1"), F.greatest("s1", "fam").alias("b_s1")]
+    return of.select("*", *ends).join(own, ["a_s1", "b_s1"]).drop("a_s1", "b_s1")
 
 
 def family_links(of: DataFrame, percent: int) -> DataFrame:

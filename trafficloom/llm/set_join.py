@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from trafficloom.llm.components import connected
 from trafficloom.llm.families import families, family_links, members
-from trafficloom.llm.tables import written
+from trafficloom.llm.tables import WRITING, settings, written
 from trafficloom.llm.words import mix, slices, split_words, windows
 
 WIDTH = 5
@@ -59,6 +59,10 @@ PAIR = ["a", "a_s1", "b", "b_s1"]
 BEST_ROUNDS = 2
 # No set above this is light.
 MAX_LIGHT = 64
+# A key of a list has 48 bits beside the place in the set; later places count as the last one.
+# Keys that share their bits and late places only add candidates.
+PLACE_BITS = 16
+LAST_PLACE = (1 << PLACE_BITS) - 1
 
 
 def need(n: np.ndarray | int, percent: int = 80) -> np.ndarray | int:
@@ -146,7 +150,9 @@ def merged_sketch(parts: DataFrame) -> np.ndarray:
         return pa.table({"slot": table["slot"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in parts.groupBy("slot").applyInArrow(add, "slot int, counts binary").collect():
+    with settings(parts.sparkSession, WRITING):
+        sums = parts.groupBy("slot").applyInArrow(add, "slot int, counts binary").collect()
+    for row in sums:
         sketch[row["slot"] * SKETCH_PART :][:SKETCH_PART] = np.frombuffer(row["counts"], np.uint64)
     return sketch
 
@@ -235,17 +241,13 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
                 chosen = fresh[owner]
                 keys, owner, place = keys[chosen], owner[chosen], place[chosen]
                 doc_ids = batch["doc_id"].slice(first, rows).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys.view(np.int64)),
-                        pa.array(-common[owner], pa.int32()),
-                        pa.array(s1[owner]),
-                        pa.array(doc_ids[owner]),
-                        pa.array(sizes[owner], pa.int32()),
-                        pa.array(place, pa.int32()),
-                    ],
-                    ["key", "rank", "s1", "doc_id", "n", "place"],
-                )
+                # Few wide numbers: what a set has in all of its rows is one, what is the row's own another.
+                kind = keys & np.uint64(1)
+                keys = (keys >> np.uint64(PLACE_BITS + 1) << np.uint64(1)) | kind
+                at = (keys << np.uint64(PLACE_BITS)) | np.minimum(place, LAST_PLACE).astype(np.uint64)
+                shape = (-common << 32) | sizes
+                arrays = [at.view(np.int64), shape[owner], s1[owner], doc_ids[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["at", "shape", "s1", "doc_id"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The leader of the list that the last batch ended in, and whether it has been passed on.
@@ -254,7 +256,8 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, s1, doc, n, place = (batch[c].to_numpy() for c in ("key", "s1", "doc_id", "n", "place"))
+            at, shape, s1, doc = (batch[c].to_numpy() for c in ("at", "shape", "s1", "doc_id"))
+            key, place, n = at >> PLACE_BITS, at & LAST_PLACE, shape & ((1 << 32) - 1)
             new = np.empty(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             new[0] = leader is None or leader[0] != key[0]
@@ -291,18 +294,24 @@ def inverted_lists(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFra
             leader, last_s1 = (key[-1], lead_doc[end], lead_s1[end], lead_n[end], lead_place[end]), s1[-1]
 
     rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
-        emit, "key bigint, rank int, s1 bigint, doc_id bigint, n int, place int"
+        emit, "at bigint, shape bigint, s1 bigint, doc_id bigint"
     )
-    rows = rows.repartition("key").sortWithinPartitions("key", "rank", "s1", "doc_id")
+    key = F.shiftright("at", PLACE_BITS)
+    rows = rows.repartition(key).sortWithinPartitions(key, "shape", "s1", "doc_id")
     return rows.mapInArrow(lead, _LIST_FIELDS)
 
 
-def own_elements(lists: DataFrame) -> DataFrame:
+def own_elements(lists: DataFrame, percent: int) -> DataFrame:
     """The lists with ``own``: how many elements before this one, in the member's order,
-    are in a list by themselves. Keys of pairs do not tell; theirs is 0."""
-    before = Window.partitionBy("doc_id", "s1", F.col("key").bitwiseAND(F.lit(1))).orderBy("place")
-    own = F.col("place") + 1 - F.row_number().over(before)
-    return lists.withColumn("own", F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, own).otherwise(0))
+    are in a list by themselves. Keys of pairs do not tell; theirs is 0. A member that is in
+    fewer lists than the smallest set it may link to asks for links by none of them: those rows
+    are left out. The rows are dealt by doc_id and s1, as a join by those asks."""
+    all_of = Window.partitionBy("doc_id", "s1", F.col("key").bitwiseAND(F.lit(1)))
+    own = F.col("place") + 1 - F.row_number().over(all_of.orderBy("place"))
+    in_list = F.col("key").bitwiseAND(F.lit(1)) == 1
+    lists = lists.repartition("doc_id", "s1").withColumn("own", F.when(in_list, own).otherwise(0))
+    lists = lists.withColumn("lists", F.count(F.lit(1)).over(all_of))
+    return lists.where(~in_list | F.expr(f"lists >= 1 + ({percent} * n + 99) div 100 div 20")).drop("lists")
 
 
 def meetings_apart(placed: DataFrame, percent: int) -> DataFrame:
@@ -473,7 +482,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     known = by_node.join(parts, "node", "left").join(fams, "s1", "left").where("component is not null or fam is not null")
     known = written(known.select("doc_id", "s1", F.coalesce("component", "node").alias("part"), "fam", "fam_size"), "known")
     near = family_links(members(leaders, known, percent), percent)
-    member = own_elements(lists.select("key", "doc_id", "s1", "n", "place")).join(known, ["doc_id", "s1"], "left")
+    member = own_elements(lists.select("key", "doc_id", "s1", "n", "place"), percent).join(known, ["doc_id", "s1"], "left")
     fill = {"part": F.coalesce("part", "doc_id"), "fam": F.coalesce("fam", "s1"), "fam_size": F.coalesce("fam_size", F.lit(1))}
     placed = written(member.withColumns(fill), "placed")
     apart = meetings_apart(placed, percent)
