@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficloom.llm import decontaminate, langid, mixing, set_join, token_files
-from trafficloom.llm.tables import ship_package, table, written
+from trafficloom.llm.tables import BATCHES, ship_package, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -77,12 +78,25 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files.token_digests(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage with the session set to batches of few bytes. The caller writes what a stage returns
+    later, so the session stays that way."""
+
+    @wraps(stage)
+    def in_session(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, value in BATCHES.items():
+            spark.conf.set(name, value)
+        return stage(spark, docs, sf_dir)
+
+    return in_session
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", identify_language),
-    ("near_copies", drop_near_copies),
-    ("decontamination", remove_leaks),
-    ("mixing", mix_sources),
-    ("tokens", write_tokens),
+    ("language", _in_small_batches(identify_language)),
+    ("near_copies", _in_small_batches(drop_near_copies)),
+    ("decontamination", _in_small_batches(remove_leaks)),
+    ("mixing", _in_small_batches(mix_sources)),
+    ("tokens", _in_small_batches(write_tokens)),
 ]
 
 # A trained model, similarity search and a tokenizer: SQL cannot express the stages.

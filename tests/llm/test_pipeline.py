@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm import brute
 from trafficloom.llm import decontaminate, mixing
+from trafficloom.llm.tables import BATCHES
 
 STAGES = dict(corpus_pipeline.STAGES)
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -61,6 +62,16 @@ def test_stages_keep_the_columns(llm_spark, sample, odd, nothing, name):
             assert [r[c] for c in CLASHING] == list(range(7, 7 + len(CLASHING)))
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_what_a_stage_returns_is_read_in_small_batches(llm_spark, sample, nothing, name):
+    """A stage's frame is worked out after the stage has returned."""
+    for setting in BATCHES:
+        llm_spark.conf.unset(setting)
+    found = STAGES[name](llm_spark, nothing, sample)
+    assert {k: found.sparkSession.conf.get(k) for k in BATCHES} == BATCHES
+    assert int(BATCHES["spark.sql.parquet.columnarReaderBatchSize"]) <= 512
+
+
 def test_one_of_each_group_stays(llm_spark, sample, odd):
     found = STAGES["near_copies"](llm_spark, odd, sample)
     copies = {1, 3, 4, 7}  # a near copy, one with null id and upper case, a near copy with null id, an equal row

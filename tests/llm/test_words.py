@@ -1,3 +1,7 @@
+import ctypes
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -87,3 +91,20 @@ def test_block_max_search_finds_all_items_above_the_threshold(threshold):
         assert sorted(i for i, _ in found) == wanted.tolist()
         live = bm25.live(index, np.zeros(len(terms), np.int64), terms, 1, threshold)
         assert len(live) or not len(wanted)
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="only glibc gives memory back when asked")
+def test_a_batch_leaves_no_memory_behind():
+    def mine():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    texts = pa.array(["a text"])
+    list(slices(texts))
+    before = mine()
+    arrays = [np.ones(12_000) for _ in range(600)]
+    pins = [np.ones(500) for _ in range(50)]
+    filled = mine()
+    del arrays
+    list(slices(texts))
+    assert filled > before + 40 and mine() < filled - 40
+    assert len(pins) == 50

@@ -15,12 +15,15 @@ import trafficloom
 from trafficloom.session import scratch_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-# While a frame is worked out: batches go to Python by bytes, as 10,000 rows of text are tens of
-# megabytes in the JVM and again in Python, and shuffle files go with the job that made them.
-WRITING = {
+# Batches go to Python by bytes, as 10,000 rows of text are tens of megabytes in the JVM and again in
+# Python. Parquet is read by 512 rows: a column of 4,096 texts is one array of 16 MB or more, which
+# doubles as it fills and is left on the heap by every task that reads texts.
+BATCHES = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
+# While a frame is worked out, shuffle files also go with the job that made them.
+WRITING = {**BATCHES, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,6 +26,8 @@ from trafficloom.llm.tokenize_words import encoder
 from trafficloom.llm.words import slices
 from trafficloom.session import scratch_dir
 
+# Bytes of text encoded at once: the arrays made of them take about a hundred times as much.
+TEXT_BYTES = 1 << 19
 BLOCK_TOKENS = 65_536
 PART_TOKENS = 4_000_000
 # Codes are kept in memory: vocabularies may have as many ids as this.
@@ -46,7 +48,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         one = encoder(tokenizer)
         kind = np.uint16 if len(one.ends_word) <= 1 << 16 and end_id < 1 << 16 else np.uint32
         for batch in batches:
-            for first, last in slices(batch["text"]):
+            for first, last in slices(batch["text"], TEXT_BYTES):
                 ids, bounds = one.encode(batch["text"].slice(first, last - first))
                 # One more place per text, for the end.
                 counts = np.diff(bounds) + 1

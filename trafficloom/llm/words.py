@@ -7,6 +7,7 @@ longer than that is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -92,6 +93,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def release_unused() -> None:
+    """Gives memory that arrays no longer use back to the system. Workers outlive their tasks, and
+    an idle one would keep what its largest slice needed."""
+    pa.default_memory_pool().release_unused()
+    # Of glibc; other C libraries have no such function.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes, or of one text."""
     _, bounds = buffers(texts)
@@ -101,8 +112,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         last = min(max(last, first + 1), len(texts))
         yield first, last
         first = last
-    # What the slices of this batch needed goes back to the system.
-    pa.default_memory_pool().release_unused()
+    release_unused()
 
 
 def _hash_piece(data: np.ndarray, starts: np.ndarray, spaces: np.ndarray, fold_case: bool) -> np.ndarray:
