@@ -1,5 +1,6 @@
 import ctypes
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.brute import words as plain_words
-from trafficloom.llm import bm25, huffman
+from trafficloom.llm import bm25, huffman, set_join
 from trafficloom.llm.words import WHITE, slices, split_words, windows
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="abAB \n\té🙂.", max_size=30)), min_size=1, max_size=6)
@@ -108,3 +109,15 @@ def test_a_batch_leaves_no_memory_behind():
     list(slices(texts))
     assert filled > before + 40 and mine() < filled - 40
     assert len(pins) == 50
+
+
+def test_the_driver_holds_one_sketch():
+    sketch = np.random.default_rng(1).integers(0, 1_000_000, 1 << set_join.SKETCH_BITS).astype(np.uint64)
+    tracemalloc.start()
+    levels = set_join.sketch_levels(sketch)
+    set_join.light_boundary(sketch, 80)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20
+    some = slice(0, len(sketch), 9_973)
+    assert levels[some].tolist() == np.minimum(np.floor(8 * np.log2(1 + sketch[some].astype(float))), 255).astype(int).tolist()

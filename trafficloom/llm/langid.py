@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trafficloom.llm.words import buffers, slices
+from trafficloom.llm.words import buffers, release_unused, slices
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
@@ -151,7 +151,11 @@ def train(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE, marks:
     labels = np.concatenate([np.full(len(chosen[x]), i) for i, x in enumerate(languages)])
     starts = np.concatenate(([0], np.cumsum([len(chosen[x]) for x in languages])[:-1]))
     landmarks = np.concatenate([s + np.arange(min(marks, len(chosen[x]))) for s, x in zip(starts, languages)])
-    return solve(np.concatenate([np.stack(chosen[x]) for x in languages]), labels, languages, landmarks)
+    model = solve(np.concatenate([np.stack(chosen[x]) for x in languages]), labels, languages, landmarks)
+    # The sample stays on the driver no longer than it is learned from.
+    del sample, chosen
+    release_unused()
+    return model
 
 
 def classify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from trafficloom.llm.components import connected
 from trafficloom.llm.families import families, family_links, members
 from trafficloom.llm.tables import WRITING, settings, written
-from trafficloom.llm.words import mix, slices, split_words, windows
+from trafficloom.llm.words import mix, release_unused, slices, split_words, windows
 
 WIDTH = 5
 # Bytes of text worked on at once: the arrays made of them take about a hundred times as much.
@@ -141,25 +141,30 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def merged_sketch(parts: DataFrame) -> np.ndarray:
-    """The sketch of the corpus: sums per part, and the parts (32 MB in all) on the driver."""
+    """The sketch of the corpus: sums per part, which come to the driver compressed, and there make 32 MB."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_PART, np.uint64)
         for counts in table["counts"]:
             total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
-        return pa.table({"slot": table["slot"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"slot": table["slot"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
     with settings(parts.sparkSession, WRITING):
         sums = parts.groupBy("slot").applyInArrow(add, "slot int, counts binary").collect()
     for row in sums:
-        sketch[row["slot"] * SKETCH_PART :][:SKETCH_PART] = np.frombuffer(row["counts"], np.uint64)
+        sketch[row["slot"] * SKETCH_PART :][:SKETCH_PART] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
     return sketch
 
 
 def sketch_levels(sketch: np.ndarray) -> np.ndarray:
     """Eight levels for each doubling of a slot's count, so that an element little above the noise is late already."""
-    return np.minimum(np.floor(8 * np.log2(1 + sketch.astype(np.float64))), 255).astype(np.uint8)
+    levels = np.empty(len(sketch), np.uint8)
+    # Part by part: the driver holds the sketch, but no more numbers as wide as it.
+    for at in range(0, len(sketch), SKETCH_PART):
+        part = sketch[at : at + SKETCH_PART].astype(np.float64)
+        levels[at : at + SKETCH_PART] = np.minimum(np.floor(8 * np.log2(1 + part)), 255)
+    return levels
 
 
 def light_boundary(sketch: np.ndarray, percent: int) -> int:
@@ -169,7 +174,8 @@ def light_boundary(sketch: np.ndarray, percent: int) -> int:
     long as an element's list is on average (by the sketch, less its noise).
     """
     total = float(sketch.sum())
-    length = max(0.0, float((sketch.astype(np.float64) ** 2).sum()) / total - total / len(sketch)) if total else 0.0
+    squares = sum(float((sketch[at : at + SKETCH_PART].astype(np.float64) ** 2).sum()) for at in range(0, len(sketch), SKETCH_PART))
+    length = max(0.0, squares / total - total / len(sketch)) if total else 0.0
     best = 0
     for n in range(2, MAX_LIGHT + 1):
         p = n - need(n, percent) + 1
@@ -437,6 +443,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         "nodes",
     )
     lists = written(inverted_lists(docs, sketch, percent), "lists")
+    # The driver plans the rest, and has no use for the sketch any more.
+    del sketch
+    release_unused()
 
     def candidates(rows: DataFrame, x: tuple[str, ...], y: tuple[str, ...], share: int) -> DataFrame:
         """Pairs of classes of fitting size that meet often enough; x and y name (doc_id, s1, n, part)."""
